@@ -65,8 +65,9 @@ class Words:
 
     def codes(self, words: list[bytes]) -> np.ndarray:
         index = self.index
-        for word in set(words) - index.keys():
-            index[word] = len(index)
+        for word in set(words):
+            if word not in index:
+                index[word] = len(index)
         return np.fromiter(map(index.__getitem__, words), dtype=np.int32, count=len(words))
 
     @property

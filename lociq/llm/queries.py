@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociq.llm import common, mixing, quality_rules, token_output, topk_search
+from lociq.llm import bpe_replay, common, license_scan, mixing, quality_rules, token_output, topk_search
 from lociq.scratch import stored
 
 
@@ -41,6 +41,16 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copi
 """
 
 
+def op4_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe_replay.encoded(common.documents(spark, sf_dir), _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(common.documents(spark, sf_dir))
+
+
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return topk_search.top_k(vectors, F.col("vec_id") % 100 == 0)
@@ -59,11 +69,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
+    "op4_bpe_replay": op4_bpe_replay,
+    "op8_license_scan": op8_license_scan,
     "op9_topk_search": op9_topk_search,
 }
 
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op3_mixing": _OP3_SQL,
+    "op8_license_scan": license_scan.oracle_sql(),
     "op9_topk_search": _OP9_SQL,
 }

@@ -47,7 +47,7 @@ def tokenise(texts: list[bytes], spec: bytes) -> list[np.ndarray]:
     distinct word between ASCII white space is encoded once."""
     tokenizer, cache = _tokenizer(spec)
     split = [t.split() for t in texts]
-    fresh = list({w for words in split for w in words} - cache.keys())
+    fresh = [w for w in {w for words in split for w in words} if w not in cache]
     if len(cache) + len(fresh) > _CACHED_WORDS:
         cache.clear()
         fresh = list({w for words in split for w in words})
