@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociq.llm import bpe_replay, common, license_scan, mixing, quality_rules, token_output, topk_search
+from lociq.llm import bpe_replay, common, license_scan, mixing, quality_classifier, quality_rules, token_output, topk_search, toxicity
 from lociq.scratch import stored
 
 
@@ -47,6 +47,14 @@ def op4_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_replay.encoded(common.documents(spark, sf_dir), _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.scored(common.documents(spark, sf_dir), common.labels(spark, sf_dir))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(common.documents(spark, sf_dir), common.labels(spark, sf_dir))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scanned(common.documents(spark, sf_dir))
 
@@ -70,8 +78,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
     "op4_bpe_replay": op4_bpe_replay,
+    "op5_quality_classifier": op5_quality_classifier,
     "op8_license_scan": op8_license_scan,
     "op9_topk_search": op9_topk_search,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
