@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociq.llm import bpe_replay, common, jaccard_join, license_scan, mixing, quality_classifier, quality_rules, token_output, topk_search, toxicity
+from lociq.llm import bpe_replay, common, jaccard_join, license_scan, lm_scoring, mixing, quality_classifier, quality_rules, token_output, topk_search, toxicity
 from lociq.scratch import stored
 
 
@@ -51,6 +51,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scored(common.documents(spark, sf_dir), common.labels(spark, sf_dir))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(common.documents(spark, sf_dir))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(common.documents(spark, sf_dir))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_bpe_replay": op4_bpe_replay,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_license_scan": op8_license_scan,
     "op9_topk_search": op9_topk_search,
