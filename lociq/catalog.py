@@ -1,6 +1,460 @@
-"""All registered queries of the variant engine."""
+"""All registered queries of the variant engine, each with its SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lociq.functions import fields
+from lociq.operators import genotype, learning, matrix, panel, reads, reports, spatial, transitions
+from lociq.plans import views
+from lociq.sources import sinks
+from lociq.streaming import counts as streaming
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None) -> Callable[[Query], Query]:
+    """Register a query under its function's name; ``sql`` may use the views of plans.views."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = f"WITH {views.SQL} {sql}"
+        return f
+
+    return add
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transitions.transitions(views.calls(spark, sf_dir), views.phased(spark, sf_dir))
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transitions.error_status(views.calls(spark, sf_dir), transitions.thresholds(_changes(spark, sf_dir)))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.graph(views.spots(spark, sf_dir), views.RADIUS2**0.5)
+
+
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.first_overlaps(views.interval_reads(spark, sf_dir), views.target_positions(spark, sf_dir))
+
+
+def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.detected(_overlaps(spark, sf_dir), views.target_positions(spark, sf_dir))
+
+
+def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.supported(views.spot_snvs(spark, sf_dir), _edges(spark, sf_dir), views.spots(spark, sf_dir))
+
+
+# Genotype calling
+
+
+@_query("SELECT chrom, pos, ref, alt, gt, gq, dp FROM calls")
+def gt_call(spark, sf_dir):
+    return views.calls(spark, sf_dir).select("chrom", "pos", "ref", "alt", "gt", "gq", "dp")
+
+
+@_query("""SELECT chrom, pos, ref, alt, CASE WHEN f = '' THEN 'PASS' ELSE f END AS filter FROM (SELECT *, concat_ws(';', CASE WHEN dp < 25 THEN 'LowDP' END, CASE WHEN gq < 12 THEN 'LowGQ' END, CASE WHEN qual < 60 THEN 'LowQual' END,
+    CASE WHEN NOT CASE gt WHEN '0/1' THEN baf BETWEEN 0.35 AND 0.65 ELSE baf >= 0.85 END THEN 'DiscordantBAF' END) AS f FROM calls)""")
+def gt_filter_flags(spark, sf_dir):
+    return genotype.called(views.variants(spark, sf_dir), 25, 12, 60.0).select("chrom", "pos", "ref", "alt", "filter")
+
+
+@_query("SELECT chrom, pos, ref, alt, baf, qual FROM calls")
+def gt_baf(spark, sf_dir):
+    return views.calls(spark, sf_dir).select("chrom", "pos", "ref", "alt", "baf", "qual")
+
+
+@_query("SELECT chrom, pos, ref, alt, replace(chrom, 'chr', '') AS bare, 'GT:GQ:BAF:PL' AS format FROM calls")
+def gt_prefix(spark, sf_dir):
+    rows = genotype.annotated_sample(views.calls(spark, sf_dir))
+    bare = fields.bare_chrom(F.col("chrom"))
+    return rows.select(fields.prefixed_chrom(bare).alias("chrom"), "pos", "ref", "alt", bare.alias("bare"), "format")
+
+
+@_query("SELECT chrom, pos, ref, alt FROM sites WHERE NOT (pos % 7 = 0 OR pos % 11 = 0 OR pos % 13 = 0)")
+def site_filter(spark, sf_dir):
+    rows = views.variants(spark, sf_dir).withColumns({
+        "ref": F.when(F.col("pos") % 7 == 0, F.concat("ref", F.lit("A"))).otherwise(F.col("ref")),
+        "alt": F.when(F.col("pos") % 11 == 0, F.concat("alt", F.lit(",<X>"))).otherwise(F.col("alt")),
+        "info": F.when(F.col("pos") % 13 == 0, F.concat(F.lit("INDEL;"), "info")).otherwise(F.col("info")),
+    })
+    return genotype.snv_sites(rows).select("chrom", "pos", "ref", "alt")
+
+
+@_query("""SELECT chrom, pos, ref, a.alt AS alt, a.het AS het, a.hom AS hom FROM (SELECT chrom, pos, ref, unnest([{'alt': list_sort(list(alt))[1], 'het': 1, 'hom': 2}, {'alt': list_sort(list(alt))[2], 'het': 3, 'hom': 5}]) AS a
+    FROM sites GROUP BY chrom, pos, ref HAVING count(*) >= 2)""")
+def multiallelic_split(spark, sf_dir):
+    both = views.variants(spark, sf_dir).groupBy("chrom", "pos", "ref").agg(F.array_sort(F.collect_list("alt")).alias("a")).filter(F.size("a") >= 2)
+    rows = both.select("chrom", "pos", "ref", F.concat_ws(",", F.slice("a", 1, 2)).alias("alt"), F.array(*[F.lit(i) for i in range(6)]).alias("pl"))
+    return genotype.split_multiallelic(rows).select("chrom", "pos", "ref", "alt", F.get("pl", F.lit(1)).alias("het"), F.get("pl", F.lit(2)).alias("hom"))
+
+
+@_query("""SELECT chrom, pos, ref, alt, CASE pos % 10 WHEN 0 THEN 'likelihoods' WHEN 1 THEN 'quality' ELSE 'depth' END AS reason FROM sites WHERE pos % 10 < 3""")
+def gt_rejected(spark, sf_dir):
+    rows = views.variants(spark, sf_dir).withColumns({
+        "sample": F.when(F.col("pos") % 10 == 0, "1,2").otherwise(F.col("sample")),
+        "qual": F.when(F.col("pos") % 10 == 1, "high").otherwise(F.col("qual")),
+        "info": F.when(F.col("pos") % 10 == 2, F.regexp_replace("info", "DP=[0-9]+", "DP=many")).otherwise(F.col("info")),
+    })
+    return genotype.rejected(rows).select("chrom", "pos", "ref", "alt", "reason")
+
+
+@_query("SELECT chrom, count(*) AS snp_count FROM calls GROUP BY chrom")
+def region_counts(spark, sf_dir):
+    return reports.per_region(views.calls(spark, sf_dir))
+
+
+# Panel and pools
+
+
+@_query("SELECT c.chrom, c.pos, c.ref, c.alt, c.gt FROM calls c SEMI JOIN panel p USING (chrom, pos, ref, alt)")
+def panel_defined(spark, sf_dir):
+    return panel.defined(views.calls(spark, sf_dir), views.panel(spark, sf_dir)).select("chrom", "pos", "ref", "alt", "gt")
+
+
+@_query("SELECT c.chrom, c.pos, c.ref, c.alt, c.gt FROM calls c ANTI JOIN panel p USING (chrom, pos, ref, alt)")
+def panel_denovo(spark, sf_dir):
+    return panel.denovo(views.calls(spark, sf_dir), views.panel(spark, sf_dir)).select("chrom", "pos", "ref", "alt", "gt")
+
+
+@_query("SELECT CASE WHEN pos % 3 <> 0 THEN 'defined' ELSE 'denovo' END AS origin, count(*) AS n FROM calls GROUP BY 1")
+def panel_origin(spark, sf_dir):
+    return panel.with_origin(views.calls(spark, sf_dir), views.panel(spark, sf_dir)).groupBy("origin").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT chrom, pos, ref, alt FROM panel UNION SELECT chrom, pos, ref, alt FROM calls WHERE pos % 2 = 0")
+def panel_keys(spark, sf_dir):
+    return panel.keys(views.panel(spark, sf_dir), views.calls(spark, sf_dir).filter("pos % 2 = 0"))
+
+
+@_query("SELECT p.chrom, p.pos, p.ref, p.alt, p.gt, c.dp, c.gq FROM phased p LEFT JOIN calls c ON p.chrom = c.chrom AND p.pos = c.pos AND p.ref = c.ref AND p.alt = c.alt AND c.pos % 4 <> 0")
+def back_annotated(spark, sf_dir):
+    rows = panel.back_annotated(views.phased(spark, sf_dir), views.calls(spark, sf_dir).filter("pos % 4 <> 0"), ["dp", "gq"])
+    return rows.select("chrom", "pos", "ref", "alt", "gt", "dp", "gq")
+
+
+@_query("""SELECT replace(chrom, 'chr', '') AS chrom, pos, ref, alt, CASE WHEN pos % 3 <> 0 THEN 'defined' ELSE 'denovo' END AS race FROM calls WHERE pos % 3 <> 0 OR pos % 2 = 0""")
+def pool_dedupe(spark, sf_dir):
+    calls = views.calls(spark, sf_dir)
+    return panel.pool([("defined", views.panel(spark, sf_dir)), ("denovo", calls.filter("pos % 2 = 0").withColumn("chrom", fields.bare_chrom(F.col("chrom"))))])
+
+
+@_query("SELECT chrom, pos, ref, alt, gt FROM phased WHERE gt IN ('0/1', '1/1')")
+def valid_genotypes(spark, sf_dir):
+    return panel.valid_genotypes(views.phased(spark, sf_dir)).select("chrom", "pos", "ref", "alt", "gt")
+
+
+@_query("SELECT count(*) FILTER (gt = '0/1') AS n_het, count(*) FILTER (gt = '1/1') AS n_hom FROM calls")
+def genotype_counts(spark, sf_dir):
+    return panel.genotype_counts(views.calls(spark, sf_dir))
+
+
+@_query("""SELECT a AS n_a, b AS n_b, c AS n_both, a + b - c AS n_union, c::DOUBLE / (a + b - c) AS jaccard FROM (SELECT count(*) FILTER (pos % 3 <> 0) AS a, count(*) FILTER (pos % 2 = 0) AS b, count(*) FILTER (pos % 6 IN (2, 4)) AS c FROM calls)""")
+def caller_jaccard(spark, sf_dir):
+    return panel.overlap(views.panel(spark, sf_dir), views.calls(spark, sf_dir).filter("pos % 2 = 0"))
+
+
+# Transitions and the error model
+
+
+@_query("SELECT chrom, pos, ref, alt, gt FROM (SELECT *, row_number() OVER (PARTITION BY chrom, pos ORDER BY ord DESC) AS place FROM phased) WHERE place = 1")
+def phased_last(spark, sf_dir):
+    return panel.last_of_each(views.phased(spark, sf_dir), ["chrom", "pos"], F.col("ord")).select("chrom", "pos", "ref", "alt", "gt")
+
+
+@_query("SELECT orig_gt, new_gt, count(*) AS n, 100.0::DOUBLE * count(*) / sum(count(*)) OVER () AS percentage FROM transitions GROUP BY orig_gt, new_gt")
+def transition_counts(spark, sf_dir):
+    return transitions.counts(_changes(spark, sf_dir))
+
+
+@_query("SELECT orig_gt, new_gt, ref, alt, count(*) AS n FROM transitions GROUP BY ALL")
+def transition_detail(spark, sf_dir):
+    return transitions.detail(_changes(spark, sf_dir))
+
+
+@_query("SELECT chrom, pos, ref, alt, orig_gt, new_gt FROM transitions WHERE (orig_gt, new_gt) IN (('0/1', '0/0'), ('0/1', '1/1'), ('1/1', '0/0'), ('1/1', '0/1'), ('0/0', '0/1'))")
+def shifted_variants(spark, sf_dir):
+    return transitions.shifted(_changes(spark, sf_dir)).select("chrom", "pos", "ref", "alt", "orig_gt", "new_gt")
+
+
+@_query("SELECT chrom, pos, ref, alt, orig_gt FROM transitions WHERE orig_gt = new_gt")
+def stable_variants(spark, sf_dir):
+    return transitions.stable(_changes(spark, sf_dir)).select("chrom", "pos", "ref", "alt", "orig_gt")
+
+
+@_query("SELECT ref, alt, orig_gt, baf_thr, depth_thr, n FROM learned")
+def transition_thresholds(spark, sf_dir):
+    return transitions.thresholds(_changes(spark, sf_dir)).select("ref", "alt", "orig_gt", "baf_thr", F.col("depth_thr").cast("double").alias("depth_thr"), "n")
+
+
+@_query("SELECT chrom, pos, ref, alt, gt, status, CASE WHEN status = 'error' THEN CASE gt WHEN '0/1' THEN 'HET' ELSE 'HOM' END END AS seq_error_model FROM judged")
+def seq_error_status(spark, sf_dir):
+    return _judged(spark, sf_dir).select("chrom", "pos", "ref", "alt", "gt", "status", "seq_error_model")
+
+
+@_query("""SELECT *, 100 * (het_error + hom_error)::DOUBLE / (total - hom_ref) AS error_pct FROM (SELECT count(*) AS total, count(*) FILTER (gt = '0/1') AS het_total, count(*) FILTER (gt = '1/1') AS hom_total,
+    count(*) FILTER (status = 'error' AND gt = '0/1') AS het_error, count(*) FILTER (status = 'error' AND gt = '1/1') AS hom_error, count(*) FILTER (status = 'no_error') AS no_error,
+    count(*) FILTER (status = 'hom_ref') AS hom_ref, count(*) FILTER (status = 'missing') AS missing_info FROM judged)""")
+def seq_error_summary(spark, sf_dir):
+    return transitions.error_summary(_judged(spark, sf_dir))
+
+
+@_query("""SELECT orig_gt, new_gt, bin, n, n / (sum(n) OVER (PARTITION BY orig_gt, new_gt) * 0.05::DOUBLE) AS density FROM
+    (SELECT orig_gt, new_gt, least(floor(baf / 0.05::DOUBLE), 19)::INTEGER AS bin, count(*) AS n FROM transitions GROUP BY ALL)""")
+def baf_histogram(spark, sf_dir):
+    return reports.baf_histogram(_changes(spark, sf_dir), ["orig_gt", "new_gt"])
+
+
+@_query("SELECT bin, n, n / (sum(n) OVER () * 10.0::DOUBLE) AS density FROM (SELECT least(floor(least(depth, 200) / 10.0::DOUBLE), 19)::INTEGER AS bin, count(*) AS n FROM transitions GROUP BY ALL)")
+def depth_histogram(spark, sf_dir):
+    return reports.depth_histogram(_changes(spark, sf_dir))
+
+
+# Reads
+
+
+@_query("SELECT read_id, barcode, pos FROM hits")
+def range_detect(spark, sf_dir):
+    return _overlaps(spark, sf_dir).select("read_id", "barcode", "pos")
+
+
+@_query("SELECT i.barcode, count(*) AS n_kept FROM intervals i WHERE read_id IN (SELECT read_id FROM hits) GROUP BY i.barcode")
+def reads_kept(spark, sf_dir):
+    return reads.kept_reads(views.interval_reads(spark, sf_dir), _overlaps(spark, sf_dir)).groupBy("barcode").agg(F.count("*").alias("n_kept"))
+
+
+@_query("SELECT barcode, chrom, pos, ref, alt FROM detected")
+def detected_snvs(spark, sf_dir):
+    return _detected(spark, sf_dir)
+
+
+@_query("""SELECT d.barcode, d.chrom, d.pos, d.ref, d.alt, coalesce(a.info, '.') AS info, coalesce(a.race, 'unknown') AS race FROM detected d
+    LEFT JOIN (SELECT pos, ref, alt, 'P=' || pos AS info, 'defined' AS race FROM targets WHERE pos % 2 = 0) a ON a.pos = d.pos AND a.ref = d.ref AND a.alt = d.alt""")
+def detected_annotated(spark, sf_dir):
+    pool = views.target_positions(spark, sf_dir).filter("pos % 2 = 0").select("chrom", "pos", "ref", "alt", F.concat(F.lit("P="), F.col("pos").cast("string")).alias("info"), F.lit("defined").alias("race"))
+    return reads.with_annotation(_detected(spark, sf_dir), pool).select("barcode", "chrom", "pos", "ref", "alt", "info", "race")
+
+
+@_query("SELECT chrom, pos, ref, alt, count(DISTINCT barcode) AS n_barcodes, count(DISTINCT barcode)::DOUBLE / (SELECT count(DISTINCT barcode) FROM detected) AS freq FROM detected GROUP BY chrom, pos, ref, alt")
+def variant_barcode_freq(spark, sf_dir):
+    return reads.barcode_frequency(_detected(spark, sf_dir))
+
+
+# Spots
+
+
+@_query("SELECT barcode, x, y FROM spots WHERE in_tissue = 1 AND barcode NOT IN ('s3', 's4')")
+def in_tissue_spots(spark, sf_dir):
+    missing = spark.createDataFrame([("s3",), ("s4",)], "barcode string")
+    return spatial.in_tissue(views.spots(spark, sf_dir), missing).select("barcode", "x", "y")
+
+
+@_query("SELECT src, dst, dist2 FROM edges")
+def knn_graph(spark, sf_dir):
+    return _edges(spark, sf_dir)
+
+
+@_query("SELECT barcode, (SELECT count(*) FROM edges WHERE src = barcode) AS degree FROM spots")
+def graph_degree(spark, sf_dir):
+    return spatial.degrees(views.spots(spark, sf_dir), _edges(spark, sf_dir))
+
+
+@_query("SELECT avg(d) AS mean, min(d) AS min, max(d) AS max FROM (SELECT (SELECT count(*) FROM edges WHERE src = barcode) AS d FROM spots)")
+def graph_stats(spark, sf_dir):
+    return spatial.degree_stats(spatial.degrees(views.spots(spark, sf_dir), _edges(spark, sf_dir)))
+
+
+@_query("SELECT barcode, chrom, pos, support FROM supports")
+def neighbour_support(spark, sf_dir):
+    return spatial.support(views.spot_snvs(spark, sf_dir), _edges(spark, sf_dir))
+
+
+@_query("SELECT barcode, chrom, pos FROM filtered")
+def spatial_filter(spark, sf_dir):
+    return _filtered(spark, sf_dir)
+
+
+@_query("""SELECT barcode, chrom, pos FROM supports WHERE (support >= 3 OR (chrom, pos) IN (SELECT (replace(chrom, 'chr', ''), pos) FROM panel WHERE pos % 4 = 1)) AND barcode IN (SELECT barcode FROM spots)""")
+def spatial_filter_kept(spark, sf_dir):
+    kept = spatial.pool_positions(views.panel(spark, sf_dir).filter("pos % 4 = 1"), allow_multiallelic=True)
+    return spatial.supported(views.spot_snvs(spark, sf_dir), _edges(spark, sf_dir), views.spots(spark, sf_dir), 3, kept)
+
+
+@_query("""SELECT barcode, chrom, pos FROM spot_snvs WHERE (chrom, pos) NOT IN (SELECT (replace(chrom, 'chr', ''), pos) FROM calls WHERE pos % 5 = 0) AND (chrom, pos) IN (SELECT (replace(chrom, 'chr', ''), pos) FROM panel)""")
+def spatial_exclude_include(spark, sf_dir):
+    out = spatial.excluded(views.spot_snvs(spark, sf_dir), spatial.pool_positions(views.calls(spark, sf_dir).filter("pos % 5 = 0")))
+    return spatial.included(out, spatial.pool_positions(views.panel(spark, sf_dir)))
+
+
+@_query("SELECT barcode, n_before, n_after FROM counted")
+def spot_counts(spark, sf_dir):
+    return spatial.counts(views.spots(spark, sf_dir), views.spot_snvs(spark, sf_dir), _filtered(spark, sf_dir))
+
+
+@_query("SELECT count(*) AS n_spots, count(*) FILTER (n_after > 0) AS n_nonzero, sum(n_after)::BIGINT AS total, max(n_after) AS max, avg(n_after) AS mean FROM counted")
+def map_summary(spark, sf_dir):
+    return spatial.map_summary(spot_counts(spark, sf_dir))
+
+
+@_query("""SELECT *, 100 * (snvs_before - snvs_after)::DOUBLE / snvs_before AS removed_pct, kept_pairs::DOUBLE / spots_after AS mean_kept FROM (SELECT count(*) AS n_spots, count(*) FILTER (n_before > 0) AS spots_before, count(*) FILTER (n_after > 0) AS spots_after,
+    max(n_after) AS max_kept, sum(n_after)::BIGINT AS kept_pairs, (SELECT count(DISTINCT (chrom, pos)) FROM spot_snvs) AS snvs_before, (SELECT count(DISTINCT (chrom, pos)) FROM filtered) AS snvs_after FROM counted)""")
+def spatial_statistics(spark, sf_dir):
+    return spatial.filter_statistics(spot_counts(spark, sf_dir), views.spot_snvs(spark, sf_dir), _filtered(spark, sf_dir))
+
+
+@_query("SELECT barcode, y * 0.25 AS x_plot, x * 0.25 AS y_plot FROM spots")
+def plot_coordinates(spark, sf_dir):
+    return spatial.plot_coordinates(views.spots(spark, sf_dir), 0.25)
+
+
+# Matrix and sinks
+
+
+@_query("SELECT DISTINCT barcode, chrom || '_' || pos AS snv FROM filtered")
+def snv_matrix_long(spark, sf_dir):
+    return matrix.long(_filtered(spark, sf_dir))
+
+
+@_query("SELECT snv, row_number() OVER (ORDER BY snv) - 1 AS place FROM (SELECT DISTINCT chrom || '_' || pos AS snv FROM filtered)")
+def matrix_columns(spark, sf_dir):
+    return matrix.columns(_filtered(spark, sf_dir))
+
+
+_PIVOTED = ["9_8", "10_9", "11_10", "13_12", "15_14", "no_such"]
+
+
+@_query("SELECT barcode, " + ", ".join(f"max(CASE WHEN chrom || '_' || pos = '{c}' THEN 1 ELSE 0 END)::INTEGER AS \"{c}\"" for c in sorted(_PIVOTED)) + " FROM filtered GROUP BY barcode")
+def snv_matrix_pivot(spark, sf_dir):
+    return matrix.pivoted(_filtered(spark, sf_dir), _PIVOTED)
+
+
+@_query("SELECT barcode, count(*) AS n_snvs FROM filtered GROUP BY barcode")
+def matrix_row_sums(spark, sf_dir):
+    return matrix.per_spot(_filtered(spark, sf_dir))
+
+
+@_query("""SELECT chrom, pos, concat_ws(chr(9), chrom, pos, '.', ref, alt, CASE WHEN qual = floor(qual) THEN floor(qual)::BIGINT || '.0' ELSE qual::VARCHAR END, '.', 'DP=' || dp, 'GT', gt) AS line FROM calls""")
+def vcf_lines(spark, sf_dir):
+    rows = views.calls(spark, sf_dir).withColumns({"id": F.lit(None).cast("string"), "filter": F.lit("."), "info": F.concat(F.lit("DP="), F.col("dp").cast("string")), "format": F.lit("GT"), "sample": F.col("gt")})
+    return sinks.vcf_lines(rows)
+
+
+# Learning
+
+
+@_query("""SELECT chrom, pos, ref, alt, pos::DOUBLE AS f_pos, dp::DOUBLE AS f_dp, 0.25::DOUBLE AS f_vdb, 0.5::DOUBLE AS f_mqb, 0.0::DOUBLE AS f_rpb, 0.0::DOUBLE AS f_qs, (dp - ad - (dp - ad) // 2)::DOUBLE AS f_i16_0, (ad // 2)::DOUBLE AS f_i16_3 FROM calls""")
+def features(spark, sf_dir):
+    rows = learning.features(views.calls(spark, sf_dir))
+    return rows.select("chrom", "pos", "ref", "alt", "f_pos", "f_dp", "f_vdb", "f_mqb", "f_rpb", "f_qs", "f_i16_0", "f_i16_3")
+
+
+@_query("SELECT chrom, pos, ref, alt, round(CASE WHEN pos % 9 = 0 THEN (SELECT sum(ad - ad // 2)::DOUBLE / count(*) FROM calls WHERE pos % 9 <> 0) ELSE ad - ad // 2 END, 9) AS i16_2 FROM calls")
+def features_imputed(spark, sf_dir):
+    calls = views.calls(spark, sf_dir).withColumn("info", F.when(F.col("pos") % 9 == 0, F.concat(F.lit("DP="), F.col("dp").cast("string"))).otherwise(F.col("info")))
+    return learning.filled_with_mean(learning.features(calls)).select("chrom", "pos", "ref", "alt", F.round("f_i16_2", 9).alias("i16_2"))
+
+
+@_query("SELECT chrom, pos, ref, alt, round((dp - m) / s, 9) AS z_dp, 0.0::DOUBLE AS z_qs FROM calls, (SELECT avg(dp) AS m, stddev_pop(dp) AS s FROM calls)")
+def scaled_features(spark, sf_dir):
+    rows = learning.scaled(learning.filled_with_zero(learning.features(views.calls(spark, sf_dir))))
+    return rows.select("chrom", "pos", "ref", "alt", F.round("f_dp", 9).alias("z_dp"), F.col("f_qs").alias("z_qs"))
+
+
+_LABELLED = """SELECT chrom, pos, ref, alt, CASE new_gt WHEN '1/1' THEN 'homozygous' WHEN '0/1' THEN 'heterozygous' ELSE 'no_variance' END AS label FROM transitions
+    UNION ALL SELECT chrom, pos, ref, alt, 'no_variance' FROM judged WHERE status = 'error'"""
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.training_sets(_changes(spark, sf_dir), _judged(spark, sf_dir).filter("status = 'error'"))
+
+
+@_query(_LABELLED)
+def training_sets(spark, sf_dir):
+    return _labelled(spark, sf_dir)
+
+
+@_query(f"""SELECT label, count(*) AS n FROM ({_LABELLED}) GROUP BY label""")
+def training_sizes(spark, sf_dir):
+    return _labelled(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@_query(f"""SELECT label, n - n_left AS n_taken FROM (SELECT label, n, CASE label WHEN 'no_variance' THEN n - least(n, 500 - sum(CASE WHEN label <> 'no_variance' THEN 500 * n // total END) OVER ()) ELSE n - 500 * n // total END AS n_left
+    FROM (SELECT label, count(*) AS n, sum(count(*)) OVER () AS total FROM ({_LABELLED}) GROUP BY label))""".replace("n - n_left AS", "(n - n_left)::BIGINT AS"))
+def training_sample_sizes(spark, sf_dir):
+    return learning.sampled(_labelled(spark, sf_dir), 500).groupBy("label").agg(F.count("*").alias("n_taken"))
+
+
+@_query("""SELECT chrom, pos, ref, alt, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('_', chrom, pos, ref, alt)), chrom, pos) <= ceil(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE) AS is_test
+    FROM (SELECT chrom, pos, ref, alt, CASE new_gt WHEN '1/1' THEN 'homozygous' WHEN '0/1' THEN 'heterozygous' ELSE 'no_variance' END AS label FROM transitions)""")
+def stratified_split(spark, sf_dir):
+    return learning.split(learning.training_sets(_changes(spark, sf_dir)))
+
+
+def _guessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in for a model: the original genotype's class."""
+    rows = _changes(spark, sf_dir)
+    return rows.select(learning.training_class(F.col("orig_gt"), F.col("new_gt")).alias("label"), F.when(F.col("orig_gt") == "1/1", "homozygous").when(F.col("depth") % 7 == 0, "no_variance").otherwise("heterozygous").alias("predicted"))
+
+
+_GUESSED = """SELECT CASE new_gt WHEN '1/1' THEN 'homozygous' WHEN '0/1' THEN 'heterozygous' ELSE 'no_variance' END AS label,
+    CASE WHEN orig_gt = '1/1' THEN 'homozygous' WHEN depth % 7 = 0 THEN 'no_variance' ELSE 'heterozygous' END AS predicted FROM transitions"""
+
+
+@_query(f"SELECT label, predicted, count(*) AS n FROM ({_GUESSED}) GROUP BY ALL")
+def confusion(spark, sf_dir):
+    return reports.confusion(_guessed(spark, sf_dir))
+
+
+def _f1(where: str) -> str:
+    return f"""(SELECT c AS class, count(*) FILTER (label = c AND predicted = c) AS hit, count(*) FILTER (label = c) AS support, count(*) FILTER (predicted = c) AS guessed
+        FROM ({_GUESSED}), (SELECT unnest(['heterozygous', 'homozygous', 'no_variance']) AS c) {where} GROUP BY c)"""
+
+
+@_query(f"SELECT class, coalesce(hit / nullif(guessed, 0), 0)::DOUBLE AS precision, coalesce(hit / nullif(support, 0), 0)::DOUBLE AS recall, coalesce(2 * hit / nullif(guessed + support, 0), 0)::DOUBLE AS f1, support FROM {_f1('')}")
+def class_report(spark, sf_dir):
+    return reports.class_report(reports.confusion(_guessed(spark, sf_dir)))
+
+
+@_query(f"SELECT avg(coalesce(2 * hit / nullif(guessed + support, 0), 0)) AS variant_f1 FROM {_f1(chr(87) + 'HERE label IN (' + repr('heterozygous') + ', ' + repr('homozygous') + ')')} WHERE class <> 'no_variance'")
+def variant_f1(spark, sf_dir):
+    return reports.variant_f1(_guessed(spark, sf_dir))
+
+
+@_query(None)
+def classifier_scores(spark, sf_dir):
+    """Fit on four fifths of the labelled variants, classes and probabilities of the rest."""
+    calls = learning.filled_with_zero(learning.features(views.calls(spark, sf_dir)))
+    rows = learning.split(learning.training_sets(_changes(spark, sf_dir))).join(calls, ["chrom", "pos", "ref", "alt"])
+    model = learning.train(learning.sampled(rows.filter("NOT is_test"), 20_000).select("chrom", "pos", "ref", "alt", "label", *learning.FEATURES), "forest")
+    return learning.confident(learning.classified(model, rows.filter("is_test")), 0.4).select("chrom", "pos", "ref", "alt", "label", "predicted", "p_het", "p_hom", "p_novar")
+
+
+# Sections, runs and streams
+
+
+@_query("SELECT section, count(*) AS n FROM (SELECT CASE WHEN pos % 2 = 0 THEN 'even' ELSE 'odd' END AS section FROM calls) GROUP BY section")
+def section_union(spark, sf_dir):
+    from lociq.sources import readers
+
+    calls = views.calls(spark, sf_dir)
+    return readers.sections({"even": calls.filter("pos % 2 = 0"), "odd": calls.filter("pos % 2 = 1")}).groupBy("section").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT avg(o_shippriority) AS mean_duration, sum(n)::BIGINT AS total_snps, count(*) FILTER (ok) AS n_completed, count(*) FILTER (NOT ok) AS n_failed FROM (SELECT chrom, count(*) AS n, sum(dp)::DOUBLE AS o_shippriority, count(*) % 2 = 0 AS ok FROM calls GROUP BY chrom)")
+def run_metrics(spark, sf_dir):
+    runs = views.calls(spark, sf_dir).groupBy("chrom").agg(F.sum("dp").cast("double").alias("duration"), F.count("*").alias("snp_count"))
+    return reports.run_metrics(runs.withColumn("status", F.when(F.col("snp_count") % 2 == 0, "completed").otherwise("failed")))
+
+
+@_query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    return streaming.windowed(views.table(spark, sf_dir, "events"))
