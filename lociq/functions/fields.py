@@ -36,7 +36,8 @@ def baf(counts: Column) -> Column:
 
 def genotype_of(likelihoods: Column) -> Column:
     """Genotype of the least phred likelihood; the first wins ties."""
-    return F.element_at(F.array(*map(F.lit, ("0/0", "0/1", "1/1"))), F.array_position(likelihoods, F.array_min(likelihoods)).cast("int"))
+    least = F.array_min(likelihoods)
+    return F.when(F.get(likelihoods, 0) == least, "0/0").when(F.get(likelihoods, 1) == least, "0/1").when(F.get(likelihoods, 2) == least, "1/1")
 
 
 def genotype_quality(likelihoods: Column) -> Column:
