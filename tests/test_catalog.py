@@ -1,7 +1,7 @@
 """Every registered query with SQL gives the same rows in the other engine."""
 
 import pytest
-from conftest import rows_of
+from comparing import rows_of
 
 from lociq import catalog
 
