@@ -77,9 +77,9 @@ def huffman(counts: np.ndarray) -> Code:
     return Code(nodes, turns, np.array([len(paths[v]) for v in range(256)], dtype=np.int64))
 
 
-def _bytes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _bytes_of(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """The words of each text joined by spaces and ended by a line feed, one text after the other; where each begins."""
-    joined = [b" ".join(folded_words(t)) + b"\n" for t in texts]
+    joined = [b" ".join(words) + b"\n" for words in texts]
     lengths = np.array([len(x) for x in joined], dtype=np.int64)
     return np.frombuffer(b"".join(joined), np.uint8), np.cumsum(lengths) - lengths
 
@@ -129,8 +129,8 @@ class Mixer:
     code: Code
     states: np.ndarray
 
-    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of each text's probability, and the bytes that it stands for.
+    def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the probability of each text (its folded words), and the bytes that it stands for.
 
         A gate (which of the longer contexts have been seen often) chooses the weights that each text starts
         from; the text's own correction to them is refined on what it has shown, after stretches of bytes that
@@ -143,10 +143,12 @@ class Mixer:
         order = np.argsort(stretch, kind="stable")
         lengths, bits, slots = _decisions(data[order], [c[order] for c in _contexts(data, starts)], self.code)
         raw = [self.states[slot] for slot in slots]
-        gate = ((raw[1] & 1) + 2 * (raw[2] & 1) + 4 * (raw[3] & 1)).astype(np.intp)
         inputs = [(x >> 1).astype(np.float32) * np.float32(1 / 1024) for x in raw]
         signs = bits.astype(np.float32) * 2 - 1
-        mixed = sum(_START[:, k][gate] * x for k, x in enumerate(inputs))
+        mixed = sum(_START[GATES - 1, k] * x for k, x in enumerate(inputs))
+        rare = np.flatnonzero(raw[1] & raw[2] & raw[3] & 1 == 0)  # few bits pass another gate than the last
+        gate = ((raw[1][rare] & 1) + 2 * (raw[2][rare] & 1) + 4 * (raw[3][rare] & 1)).astype(np.intp)
+        mixed[rare] = sum(_START[gate, k] * x[rare] for k, x in enumerate(inputs))
         ends = np.cumsum(lengths)
         cuts = np.searchsorted(stretch[order], np.arange(int(stretch.max(initial=0)) + 2))
         own = np.zeros((CONTEXTS, n), np.float32)
@@ -161,7 +163,7 @@ class Mixer:
             z = mixed[a:b]
             if first:
                 z = z + sum(np.repeat(own[k, who], many) * inputs[k][a:b] for k in range(CONTEXTS))
-            surprise = np.exp(-np.clip(z, -12, 12) * signs[a:b])
+            surprise = np.exp(-z * signs[a:b])
             total[who] -= np.add.reduceat(np.log(1 + surprise), bit_begins, dtype=np.float64)
             miss = signs[a:b] * (surprise / (1 + surprise))
             seen[who] += many
@@ -193,7 +195,7 @@ def _trained(docs: DataFrame) -> Mixer:
         for batch in batches:
             texts = texts_of(batch)
             for a, b in pieces(batch, map(len, texts), 2 * _CHUNK_BYTES):
-                data, starts = _bytes_of(texts[a:b])
+                data, starts = _bytes_of([folded_words(t) for t in texts[a:b]])
                 _, bits, slots = _decisions(data, _contexts(data, starts), shared.value)
                 for slot in slots:
                     np.add.at(seen, slot * np.uint32(2) + bits, np.uint32(1))
@@ -239,14 +241,14 @@ def _read(docs: DataFrame, mixer: Mixer) -> DataFrame:
         for batch in batches:
             texts, keys, held = texts_of(batch), column_of(batch, "doc_id"), column_of(batch, "held_out")
             for a, b in pieces(batch, map(len, texts), _DICTIONARY_BYTES):
-                names, codes = Words(), []
-                for text in texts[a:b]:
-                    codes.append(names.codes(folded_words(text)))
+                names = Words()
+                split = [folded_words(t) for t in texts[a:b]]
+                codes = [names.codes(words) for words in split]
                 learned = [c for c, h in zip(codes, held[a:b], strict=True) if not h]
                 n_train = np.bincount(np.concatenate([np.zeros(0, np.int64), *learned]).astype(np.int64), minlength=len(names.index))
                 score, n_bytes = [], []
                 for c, d in pieces(batch.slice(a, b - a), map(len, texts[a:b]), _CHUNK_BYTES):
-                    one, size = shared.value.score(texts[a + c : a + d])
+                    one, size = shared.value.score(split[c:d])
                     score.append(one)
                     n_bytes.append(size)
                 yield rows(b - a, chunk=[chunk] * (b - a), doc_id=keys[a:b], held_out=held[a:b], codes=[c.astype("<i4").tobytes() for c in codes], n_bytes=np.concatenate(n_bytes), score=np.concatenate(score))
