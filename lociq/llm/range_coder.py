@@ -43,8 +43,7 @@ class _Writer:
         self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, _TOP - 1, np.int64)
         self.out, self.at = np.zeros((lanes, room), np.int64), np.zeros(lanes, np.int64)
 
-    def narrow(self, lanes: np.ndarray, below: np.ndarray, width: np.ndarray, total) -> None:
-        part = self.range[lanes] // total
+    def narrow(self, lanes: np.ndarray, part: np.ndarray, below: np.ndarray, width: np.ndarray) -> None:
         low, span = self.low[lanes] + part * below, part * width
         carry = low >= _TOP
         if carry.any():
@@ -81,10 +80,6 @@ class _Reader:
             row[: len(x) // 2] = np.frombuffer(x, "<u2")
         self.code, self.range = (self.words[:, 0] << 16) | self.words[:, 1], np.full(len(coded), _TOP - 1, np.int64)
 
-    def target(self, lanes: np.ndarray, total) -> tuple[np.ndarray, np.ndarray]:
-        part = self.range[lanes] // total
-        return np.minimum(self.code[lanes] // part, total - 1), part
-
     def narrow(self, lanes: np.ndarray, part: np.ndarray, below: np.ndarray, width: np.ndarray) -> None:
         code, span = self.code[lanes] - part * below, part * width
         short = span < _WORD
@@ -96,102 +91,99 @@ class _Reader:
         self.code[lanes], self.range[lanes] = code, span
 
 
+_AFTER = (np.arange(_DIGIT) > np.arange(_DIGIT)[:, None]).astype(np.int16)  # by digit: the digits after it
+
+
 class _Model:
-    """What each lane has learned. ``coder`` is a _Writer (``known`` ids given) or a _Reader."""
+    """What each lane has learned, in flat tables with a stretch for each lane.
+
+    A prediction is the id's number and three bits of confidence. The counts of order 0 are kept, for each of
+    three digits, as rows of 16 sums over the smaller digits.
+    """
 
     def __init__(self, lanes: int, coder: _Writer | _Reader) -> None:
         self.coder, self.reading = coder, isinstance(coder, _Reader)
-        self.next1 = np.zeros((lanes, BLOCK + 1), np.int16)
-        self.sure1 = np.zeros((lanes, BLOCK + 1), np.int8)
-        self.next2 = np.zeros((lanes, _SLOTS), np.int16)
-        self.sure2 = np.zeros((lanes, _SLOTS), np.int8)
-        self.hits = np.full((lanes, 4, 2 * _CONFIDENCE), 2048, np.int16)  # P(hit) by confidence: orders 2 and 1 for each of two decisions
-        self.weights = np.full((lanes, 2, 2), 1 << 15, np.int64)  # 16 fractional bits
-        self.counts = [np.zeros((lanes, _DIGIT ** (i + 1)), np.int16) for i in range(3)]
+        self.lane = np.arange(lanes)
+        self.one, self.two = np.zeros(lanes * (BLOCK + 1), np.int32), np.zeros(lanes * _SLOTS, np.int32)
+        self.hits = np.full(4 * lanes * 2 * _CONFIDENCE, 2048, np.int32)  # P(hit) by confidence: of both orders, for both decisions
+        self.weights = np.full((4, lanes), 1 << 15, np.int64)  # 16 fractional bits
+        self.sums = [np.zeros((lanes * _DIGIT**i, _DIGIT), np.int16) for i in range(3)]
+        self.counts = np.zeros(lanes * BLOCK, np.int16)
         self.seen, self.total = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.last, self.before = np.full(lanes, BLOCK, np.int64), np.full(lanes, BLOCK, np.int64)
 
     def flag(self, which: int, lanes: np.ndarray, states: tuple[np.ndarray, np.ndarray], hit: np.ndarray | None) -> np.ndarray:
         """Code one yes-or-no decision; both states index what their confidence has been worth."""
-        odds = [self.hits[lanes, 2 * which + i, s].astype(np.int64) for i, s in enumerate(states)]
+        at = [((2 * which + i) * len(self.lane) + lanes) * (2 * _CONFIDENCE) + s for i, s in enumerate(states)]
+        odds = [self.hits[a] for a in at]
         inputs = [_STRETCH[p] for p in odds]
-        weights = self.weights[lanes, which]
-        mixed = ((inputs[0] * weights[:, 0] + inputs[1] * weights[:, 1]) >> 16).clip(-2047, 2047)
-        p = _SQUASH[mixed + 2047]
+        weights = [self.weights[2 * which + i][lanes] for i in range(2)]
+        p = _SQUASH[((inputs[0] * weights[0] + inputs[1] * weights[1]) >> 16).clip(-2047, 2047) + 2047]
+        part = self.coder.range[lanes] >> 12
         if self.reading:
-            target, part = self.coder.target(lanes, 4096)
-            hit = target < p
-            self.coder.narrow(lanes, part, np.where(hit, 0, p), np.where(hit, p, 4096 - p))
-        else:
-            self.coder.narrow(lanes, np.where(hit, 0, p), np.where(hit, p, 4096 - p), 4096)
+            hit = self.coder.code[lanes] < part * p
+        self.coder.narrow(lanes, part, np.where(hit, 0, p), np.where(hit, p, 4096 - p))
         aim = np.where(hit, 4095, 0)
         miss = aim - p
-        for i, s in enumerate(states):
-            self.hits[lanes, 2 * which + i, s] = odds[i] + ((aim - odds[i]) >> 5)
-            self.weights[lanes, which, i] = weights[:, i] + ((inputs[i] * miss) >> 10)
+        for i in range(2):
+            self.hits[at[i]] = odds[i] + ((aim - odds[i]) >> 5)
+            self.weights[2 * which + i][lanes] = weights[i] + ((inputs[i] * miss) >> 10)
         return hit
 
     def plain(self, lanes: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
         """Order 0: the block's counts so far; a new id takes the place after the known ones."""
         total, seen = self.total[lanes], self.seen[lanes]
         escape = seen + 1
+        part = self.coder.range[lanes] // (total + escape)
         if self.reading:
-            target, part = self.coder.target(lanes, total + escape)
+            target = np.minimum(self.coder.code[lanes] // part, total + escape - 1)
             fresh = target >= total
-            rest, place = np.where(fresh, 0, target), np.zeros(len(lanes), np.int64)
-            below = np.zeros(len(lanes), np.int64)
-            for level in self.counts:
-                sums = np.cumsum(level.reshape(len(level), -1, _DIGIT)[lanes, place], axis=1, dtype=np.int64)
-                digit = np.minimum((sums <= rest[:, None]).sum(axis=1), _DIGIT - 1)
-                under = np.where(digit > 0, sums[np.arange(len(lanes)), digit - 1], 0)
-                rest, below, place = rest - under, below + under, place * _DIGIT + digit
-            ids = np.where(fresh, seen, place)
-            width = np.where(fresh, escape, self.counts[2][lanes, place])
-            self.coder.narrow(lanes, part, np.where(fresh, total, below), width)
+            rest, row, below = np.where(fresh, 0, target).astype(np.int16), lanes, np.zeros(len(lanes), np.int64)
+            for sums in self.sums:
+                found = sums[row]
+                digit = (found <= rest[:, None]).sum(axis=1) - 1
+                under = found.reshape(-1)[np.arange(0, found.size, _DIGIT) + digit]
+                rest, below, row = rest - under, below + under, row * _DIGIT + digit
+            ids = np.where(fresh, seen, row & (BLOCK - 1))
         else:
             fresh = ids >= seen
-            known = np.where(fresh, 0, ids)
-            below = np.zeros(len(lanes), np.int64)
-            for i, level in enumerate(self.counts):
-                upto = known >> 4 * (2 - i)
-                row = level.reshape(len(level), -1, _DIGIT)[lanes, upto >> 4]
-                below += np.where(np.arange(_DIGIT) < (upto & 15)[:, None], row, 0).sum(axis=1)
-            width = np.where(fresh, escape, self.counts[2][lanes, known])
-            self.coder.narrow(lanes, np.where(fresh, total, below), width, total + escape)
-        for i, level in enumerate(self.counts):
-            level[lanes, ids >> 4 * (2 - i)] += 1
+            below = sum(sums.reshape(-1)[(lanes << 4 * (i + 1)) + (ids >> 4 * (2 - i))].astype(np.int64) for i, sums in enumerate(self.sums))
+        at = lanes * BLOCK + ids
+        known = self.counts[at]
+        self.coder.narrow(lanes, part, np.where(fresh, total, below), np.where(fresh, escape, known))
+        self.counts[at] = known + 1
+        for i, sums in enumerate(self.sums):
+            row = (lanes << 4 * i) + (ids >> 4 * (3 - i))
+            sums[row] += _AFTER[(ids >> 4 * (2 - i)) & (_DIGIT - 1)]
         self.total[lanes] = total + 1
-        self.seen[lanes] = np.maximum(seen, ids + 1)
+        self.seen[lanes] = seen + fresh
         return ids
 
     def step(self, n: int, ids: np.ndarray | None) -> np.ndarray:
         """One id of each of the first ``n`` lanes."""
-        lanes = np.arange(n)
-        last = self.last[:n]
-        slot = (self.before[:n] * 0x9E5 + last * 0x6D) % _SLOTS
-        one, two = self.next1[lanes, last].astype(np.int64), self.next2[lanes, slot].astype(np.int64)
-        sure1, sure2 = self.sure1[lanes, last].astype(np.int64), self.sure2[lanes, slot].astype(np.int64)
-        agree = (one == two).astype(np.int64)
+        last, before, lane = self.last[:n], self.before[:n], self.lane[:n]
+        at_one, at_two = lane * (BLOCK + 1) + last, lane * _SLOTS + (before * 0x9E5 + last * 0x6D) % _SLOTS
+        one, two = self.one[at_one], self.two[at_two]
+        guess1, sure1, guess2, sure2 = one >> 3, one & 7, two >> 3, two & 7
+        agree = guess1 == guess2
         out = np.full(n, -1, np.int64) if self.reading else ids
-        left = lanes
-        for which, (guess, asked) in enumerate(((two, sure2 > 0), (one, (sure1 > 0) & ((agree == 0) | (sure2 == 0))))):
-            ask = left[asked[left]]
+        state = (2 * sure2 + agree, 2 * sure1 + agree)
+        done = np.zeros(n, bool)
+        for which, (guess, asked) in enumerate(((guess2, sure2 > 0), (guess1, (sure1 > 0) & ~(agree & (sure2 > 0))))):
+            ask = np.flatnonzero(asked & ~done)
             if len(ask):
-                hit = self.flag(which, ask, (2 * sure2[ask] + agree[ask], 2 * sure1[ask] + agree[ask]), None if self.reading else ids[ask] == guess[ask])
+                hit = self.flag(which, ask, (state[0][ask], state[1][ask]), None if self.reading else ids[ask] == guess[ask])
+                right = ask[hit]
+                done[right] = True
                 if self.reading:
-                    out[ask[hit]] = guess[ask[hit]]
-                gone = np.zeros(n, bool)
-                gone[ask[hit]] = True
-                left = left[~gone[left]]
+                    out[right] = guess[right]
+        left = np.flatnonzero(~done)
         if len(left):
-            coded = self.plain(left, None if self.reading else ids[left])
-            out[left] = coded
-        for table, sure, at, guess, level in ((self.next1, self.sure1, last, one, sure1), (self.next2, self.sure2, slot, two, sure2)):
-            right = (guess == out) & (level > 0)
-            weaker = level >> 1
+            out[left] = self.plain(left, None if self.reading else ids[left])
+        for table, at, guess, sure in ((self.one, at_one, guess1, sure1), (self.two, at_two, guess2, sure2)):
+            right, weaker = (guess == out) & (sure > 0), sure >> 1
             replaced = ~right & (weaker == 0)
-            table[lanes, at] = np.where(replaced, out, guess)
-            sure[lanes, at] = np.where(right, np.minimum(level + 1, _CONFIDENCE - 1), np.where(replaced, 1, weaker))
+            table[at] = np.where(replaced, out * 8 + 1, guess * 8 + np.where(right, np.minimum(sure + 1, _CONFIDENCE - 1), weaker))
         self.before[:n], self.last[:n] = last, out
         return out
 
