@@ -241,16 +241,15 @@ def _read(docs: DataFrame, mixer: Mixer) -> DataFrame:
         for batch in batches:
             texts, keys, held = texts_of(batch), column_of(batch, "doc_id"), column_of(batch, "held_out")
             for a, b in pieces(batch, map(len, texts), _DICTIONARY_BYTES):
-                names = Words()
-                split = [folded_words(t) for t in texts[a:b]]
-                codes = [names.codes(words) for words in split]
-                learned = [c for c, h in zip(codes, held[a:b], strict=True) if not h]
-                n_train = np.bincount(np.concatenate([np.zeros(0, np.int64), *learned]).astype(np.int64), minlength=len(names.index))
-                score, n_bytes = [], []
+                names, codes, score, n_bytes = Words(), [], [], []
                 for c, d in pieces(batch.slice(a, b - a), map(len, texts[a:b]), _CHUNK_BYTES):
-                    one, size = shared.value.score(split[c:d])
+                    split = [folded_words(t) for t in texts[a + c : a + d]]
+                    codes += [names.codes(words) for words in split]
+                    one, size = shared.value.score(split)
                     score.append(one)
                     n_bytes.append(size)
+                learned = [c for c, h in zip(codes, held[a:b], strict=True) if not h]
+                n_train = np.bincount(np.concatenate([np.zeros(0, np.int64), *learned]).astype(np.int64), minlength=len(names.index))
                 yield rows(b - a, chunk=[chunk] * (b - a), doc_id=keys[a:b], held_out=held[a:b], codes=[c.astype("<i4").tobytes() for c in codes], n_bytes=np.concatenate(n_bytes), score=np.concatenate(score))
                 words = names.names
                 for i in range(0, len(words), 50_000):

@@ -41,7 +41,7 @@ class _Writer:
 
     def __init__(self, lanes: int, room: int) -> None:
         self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, _TOP - 1, np.int64)
-        self.out, self.at = np.zeros((lanes, room), np.int64), np.zeros(lanes, np.int64)
+        self.out, self.at = np.zeros((lanes, room), np.int32), np.zeros(lanes, np.int64)
 
     def narrow(self, lanes: np.ndarray, part: np.ndarray, below: np.ndarray, width: np.ndarray) -> None:
         low, span = self.low[lanes] + part * below, part * width
@@ -75,10 +75,10 @@ class _Writer:
 class _Reader:
     def __init__(self, coded: list[bytes]) -> None:
         room = max(len(x) // 2 for x in coded) + 2
-        self.words, self.at = np.zeros((len(coded), room), np.int64), np.full(len(coded), 2, np.int64)
+        self.words, self.at = np.zeros((len(coded), room), np.int32), np.full(len(coded), 2, np.int64)
         for row, x in zip(self.words, coded, strict=True):
             row[: len(x) // 2] = np.frombuffer(x, "<u2")
-        self.code, self.range = (self.words[:, 0] << 16) | self.words[:, 1], np.full(len(coded), _TOP - 1, np.int64)
+        self.code, self.range = (self.words[:, 0].astype(np.int64) << 16) | self.words[:, 1], np.full(len(coded), _TOP - 1, np.int64)
 
     def narrow(self, lanes: np.ndarray, part: np.ndarray, below: np.ndarray, width: np.ndarray) -> None:
         code, span = self.code[lanes] - part * below, part * width
