@@ -27,14 +27,6 @@ def fold(key: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(parts)).cast("int")
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, with underscores added until no column of ``df`` has it (whatever the case)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def column_of(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
