@@ -11,6 +11,7 @@ import base64
 import hashlib
 import heapq
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from lociq.llm.common import pieces, texts_of
 
 _CHUNK_BYTES = 8 << 20  # text whose new words are merged together
-_CACHED_WORDS = 600_000  # words whose ids a Python worker remembers; beyond it starts anew
+_CACHED_WORDS = 300_000  # words whose ids a Python worker remembers; beyond it starts anew
 _NONE = 1 << 30
 _EMPTY: dict[int, int] = {}
 
@@ -125,14 +126,9 @@ class Encoder:
         if len(cache) + len(fresh) > _CACHED_WORDS:
             cache.clear()
             fresh = list({w for words in split for w in words})
-        cache.update(zip(fresh, map(tuple, replay([w.encode() for w in fresh], self.ranks)), strict=True))
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for found in map(cache.__getitem__, words):
-                ids += found
-            out.append(ids)
-        return out
+        for word, ids in zip(fresh, replay([w.encode() for w in fresh], self.ranks), strict=True):
+            cache[word] = array("i", ids).tobytes()
+        return [array("i", b"".join(map(cache.__getitem__, words))).tolist() for words in split]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.ranks.tokens.__getitem__, ids))

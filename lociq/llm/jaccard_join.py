@@ -18,7 +18,7 @@ from lociq.scratch import stored
 WORDS = 5
 TREES, DEPTH = 16, 8  # tries, and labels of a signature in each
 TARGET = 0.999  # recall of a pair just at the threshold
-BLOCK_DOCS = 1_000  # texts of a cluster that are compared with as many others in one piece of work
+BLOCK_DOCS = 500  # texts of a cluster that are compared with as many others in one piece of work
 _CHUNK_BYTES = 2 << 20
 _COLUMNS = 4_096
 _ODD = np.uint64(0x9E3779B97F4A7C15)

@@ -24,7 +24,7 @@ from lociq.scratch import new_path
 FILE_SCHEMA = "part int, segment long, part_offset long, doc_ids array<bigint>, lengths array<bigint>, blocks array<binary>"
 _SEGMENT_IDS = 1 << 18  # a segment closes at the first document that fills it
 _GROUP_BYTES = 16 << 20  # text tokenised, and coded in lockstep, at a time
-_CACHED_WORDS = 1_000_000  # words whose ids a Python worker remembers; beyond it starts anew
+_CACHED_WORDS = 400_000  # words whose ids a Python worker remembers; beyond it starts anew
 
 _tokenizers: dict[int, tuple] = {}
 

@@ -19,7 +19,7 @@ SAMPLE_BYTES = 200_000  # longer texts are not drawn for training (they are scor
 SLOTS, WIDTH, FILTERS, SPANS = 1 << 17, 8, 8, (1, 2, 3)
 _PAD = 2 * SLOTS
 _CHUNK_BYTES = 1 << 19
-_CACHED_WORDS = 1_000_000
+_CACHED_WORDS = 500_000
 
 #: Bytes to bytes: A-Z lower-cased, ASCII punctuation and white space to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 48 or 58 <= b <= 96 or 123 <= b <= 127 else b for b in range(256))
