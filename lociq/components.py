@@ -25,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("least"))
         joined = large.join(least, "a")
         small = joined.select("a", F.col("least").alias("b")).unionByName(joined.filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")))
