@@ -191,9 +191,9 @@ def stable_variants(spark, sf_dir):
     return transitions.stable(_changes(spark, sf_dir)).select("chrom", "pos", "ref", "alt", "orig_gt")
 
 
-@_query("SELECT ref, alt, orig_gt, baf_thr, depth_thr, n FROM learned")
+@_query("SELECT ref, alt, orig_gt, round(baf_thr, 9) AS baf_thr, depth_thr, n FROM learned")
 def transition_thresholds(spark, sf_dir):
-    return transitions.thresholds(_changes(spark, sf_dir)).select("ref", "alt", "orig_gt", "baf_thr", F.col("depth_thr").cast("double").alias("depth_thr"), "n")
+    return transitions.thresholds(_changes(spark, sf_dir)).select("ref", "alt", "orig_gt", F.round("baf_thr", 9).alias("baf_thr"), F.col("depth_thr").cast("double").alias("depth_thr"), "n")
 
 
 @_query("SELECT chrom, pos, ref, alt, gt, status, CASE WHEN status = 'error' THEN CASE gt WHEN '0/1' THEN 'HET' ELSE 'HOM' END END AS seq_error_model FROM judged")
@@ -201,7 +201,7 @@ def seq_error_status(spark, sf_dir):
     return _judged(spark, sf_dir).select("chrom", "pos", "ref", "alt", "gt", "status", "seq_error_model")
 
 
-@_query("""SELECT *, 100 * (het_error + hom_error)::DOUBLE / (total - hom_ref) AS error_pct FROM (SELECT count(*) AS total, count(*) FILTER (gt = '0/1') AS het_total, count(*) FILTER (gt = '1/1') AS hom_total,
+@_query("""SELECT *, 100 * ((het_error + hom_error)::DOUBLE / (total - hom_ref)) AS error_pct FROM (SELECT count(*) AS total, count(*) FILTER (gt = '0/1') AS het_total, count(*) FILTER (gt = '1/1') AS hom_total,
     count(*) FILTER (status = 'error' AND gt = '0/1') AS het_error, count(*) FILTER (status = 'error' AND gt = '1/1') AS hom_error, count(*) FILTER (status = 'no_error') AS no_error,
     count(*) FILTER (status = 'hom_ref') AS hom_ref, count(*) FILTER (status = 'missing') AS missing_info FROM judged)""")
 def seq_error_summary(spark, sf_dir):
@@ -305,7 +305,7 @@ def map_summary(spark, sf_dir):
     return spatial.map_summary(spot_counts(spark, sf_dir))
 
 
-@_query("""SELECT *, 100 * (snvs_before - snvs_after)::DOUBLE / snvs_before AS removed_pct, kept_pairs::DOUBLE / spots_after AS mean_kept FROM (SELECT count(*) AS n_spots, count(*) FILTER (n_before > 0) AS spots_before, count(*) FILTER (n_after > 0) AS spots_after,
+@_query("""SELECT *, 100 * ((snvs_before - snvs_after)::DOUBLE / snvs_before) AS removed_pct, kept_pairs::DOUBLE / spots_after AS mean_kept FROM (SELECT count(*) AS n_spots, count(*) FILTER (n_before > 0) AS spots_before, count(*) FILTER (n_after > 0) AS spots_after,
     max(n_after) AS max_kept, sum(n_after)::BIGINT AS kept_pairs, (SELECT count(DISTINCT (chrom, pos)) FROM spot_snvs) AS snvs_before, (SELECT count(DISTINCT (chrom, pos)) FROM filtered) AS snvs_after FROM counted)""")
 def spatial_statistics(spark, sf_dir):
     return spatial.filter_statistics(spot_counts(spark, sf_dir), views.spot_snvs(spark, sf_dir), _filtered(spark, sf_dir))
