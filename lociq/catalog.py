@@ -387,8 +387,8 @@ def training_sizes(spark, sf_dir):
     return _labelled(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@_query(f"""SELECT label, n - n_left AS n_taken FROM (SELECT label, n, CASE label WHEN 'no_variance' THEN n - least(n, 500 - sum(CASE WHEN label <> 'no_variance' THEN 500 * n // total END) OVER ()) ELSE n - 500 * n // total END AS n_left
-    FROM (SELECT label, count(*) AS n, sum(count(*)) OVER () AS total FROM ({_LABELLED}) GROUP BY label))""".replace("n - n_left AS", "(n - n_left)::BIGINT AS"))
+@_query(f"""SELECT label, (CASE WHEN total <= 500 THEN n WHEN label = 'no_variance' THEN least(n, 500 - coalesce(sum(CASE WHEN label <> 'no_variance' THEN 500 * n // total END) OVER (), 0)) ELSE 500 * n // total END)::BIGINT AS n_taken
+    FROM (SELECT label, count(*) AS n, sum(count(*)) OVER () AS total FROM ({_LABELLED}) GROUP BY label)""")
 def training_sample_sizes(spark, sf_dir):
     return learning.sampled(_labelled(spark, sf_dir), 500).groupBy("label").agg(F.count("*").alias("n_taken"))
 
