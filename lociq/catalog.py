@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +21,17 @@ ORACLES: dict[str, str] = {}
 
 
 def _query(sql: str | None) -> Callable[[Query], Query]:
-    """Register a query under its function's name; ``sql`` may use the views of plans.views."""
+    """Register a query under its function's name; ``sql`` may use the views of plans.views. A query with an argument
+    ``whole`` is also registered as NAME_whole, over all spots and all target positions."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = f"WITH {views.SQL} {sql}"
+        if "whole" in inspect.signature(f).parameters:
+            QUERIES[f"{f.__name__}_whole"] = functools.partial(f, whole=True)
+            if sql:
+                ORACLES[f"{f.__name__}_whole"] = f"WITH {views.WHOLE_SQL} {sql}"
         return f
 
     return add
@@ -38,20 +45,20 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transitions.error_status(views.calls(spark, sf_dir), transitions.thresholds(_changes(spark, sf_dir)))
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.graph(views.spots(spark, sf_dir), views.RADIUS2**0.5)
+def _edges(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return spatial.graph(views.spots(spark, sf_dir, whole), views.RADIUS2**0.5)
 
 
-def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.first_overlaps(views.interval_reads(spark, sf_dir), views.target_positions(spark, sf_dir))
+def _overlaps(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return reads.first_overlaps(views.interval_reads(spark, sf_dir, whole), views.target_positions(spark, sf_dir, whole))
 
 
-def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.detected(_overlaps(spark, sf_dir), views.target_positions(spark, sf_dir))
+def _detected(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return reads.detected(_overlaps(spark, sf_dir, whole), views.target_positions(spark, sf_dir, whole))
 
 
-def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.supported(views.spot_snvs(spark, sf_dir), _edges(spark, sf_dir), views.spots(spark, sf_dir))
+def _filtered(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return spatial.supported(views.spot_snvs(spark, sf_dir, whole), _edges(spark, sf_dir, whole), views.spots(spark, sf_dir, whole))
 
 
 # Genotype calling
@@ -223,110 +230,110 @@ def depth_histogram(spark, sf_dir):
 
 
 @_query("SELECT read_id, barcode, pos FROM hits")
-def range_detect(spark, sf_dir):
-    return _overlaps(spark, sf_dir).select("read_id", "barcode", "pos")
+def range_detect(spark, sf_dir, whole=False):
+    return _overlaps(spark, sf_dir, whole).select("read_id", "barcode", "pos")
 
 
 @_query("SELECT i.barcode, count(*) AS n_kept FROM intervals i WHERE read_id IN (SELECT read_id FROM hits) GROUP BY i.barcode")
-def reads_kept(spark, sf_dir):
-    return reads.kept_reads(views.interval_reads(spark, sf_dir), _overlaps(spark, sf_dir)).groupBy("barcode").agg(F.count("*").alias("n_kept"))
+def reads_kept(spark, sf_dir, whole=False):
+    return reads.kept_reads(views.interval_reads(spark, sf_dir, whole), _overlaps(spark, sf_dir, whole)).groupBy("barcode").agg(F.count("*").alias("n_kept"))
 
 
 @_query("SELECT barcode, chrom, pos, ref, alt FROM detected")
-def detected_snvs(spark, sf_dir):
-    return _detected(spark, sf_dir)
+def detected_snvs(spark, sf_dir, whole=False):
+    return _detected(spark, sf_dir, whole)
 
 
 @_query("""SELECT d.barcode, d.chrom, d.pos, d.ref, d.alt, coalesce(a.info, '.') AS info, coalesce(a.race, 'unknown') AS race FROM detected d
     LEFT JOIN (SELECT pos, ref, alt, 'P=' || pos AS info, 'defined' AS race FROM targets WHERE pos % 2 = 0) a ON a.pos = d.pos AND a.ref = d.ref AND a.alt = d.alt""")
-def detected_annotated(spark, sf_dir):
-    pool = views.target_positions(spark, sf_dir).filter("pos % 2 = 0").select("chrom", "pos", "ref", "alt", F.concat(F.lit("P="), F.col("pos").cast("string")).alias("info"), F.lit("defined").alias("race"))
-    return reads.with_annotation(_detected(spark, sf_dir), pool).select("barcode", "chrom", "pos", "ref", "alt", "info", "race")
+def detected_annotated(spark, sf_dir, whole=False):
+    pool = views.target_positions(spark, sf_dir, whole).filter("pos % 2 = 0").select("chrom", "pos", "ref", "alt", F.concat(F.lit("P="), F.col("pos").cast("string")).alias("info"), F.lit("defined").alias("race"))
+    return reads.with_annotation(_detected(spark, sf_dir, whole), pool).select("barcode", "chrom", "pos", "ref", "alt", "info", "race")
 
 
 @_query("SELECT chrom, pos, ref, alt, count(DISTINCT barcode) AS n_barcodes, count(DISTINCT barcode)::DOUBLE / (SELECT count(DISTINCT barcode) FROM detected) AS freq FROM detected GROUP BY chrom, pos, ref, alt")
-def variant_barcode_freq(spark, sf_dir):
-    return reads.barcode_frequency(_detected(spark, sf_dir))
+def variant_barcode_freq(spark, sf_dir, whole=False):
+    return reads.barcode_frequency(_detected(spark, sf_dir, whole))
 
 
 # Spots
 
 
 @_query("SELECT barcode, x, y FROM spots WHERE in_tissue = 1 AND barcode NOT IN ('s3', 's4')")
-def in_tissue_spots(spark, sf_dir):
+def in_tissue_spots(spark, sf_dir, whole=False):
     missing = spark.createDataFrame([("s3",), ("s4",)], "barcode string")
-    return spatial.in_tissue(views.spots(spark, sf_dir), missing).select("barcode", "x", "y")
+    return spatial.in_tissue(views.spots(spark, sf_dir, whole), missing).select("barcode", "x", "y")
 
 
 @_query("SELECT src, dst, dist2 FROM edges")
-def knn_graph(spark, sf_dir):
-    return _edges(spark, sf_dir)
+def knn_graph(spark, sf_dir, whole=False):
+    return _edges(spark, sf_dir, whole)
 
 
 @_query("SELECT barcode, (SELECT count(*) FROM edges WHERE src = barcode) AS degree FROM spots")
-def graph_degree(spark, sf_dir):
-    return spatial.degrees(views.spots(spark, sf_dir), _edges(spark, sf_dir))
+def graph_degree(spark, sf_dir, whole=False):
+    return spatial.degrees(views.spots(spark, sf_dir, whole), _edges(spark, sf_dir, whole))
 
 
 @_query("SELECT avg(d) AS mean, min(d) AS min, max(d) AS max FROM (SELECT (SELECT count(*) FROM edges WHERE src = barcode) AS d FROM spots)")
-def graph_stats(spark, sf_dir):
-    return spatial.degree_stats(spatial.degrees(views.spots(spark, sf_dir), _edges(spark, sf_dir)))
+def graph_stats(spark, sf_dir, whole=False):
+    return spatial.degree_stats(spatial.degrees(views.spots(spark, sf_dir, whole), _edges(spark, sf_dir, whole)))
 
 
 @_query("SELECT barcode, chrom, pos, support FROM supports")
-def neighbour_support(spark, sf_dir):
-    return spatial.support(views.spot_snvs(spark, sf_dir), _edges(spark, sf_dir))
+def neighbour_support(spark, sf_dir, whole=False):
+    return spatial.support(views.spot_snvs(spark, sf_dir, whole), _edges(spark, sf_dir, whole))
 
 
 @_query("SELECT barcode, chrom, pos FROM filtered")
-def spatial_filter(spark, sf_dir):
-    return _filtered(spark, sf_dir)
+def spatial_filter(spark, sf_dir, whole=False):
+    return _filtered(spark, sf_dir, whole)
 
 
 @_query("""SELECT barcode, chrom, pos FROM supports WHERE (support >= 3 OR (chrom, pos) IN (SELECT (replace(chrom, 'chr', ''), pos) FROM panel WHERE pos % 4 = 1)) AND barcode IN (SELECT barcode FROM spots)""")
-def spatial_filter_kept(spark, sf_dir):
+def spatial_filter_kept(spark, sf_dir, whole=False):
     kept = spatial.pool_positions(views.panel(spark, sf_dir).filter("pos % 4 = 1"), allow_multiallelic=True)
-    return spatial.supported(views.spot_snvs(spark, sf_dir), _edges(spark, sf_dir), views.spots(spark, sf_dir), 3, kept)
+    return spatial.supported(views.spot_snvs(spark, sf_dir, whole), _edges(spark, sf_dir, whole), views.spots(spark, sf_dir, whole), 3, kept)
 
 
 @_query("""SELECT barcode, chrom, pos FROM spot_snvs WHERE (chrom, pos) NOT IN (SELECT (replace(chrom, 'chr', ''), pos) FROM calls WHERE pos % 5 = 0) AND (chrom, pos) IN (SELECT (replace(chrom, 'chr', ''), pos) FROM panel)""")
-def spatial_exclude_include(spark, sf_dir):
-    out = spatial.excluded(views.spot_snvs(spark, sf_dir), spatial.pool_positions(views.calls(spark, sf_dir).filter("pos % 5 = 0")))
+def spatial_exclude_include(spark, sf_dir, whole=False):
+    out = spatial.excluded(views.spot_snvs(spark, sf_dir, whole), spatial.pool_positions(views.calls(spark, sf_dir).filter("pos % 5 = 0")))
     return spatial.included(out, spatial.pool_positions(views.panel(spark, sf_dir)))
 
 
 @_query("SELECT barcode, n_before, n_after FROM counted")
-def spot_counts(spark, sf_dir):
-    return spatial.counts(views.spots(spark, sf_dir), views.spot_snvs(spark, sf_dir), _filtered(spark, sf_dir))
+def spot_counts(spark, sf_dir, whole=False):
+    return spatial.counts(views.spots(spark, sf_dir, whole), views.spot_snvs(spark, sf_dir, whole), _filtered(spark, sf_dir, whole))
 
 
 @_query("SELECT count(*) AS n_spots, count(*) FILTER (n_after > 0) AS n_nonzero, sum(n_after)::BIGINT AS total, max(n_after) AS max, avg(n_after) AS mean FROM counted")
-def map_summary(spark, sf_dir):
-    return spatial.map_summary(spot_counts(spark, sf_dir))
+def map_summary(spark, sf_dir, whole=False):
+    return spatial.map_summary(spot_counts(spark, sf_dir, whole))
 
 
 @_query("""SELECT *, 100 * ((snvs_before - snvs_after)::DOUBLE / snvs_before) AS removed_pct, kept_pairs::DOUBLE / spots_after AS mean_kept FROM (SELECT count(*) AS n_spots, count(*) FILTER (n_before > 0) AS spots_before, count(*) FILTER (n_after > 0) AS spots_after,
     max(n_after) AS max_kept, sum(n_after)::BIGINT AS kept_pairs, (SELECT count(DISTINCT (chrom, pos)) FROM spot_snvs) AS snvs_before, (SELECT count(DISTINCT (chrom, pos)) FROM filtered) AS snvs_after FROM counted)""")
-def spatial_statistics(spark, sf_dir):
-    return spatial.filter_statistics(spot_counts(spark, sf_dir), views.spot_snvs(spark, sf_dir), _filtered(spark, sf_dir))
+def spatial_statistics(spark, sf_dir, whole=False):
+    return spatial.filter_statistics(spot_counts(spark, sf_dir, whole), views.spot_snvs(spark, sf_dir, whole), _filtered(spark, sf_dir, whole))
 
 
 @_query("SELECT barcode, y * 0.25 AS x_plot, x * 0.25 AS y_plot FROM spots")
-def plot_coordinates(spark, sf_dir):
-    return spatial.plot_coordinates(views.spots(spark, sf_dir), 0.25)
+def plot_coordinates(spark, sf_dir, whole=False):
+    return spatial.plot_coordinates(views.spots(spark, sf_dir, whole), 0.25)
 
 
 # Matrix and sinks
 
 
 @_query("SELECT DISTINCT barcode, chrom || '_' || pos AS snv FROM filtered")
-def snv_matrix_long(spark, sf_dir):
-    return matrix.long(_filtered(spark, sf_dir))
+def snv_matrix_long(spark, sf_dir, whole=False):
+    return matrix.long(_filtered(spark, sf_dir, whole))
 
 
 @_query("SELECT snv, row_number() OVER (ORDER BY snv) - 1 AS place FROM (SELECT DISTINCT chrom || '_' || pos AS snv FROM filtered)")
-def matrix_columns(spark, sf_dir):
-    return matrix.columns(_filtered(spark, sf_dir))
+def matrix_columns(spark, sf_dir, whole=False):
+    return matrix.columns(_filtered(spark, sf_dir, whole))
 
 
 _PIVOTED = ["9_8", "10_9", "11_10", "13_12", "15_14", "no_such"]
@@ -338,8 +345,8 @@ def snv_matrix_pivot(spark, sf_dir):
 
 
 @_query("SELECT barcode, count(*) AS n_snvs FROM filtered GROUP BY barcode")
-def matrix_row_sums(spark, sf_dir):
-    return matrix.per_spot(_filtered(spark, sf_dir))
+def matrix_row_sums(spark, sf_dir, whole=False):
+    return matrix.per_spot(_filtered(spark, sf_dir, whole))
 
 
 @_query("""SELECT chrom, pos, concat_ws(chr(9), chrom, pos, '.', ref, alt, CASE WHEN qual = floor(qual) THEN floor(qual)::BIGINT || '.0' ELSE qual::VARCHAR END, '.', 'DP=' || dp, 'GT', gt) AS line FROM calls""")

@@ -1,6 +1,7 @@
 """Variant data derived from the relational tables: one line item stands for one read of a spot at a site.
 
-The likelihoods are a plain integer model of allele depth, not that of any caller.
+The likelihoods are a plain integer model of allele depth, not that of any caller. With ``whole`` every embedding is a
+spot and every site a target; otherwise 100 spots and a seventeenth of the positions, as SQL has them.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ def _letter(place: Column) -> Column:
     return F.substring(F.lit("ACGT"), place.cast("int"), F.lit(1))
 
 
-def site_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def site_reads(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """spot, chrom, pos, ref, alt, is_alt, and the read's id."""
+    n_spots = (table(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1 if whole else SPOTS
     items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     joined = items.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     part, supp = F.col("l_partkey"), F.col("l_suppkey")
     return joined.select(
-        F.concat(F.lit("s"), (F.col("o_custkey") % 100).cast("string")).alias("barcode"), F.concat(F.lit("chr"), (part % 22 + 1).cast("string")).alias("chrom"), part.cast("int").alias("pos"),
+        F.concat(F.lit("s"), (F.col("o_custkey") % n_spots).cast("string")).alias("barcode"), F.concat(F.lit("chr"), (part % 22 + 1).cast("string")).alias("chrom"), part.cast("int").alias("pos"),
         _letter(part % 4 + 1).alias("ref"), _letter((part + 1 + supp % 3) % 4 + 1).alias("alt"), (F.col("l_returnflag") == "R").alias("is_alt"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("read_id"), F.col("l_quantity").cast("int").alias("length"),
     )
@@ -60,29 +62,31 @@ def phased(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls(spark, sf_dir).withColumn("gt", new).withColumn("ord", F.concat("ref", "alt"))
 
 
-def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < SPOTS)
+def spots(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows if whole else rows.filter(F.col("vec_id") < SPOTS)
     at = lambda i: F.get("embedding", F.lit(i)).cast("double")
     return rows.select(F.concat(F.lit("s"), F.col("vec_id").cast("string")).alias("barcode"), F.when(F.col("vec_id") % 50 == 49, 0).otherwise(1).alias("in_tissue"), at(0).alias("x"), at(1).alias("y"))
 
 
-def spot_snvs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spot_snvs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Distinct (barcode, chrom, pos) of reads whose site is called; bare chromosomes."""
-    found = site_reads(spark, sf_dir).join(calls(spark, sf_dir).select("chrom", "pos", "ref", "alt"), ["chrom", "pos", "ref", "alt"], "left_semi")
+    found = site_reads(spark, sf_dir, whole).join(calls(spark, sf_dir).select("chrom", "pos", "ref", "alt"), ["chrom", "pos", "ref", "alt"], "left_semi")
     return found.select("barcode", F.regexp_replace("chrom", "chr", "").alias("chrom"), "pos").distinct()
 
 
-def interval_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def interval_reads(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Reads of one chromosome as intervals, some unmapped or without an end."""
-    rows = site_reads(spark, sf_dir)
+    rows = site_reads(spark, sf_dir, whole)
     start = F.col("pos") - 1
     end = F.when(F.col("read_id") % 41 != 0, start + F.col("length"))
     return rows.select("read_id", "barcode", F.lit("chr1").alias("chrom"), start.alias("start0"), end.alias("end0"), (F.col("read_id") % 37 == 0).alias("unmapped"))
 
 
-def target_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variants at a seventeenth of the positions, two at some; ``ord`` is the order of the lines."""
-    rows = site_reads(spark, sf_dir).filter("pos % 17 = 3").select(F.lit("1").alias("chrom"), "pos", "ref", "alt").distinct()
+def target_positions(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Variants at a seventeenth of the positions or at all, several at some; ``ord`` is the order of the lines."""
+    rows = site_reads(spark, sf_dir)
+    rows = (rows if whole else rows.filter("pos % 17 = 3")).select(F.lit("1").alias("chrom"), "pos", "ref", "alt").distinct()
     return rows.withColumn("ord", F.concat("ref", "alt"))
 
 
@@ -119,3 +123,6 @@ detected AS (SELECT DISTINCT h.barcode, '1' AS chrom, h.pos, a.ref, a.alt FROM h
 counted AS (SELECT s.barcode, coalesce(b.n, 0)::BIGINT AS n_before, coalesce(a.n, 0)::BIGINT AS n_after FROM spots s
     LEFT JOIN (SELECT barcode, count(*) AS n FROM spot_snvs GROUP BY barcode) b ON b.barcode = s.barcode LEFT JOIN (SELECT barcode, count(*) AS n FROM filtered GROUP BY barcode) a ON a.barcode = s.barcode)
 """
+
+#: The views over all embeddings and all sites.
+WHOLE_SQL = SQL.replace("o_custkey % 100)", "o_custkey % (SELECT max(vec_id) + 1 FROM embeddings))").replace(" WHERE vec_id < 100", "").replace(" WHERE pos % 17 = 3", "")
