@@ -18,11 +18,19 @@ from lociq.llm.common import Words, column_of, fold, pieces, texts_of
 from lociq.scratch import stored
 
 FOLDS, HELD = 7, 2
-#: Kinds of context: the last 2, 3 and 4 bytes, and the word so far; of each, the logarithm of its hashed states.
+#: Kinds of context: the last 2, 3 and 4 bytes, and the word so far; of each, the least logarithm of its hashed states.
 SLOTS_LOG = (17, 19, 20, 22)
 CONTEXTS, GATES = len(SLOTS_LOG), 8
-_FIRST_SLOT = [sum(1 << x for x in SLOTS_LOG[:k]) for k in range(CONTEXTS + 1)]
+_MOST_LOAD = 0.5  # share of a kind's states in use above which its table grows and is counted again
 _SEGMENT = 1 << 17  # states that travel together when counts are summed
+
+
+def first_slots(logs: tuple[int, ...]) -> list[int]:
+    """Where the states of each kind begin in the one table, and where they all end."""
+    return [sum(1 << x for x in logs[:k]) for k in range(CONTEXTS + 1)]
+
+
+_FIRST_SLOT = first_slots(SLOTS_LOG)
 #: Weights that every text starts from, by gate: which of the last three contexts has been seen often (1, 2, 4).
 _START = np.array([
     [0.70, 0.50, 0.15, 0.05], [0.65, 0.25, 0.30, 0.10], [0.65, 0.50, 0.00, 0.05], [0.30, 0.45, 0.40, 0.25],
@@ -111,13 +119,14 @@ def _contexts(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _decisions(data: np.ndarray, contexts: list[np.ndarray], code: Code) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def _decisions(data: np.ndarray, contexts: list[np.ndarray], code: Code, logs: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """The bits of each byte: how many, their values, and the slots of each context's states in the one table."""
     lengths = code.lengths[data]
     at = np.arange(int(lengths.sum()), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
     at += np.repeat(data.astype(np.int32) * code.nodes.shape[1], lengths)
     node = code.nodes.reshape(-1)[at]
-    slots = [((np.repeat(c, lengths) ^ node) * np.uint32(0x9E3779B1) >> np.uint32(32 - log)) + np.uint32(first) for c, log, first in zip(contexts, SLOTS_LOG, _FIRST_SLOT, strict=False)]
+    width = np.uint32 if first_slots(logs)[-1] < 1 << 31 else np.uint64  # holds twice any slot
+    slots = [((np.repeat(c, lengths) ^ node) * np.uint32(0x9E3779B1) >> np.uint32(32 - log)).astype(width, copy=False) + width(first) for c, log, first in zip(contexts, logs, first_slots(logs), strict=False)]
     return lengths, code.turns.reshape(-1)[at], slots
 
 
@@ -128,6 +137,7 @@ class Mixer:
 
     code: Code
     states: np.ndarray
+    logs: tuple[int, ...] = SLOTS_LOG
 
     def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """log10 of the probability of each text (its folded words), and the bytes that it stands for.
@@ -141,7 +151,7 @@ class Mixer:
         place, text_of = np.arange(len(data)) - np.repeat(starts, sizes), np.repeat(np.arange(n), sizes)
         stretch = np.frexp(place / _FIRST_BYTES)[1].clip(0)
         order = np.argsort(stretch, kind="stable")
-        lengths, bits, slots = _decisions(data[order], [c[order] for c in _contexts(data, starts)], self.code)
+        lengths, bits, slots = _decisions(data[order], [c[order] for c in _contexts(data, starts)], self.code, self.logs)
         raw = [self.states[slot] for slot in slots]
         inputs = [(x >> 1).astype(np.float32) * np.float32(1 / 1024) for x in raw]
         signs = bits.astype(np.float32) * 2 - 1
@@ -172,9 +182,21 @@ class Mixer:
         return total / np.log(10), sizes
 
 
+def larger(log: int, used: int) -> int:
+    """The logarithm at which the states that fell on ``used`` of 2**log slots use at most _MOST_LOAD. Contexts are
+    hashes of 32 bits, so tables end at 2**31."""
+    size = 1 << log
+    if used <= _MOST_LOAD * size:
+        return log
+    distinct = -size * np.log(1 - min(used / size, 1 - 1 / size))  # linear counting
+    wanted = distinct / -np.log(1 - _MOST_LOAD)
+    return min(31, max(log + 1, int(np.ceil(np.log2(wanted)))))
+
+
 def _trained(docs: DataFrame) -> Mixer:
-    """Two passes over the training texts: byte values, then the states' counts. Counts are summed in Spark,
-    segment by segment; what reaches the driver has a fixed size."""
+    """Passes over the training texts: byte values, then the states' counts, again with larger tables while a kind
+    uses more than _MOST_LOAD of its states. Counts are summed in Spark, segment by segment; the table that reaches
+    the driver and every worker grows with the number of distinct states in the corpus."""
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(256, np.int64)
@@ -190,19 +212,22 @@ def _trained(docs: DataFrame) -> Mixer:
     counts[10] += 1
     shared = docs.sparkSession.sparkContext.broadcast(huffman(counts))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(2 * _FIRST_SLOT[-1], np.uint32)
-        for batch in batches:
-            texts = texts_of(batch)
-            for a, b in pieces(batch, map(len, texts), 2 * _CHUNK_BYTES):
-                data, starts = _bytes_of([folded_words(t) for t in texts[a:b]])
-                _, bits, slots = _decisions(data, _contexts(data, starts), shared.value)
-                for slot in slots:
-                    np.add.at(seen, slot * np.uint32(2) + bits, np.uint32(1))
-        for i in range(0, len(seen), 2 * _SEGMENT):
-            part = seen[i : i + 2 * _SEGMENT]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i // (2 * _SEGMENT)], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names=["segment", "counts"])
+    def counter(logs: tuple[int, ...]):
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros(2 * first_slots(logs)[-1], np.uint32)
+            for batch in batches:
+                texts = texts_of(batch)
+                for a, b in pieces(batch, map(len, texts), 2 * _CHUNK_BYTES):
+                    data, starts = _bytes_of([folded_words(t) for t in texts[a:b]])
+                    _, bits, slots = _decisions(data, _contexts(data, starts), shared.value, logs)
+                    for slot in slots:
+                        np.add.at(seen, slot * slot.dtype.type(2) + bits, np.uint32(1))
+            for i in range(0, len(seen), 2 * _SEGMENT):
+                part = seen[i : i + 2 * _SEGMENT]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([i // (2 * _SEGMENT)], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names=["segment", "counts"])
+
+        return count
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -213,14 +238,20 @@ def _trained(docs: DataFrame) -> Mixer:
             zeros, ones = counts.reshape(-1, 2).T
             stretched = np.log((ones + 0.3) / (zeros + 0.3)).clip(-12, 12)
             states = (np.round(stretched * 1024).astype(np.int16) << 1) | (zeros + ones >= 4)
-            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([states.astype("<i2").tobytes()])], names=["segment", "states"])
-
-    partial = docs.select("text").mapInArrow(count, "segment int, counts binary")
-    summed = partial.repartition("segment").mapInArrow(add, "segment int, states binary")
-    states = np.zeros((-(-_FIRST_SLOT[-1] // _SEGMENT), _SEGMENT), np.int16)
-    for r in summed.collect():
+            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([states.astype("<i2").tobytes()]), pa.array([np.count_nonzero(zeros + ones)], pa.int64())], names=["segment", "states", "used"])
+
+    logs, grown = None, SLOTS_LOG
+    while logs != grown:
+        logs = grown
+        partial = docs.select("text").mapInArrow(counter(logs), "segment int, counts binary")
+        summed = stored(partial.repartition("segment").mapInArrow(add, "segment int, states binary, used long"), "lm-states")
+        used = {r["segment"]: r["used"] for r in summed.select("segment", "used").collect()}
+        ends = [first // _SEGMENT for first in first_slots(logs)]
+        grown = tuple(larger(log, sum(used.get(i, 0) for i in range(a, b))) for log, a, b in zip(logs, ends[:-1], ends[1:], strict=True))
+    states = np.zeros((first_slots(logs)[-1] // _SEGMENT, _SEGMENT), np.int16)
+    for r in summed.select("segment", "states").toLocalIterator():
         states[r["segment"]] = np.frombuffer(r["states"], "<i2")
-    return Mixer(shared.value, states.reshape(-1))
+    return Mixer(shared.value, states.reshape(-1), logs)
 
 
 _ROWS = "chunk long, code int, word binary, n_train long, doc_id long, held_out boolean, codes binary, n_bytes long, score double"

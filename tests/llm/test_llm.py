@@ -262,6 +262,17 @@ def test_mixer_is_a_distribution_and_scores_texts_alone():
     assert 0 < total < 1
 
 
+def test_states_grow_with_the_corpus(spark):
+    rng = np.random.default_rng(1)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789.,-     ", np.uint8)
+    texts = spark.createDataFrame([(i, rng.choice(letters, 40_000).tobytes().decode()) for i in range(24)], "doc_id long, text string")
+    small, large = lm_scoring._trained(texts.limit(1)), lm_scoring._trained(texts)
+    assert small.logs == lm_scoring.SLOTS_LOG and large.logs[2] > lm_scoring.SLOTS_LOG[2]
+    ends = lm_scoring.first_slots(large.logs)
+    assert len(large.states) == ends[-1] and all(np.count_nonzero(large.states[a:b]) <= 0.55 * (b - a) for a, b in zip(ends[:-1], ends[1:], strict=True))
+    assert large.score([b"some words".split()])[0][0] < 0
+
+
 def test_lm_bears_odd_tables(spark, odd, clashing, nothing):
     for docs, n in ((odd, 10), (clashing, 10), (nothing, 0)):
         rows = lm_scoring.scored(docs).toPandas()
