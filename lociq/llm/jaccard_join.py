@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociq.components import components
@@ -19,6 +19,8 @@ WORDS = 5
 TREES, DEPTH = 16, 8  # tries, and labels of a signature in each
 TARGET = 0.999  # recall of a pair just at the threshold
 BLOCK_DOCS = 500  # texts of a cluster that are compared with as many others in one piece of work
+BLOCK_BYTES = 4 << 20  # text in such a block, about; a text of over a quarter of it is a block of its own
+HOT_ROWS = 50_000  # texts in a trie's bucket above which all are linked to its least without comparing signatures
 _CHUNK_BYTES = 2 << 20
 _COLUMNS = 4_096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -68,7 +70,7 @@ def _signatures(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray
 
 
 def _signed(docs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """doc_id, text_md5, key of each trie's prefix, and a signature of one byte for each label used."""
+    """doc_id, text_md5, bytes of the text, key of each trie's prefix, and a signature of one byte for each label used."""
     length = prefix_length(similarity)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,9 +79,9 @@ def _signed(docs: DataFrame, similarity: float, words: int) -> DataFrame:
             for a, b in pieces(batch, map(len, texts), _CHUNK_BYTES):
                 labels = _signatures(*shingles(texts[a:b], words), TREES * length)
                 keys = [[int.from_bytes(hashlib.blake2b(row[t * length : (t + 1) * length].tobytes(), digest_size=8, salt=bytes([t])).digest(), "little", signed=True) for t in range(TREES)] for row in labels]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([hashlib.md5(t).digest() for t in texts[a:b]]), pa.array(keys, pa.list_(pa.int64())), pa.array([row.astype(np.uint8).tobytes() for row in labels])], names=["doc_id", "text_md5", "keys", "signature"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([hashlib.md5(t).digest() for t in texts[a:b]]), pa.array(keys, pa.list_(pa.int64())), pa.array([row.astype(np.uint8).tobytes() for row in labels]), pa.array([len(t) for t in texts[a:b]], pa.int64())], names=["doc_id", "text_md5", "keys", "signature", "n_bytes"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, text_md5 binary, keys array<bigint>, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, text_md5 binary, keys array<bigint>, signature binary, n_bytes long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -128,7 +130,9 @@ def spanning(n: int, linked: Callable[[np.ndarray, np.ndarray], np.ndarray]) ->
 
 
 def _candidates(texts: DataFrame, similarity: float) -> DataFrame:
-    """Edges that span, in each trie's bucket, the texts whose signatures agree to within chance of the threshold."""
+    """Edges that span, in each trie's bucket, the texts whose signatures agree to within chance of the threshold.
+    In a bucket of over HOT_ROWS texts all count as candidates: an edge leads from each to the least, without a
+    task that holds them all."""
     length = prefix_length(similarity)
     size = TREES * length
     least = int(size * (similarity - 5 * (similarity * (1 - similarity) / size) ** 0.5))
@@ -146,7 +150,27 @@ def _candidates(texts: DataFrame, similarity: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[found[:, 0]]), pa.array(nodes[found[:, 1]])], names=["a", "b"])
 
     rows = texts.select("node", "signature", F.explode("keys").alias("key"))
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long")
+    # There are at most one in HOT_ROWS.
+    hot = stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter(F.col("n") > HOT_ROWS).select("key", "least"), "hot-buckets")
+    compared = rows.join(F.broadcast(hot.select("key")), "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long")
+    return compared.unionByName(rows.join(F.broadcast(hot), "key").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+
+
+def _work(slim: DataFrame, texts: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Rows (piece, node, block, text): each cluster dealt into blocks bounded by texts and by bytes, every two blocks
+    a piece."""
+    placed = clusters.join(texts.select("node", "text_md5", "n_bytes"), "node").withColumn("long", F.col("n_bytes") > BLOCK_BYTES // 4)
+    short = ~F.col("long")
+    sizes = placed.groupBy("component").agg(F.count_if(short).alias("n"), F.coalesce(F.sum(F.when(short, F.col("n_bytes"))), F.lit(0)).alias("bytes"), F.count_if("long").alias("n_long"))
+    sizes = sizes.withColumn("n_short", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("bytes") / BLOCK_BYTES)))
+    own = placed.filter("long").select("node", F.row_number().over(Window.partitionBy("component").orderBy("node")).alias("own"))
+    placed = placed.join(sizes.select("component", "n_short", (F.col("n_short") + F.col("n_long")).alias("blocks")), "component").join(own, "node", "left")
+    placed = placed.withColumn("block", F.when(F.col("long"), F.col("n_short") + F.col("own") - 1).otherwise(F.expr("pmod(xxhash64(node), greatest(n_short, 1))")))
+    placed = placed.select(F.col("node").alias("doc_id"), "text_md5", "component", "block", "blocks")
+    with_text = slim.withColumn("text_md5", F.unhex(F.md5("text"))).join(placed, ["doc_id", "text_md5"])
+    once = with_text.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    piece = F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"))
+    return once.select(piece.alias("piece"), F.col("doc_id").alias("node"), "block", F.col("text").cast("binary").alias("text"))
 
 
 def _verified(members: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
@@ -203,21 +227,14 @@ def joined(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = (4
 
     Candidates meet in one of 16 sorted tries of MinHash labels, by a prefix as long as the target recall allows.
     They form clusters; within a cluster every pair of texts is verified on its exact shingle sets, a cluster of
-    more than BLOCK_DOCS texts block by block.
+    more than BLOCK_DOCS texts or BLOCK_BYTES of text block by block.
     """
     share = similarity[0] / similarity[1]
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     signed = stored(_signed(slim, share, words), "signatures")
-    texts = stored(signed.filter("doc_id IS NOT NULL").groupBy("text_md5").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("signature").alias("signature")), "texts")
+    texts = stored(signed.filter("doc_id IS NOT NULL").groupBy("text_md5").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("signature").alias("signature"), F.first("n_bytes").alias("n_bytes")), "texts")
     clusters = stored(components(_candidates(texts, share)), "clusters")
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
-    placed = clusters.join(sizes, "component").withColumn("blocks", F.ceil(F.col("n") / BLOCK_DOCS))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(texts.select("node", "text_md5"), "node")
-    with_text = slim.withColumn("text_md5", F.unhex(F.md5("text"))).join(placed.withColumnRenamed("node", "doc_id"), ["doc_id", "text_md5"])
-    once = with_text.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    piece = F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"))
-    work = once.select(piece.alias("piece"), F.col("doc_id").alias("node"), "block", F.col("text").cast("binary").alias("text"))
-    found = stored(_verified(work, words, *similarity), "links")
+    found = stored(_verified(_work(slim, texts, clusters), words, *similarity), "links")
     classes = components(found.filter("b IS NOT NULL").select("a", "b"))
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     known = texts.select("text_md5", "node").join(classes, "node", "left").join(counts, "node", "left")

@@ -330,6 +330,34 @@ def test_join_equals_brute_force(spark, sf_dir, monkeypatch):
     assert got == brute_links(texts)
 
 
+def test_join_bounds_its_groups(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 8_000)
+    monkeypatch.setattr(jaccard_join, "HOT_ROWS", 10)
+    rng = random.Random(6)
+    texts = {}
+    for first, n_words, n in ((0, 100, 120), (1_000, 900, 5), (2_000, 60, 4)):  # short ones, long ones, a bucket that is not hot
+        base = [f"w{rng.randrange(500)}" for _ in range(n_words)]
+        for i in range(n):
+            words = list(base)
+            words[rng.randrange(n_words)] = f"x{i}"
+            texts[first + i] = " ".join(words)
+    texts |= {3_000: texts[1_000] + " end", 3_001: texts[0] + " end"}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    pieces, work = [], jaccard_join._work
+    monkeypatch.setattr(jaccard_join, "_work", lambda *a: pieces.append(work(*a)) or pieces[0])
+    got = {r["doc_id"]: (r["text_id"], r["class_id"], r["n_links"]) for r in jaccard_join.joined(table).collect()}
+    assert got == brute_links(texts)
+    largest = pieces[0].groupBy("piece").agg(F.sum(F.length("text")).alias("n")).agg(F.max("n")).first()[0]
+    assert largest < 4 * 8_000 < sum(len(t) for k, t in texts.items() if k < 1_000)
+
+
+def test_hot_buckets_are_linked_to_their_least(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, b"\0" * 64, [7]) for i in range(30)] + [(100 + i, b"\0" * 64, [8]) for i in range(3)], "node long, signature binary, keys array<bigint>")
+    monkeypatch.setattr(jaccard_join, "HOT_ROWS", 10)
+    monkeypatch.setattr(jaccard_join, "spanning", lambda n, linked: [(n, n)] if n > 10 else [(0, i) for i in range(1, n)])  # fails if it sees a hot bucket
+    assert sorted(map(tuple, jaccard_join._candidates(rows, 0.8).collect())) == [(0, i) for i in range(1, 30)] + [(100, 101), (100, 102)]
+
+
 def test_join_bears_odd_tables(spark, odd, clashing, nothing):
     rows = jaccard_join.joined(odd).collect()
     assert len(rows) == 10 and {r["class_id"] for r in rows if r["doc_id"] in (0, 4)} == {0}
