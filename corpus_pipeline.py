@@ -28,12 +28,13 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group that copies and near copies connect; rows without doc_id stay."""
-    classes = jaccard_join.joined(docs)
-    first = classes.filter(F.col("class_id") == F.col("doc_id")).select("doc_id").distinct()
-    chosen = docs.select("doc_id", F.struct(*docs.columns).alias("row")).join(first, "doc_id", "left_semi")
-    # Rows may share a doc_id; the join has dealt them by it already.
-    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("row.text"))
+    """The document of least doc_id of each group that copies and near copies connect; rows without doc_id stay, and so
+    do different texts that share a doc_id."""
+    classes = jaccard_join.joined(docs, with_md5=True)
+    first = classes.filter(F.col("class_id") == F.col("doc_id")).select("doc_id", "text_md5").distinct()
+    chosen = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_md5"), F.struct(*docs.columns).alias("row")).join(first, ["doc_id", "text_md5"], "left_semi")
+    # Rows may share a doc_id and the text; the join has dealt them by both already.
+    copy = F.row_number().over(Window.partitionBy("doc_id", "text_md5").orderBy("row.text"))
     return chosen.withColumn("copy", copy).filter("copy = 1").select("row.*").unionByName(docs.filter("doc_id IS NULL"))
 
 

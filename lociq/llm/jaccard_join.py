@@ -215,7 +215,7 @@ def _verified(members: DataFrame, words: int, numerator: int, denominator: int)
     return members.repartition("piece").sortWithinPartitions("piece").mapInArrow(verify, "a long, b long, links long")
 
 
-def joined(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
+def joined(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = (4, 5), with_md5: bool = False) -> DataFrame:
     """One row for each row of ``docs``: doc_id, text_id (the least doc_id with the very same text), class_id (the
     least doc_id of all that links and copies connect) and n_links (different texts that share at least
     ``similarity`` of their word shingles with this one).
@@ -225,6 +225,8 @@ def joined(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = (4
     one text. Rows without doc_id take no part: class_id and text_id are null, n_links is 0. Rows that share a doc_id but
     not the text are linked under that doc_id. Extra columns are ignored; an empty table gives no rows.
 
+    ``with_md5`` adds text_md5 (binary; null without doc_id).
+
     Candidates meet in one of 16 sorted tries of MinHash labels, by a prefix as long as the target recall allows.
     They form clusters; within a cluster every pair of texts is verified on its exact shingle sets, a cluster of
     more than BLOCK_DOCS texts or BLOCK_BYTES of text block by block.
@@ -240,4 +242,4 @@ def joined(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = (4
     known = texts.select("text_md5", "node").join(classes, "node", "left").join(counts, "node", "left")
     known = known.select("text_md5", F.col("node").alias("text_id"), F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     rows = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("text_md5")).alias("text_md5")).join(known, "text_md5", "left")
-    return rows.select("doc_id", "text_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.select("doc_id", "text_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), *["text_md5"] * with_md5)

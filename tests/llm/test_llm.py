@@ -436,6 +436,13 @@ def test_pipeline_equals_a_plain_version(spark):
     assert len(expected) > 20 and texts
 
 
+def test_one_row_of_each_class_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, b), (8, c), (8, a)]
+    got = corpus_pipeline.deduplicate(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, got)) == [(1, a), (5, b), (8, c)]
+
+
 def test_stages_keep_the_columns(spark, odd):
     docs = odd.withColumn("n_chars", F.length("text"))
     for _, stage in corpus_pipeline.STAGES[:1]:
