@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lociq.llm.common import SPACE, WORD
 
 SYMBOLS = "#*$%&|<>"
+_SPACES = r"\x20\x09-\x0D"
 WINDOW = 8
 MIN_WORDS = 20
 MOST_REPEATED = 30  # per cent of the words
@@ -26,16 +27,23 @@ def _let(value: Column, use) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
+    """Words of a text. White space becomes single characters first, so that the cut needs no regular expression."""
+    spaced = F.coalesce(text, F.lit(""))
+    for c in SPACE[1:]:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.length(F.translate(text, characters, ""))
+def _count(text: Column, characters: str) -> Column:
+    return F.regexp_count(text, F.lit(f"[{characters}]"))
 
 
 def repeated_words(words: Column) -> Column:
-    """How many words stand in an 8-word window found twice or more in the text."""
+    """How many words stand in an 8-word window found twice or more in the text.
+
+    Hashes of two words make hashes of four and these of eight. A text whose four-word windows are all different has
+    no repeated window of eight.
+    """
 
     def covered(starts: Column) -> Column:
         """Words in the windows at ``starts`` (ascending): each adds what lies before the next one."""
@@ -49,24 +57,48 @@ def repeated_words(words: Column) -> Column:
             lambda s: F.array_sort(F.transform(F.filter(s, lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"])), lambda x: x["at"])),
         )
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
-    counted = _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_let(starts_of(h), covered)))
-    return F.when(F.size(words) < WINDOW, F.lit(0)).otherwise(counted)
+    def joined(parts: Column, words_each: int) -> Column:
+        """Hashes of windows twice as long as those of ``parts``."""
+        n = F.size(parts) - words_each
+        return F.zip_with(F.slice(parts, 1, n), F.slice(parts, words_each + 1, n), lambda a, b: F.xxhash64(a, b))
+
+    def different(hashes: Column) -> Column:
+        return F.size(F.array_distinct(hashes)) == F.size(hashes)
+
+    def of_eight(hashes: Column) -> Column:
+        return _let(joined(hashes, WINDOW // 2), lambda h: F.when(different(h), F.lit(0)).otherwise(_let(starts_of(h), covered)))
+
+    of_four = joined(joined(words, 1), 2)
+    return F.when(F.size(words) < WINDOW, F.lit(0)).otherwise(_let(of_four, lambda h: F.when(different(h), F.lit(0)).otherwise(of_eight(h))))
+
+
+_BARS = "|>\xBB\xB7•/-"
+
+
+def _has_phrase(text: Column) -> Column:
+    def any_of(lower: Column) -> Column:
+        found = F.lit(False)
+        for p in BOILERPLATE:
+            found = found | lower.contains(p)
+        return found
+
+    return _let(F.lower(text), any_of)
 
 
 def line_fails(line: Column) -> Column:
     """A line with words fails by one of three rules: punctuation (symbols are more than a tenth of its
     characters, or a tenth of them are exclamation or question marks), navigation (three or more of its words are lone separators, and
     more than one in five) or boilerplate (one of the listed phrases)."""
-    chars = _without(line, SPACE)
-    symbols = chars - _without(line, SPACE + SYMBOLS)
-    shouts = chars - _without(line, SPACE + "!?")
-    bars = F.regexp_count(line, F.lit(r"(?:^|[ \t])[|>\xBB\xB7•/-](?=[ \t]|$)"))
-    lower = F.lower(line)
-    phrase = F.lit(False)
-    for p in BOILERPLATE:
-        phrase = phrase | lower.contains(p)
-    return (10 * symbols > chars) | (10 * shouts > chars) | ((bars >= 3) & (5 * bars > F.regexp_count(line, F.lit(WORD)))) | phrase
+    chars = F.length(line) - _count(line, _SPACES)
+    bars = F.regexp_count(line, F.lit(rf"(?:^|[ \t])[{_BARS}](?=[ \t]|$)"))
+    navigation = _let(bars, lambda n: (n >= 3) & (5 * n > F.regexp_count(line, F.lit(WORD))))
+    return (10 * _count(line, SYMBOLS) > chars) | (10 * _count(line, "!?") > chars) | navigation | _has_phrase(line)
+
+
+def may_fail(text: Column) -> Column:
+    """False only if no line of the text can fail: it has no symbol, no exclamation or question mark, no lone
+    separator and no listed phrase."""
+    return text.rlike(rf"[{SYMBOLS}!?]|(?:^|[ \t\n])[{_BARS}](?:[ \t\n]|$)") | _has_phrase(text)
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -74,20 +106,23 @@ def scored(docs: DataFrame) -> DataFrame:
 
     Lines that fail a rule are removed; lines without words stay and count nothing. A document is rejected if base_failed (fewer than 20 words, or more than 30 % of them in repeated 8-word
     windows) or if the removed lines held more than 40 % of its characters in words. Null texts are empty, and so
-    rejected. Columns of ``docs`` with the name of a new one are replaced.
+    rejected. Columns of ``docs`` with the name of a new one are replaced. Every row gives one row, repeated ones too;
+    an empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, "\n")
-    with_words = F.filter(lines, lambda x: x.rlike(WORD))
-    rows = docs.withColumn("n_repeat_words", _let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("r"))))
-    bad = F.filter(with_words, line_fails)
+    with_words = F.filter(lines, lambda x: F.btrim(x, F.lit(SPACE)) != "")
+    of_words = _let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeated_words(w).cast("long").alias("r")))
+    of_lines = _let(with_words, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    lost = F.aggregate(F.filter(with_words, line_fails), F.lit(0), lambda a, x: a + F.length(x) - _count(x, _SPACES))
+    rows = docs.withColumn("n_repeat_words", of_words)
     rows = rows.withColumns({
         "n_words": F.col("n_repeat_words")["n"],
-        "word_chars": _without(text, SPACE).cast("long"),
-        "n_symbols": (F.length(text) - _without(text, SYMBOLS)).cast("long"),
-        "n_dup_lines": (F.size(with_words) - F.size(F.array_distinct(with_words))).cast("long"),
-        "lost_chars": _let(bad, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + _without(x, SPACE))).cast("long"),
-        "cleaned": F.array_join(F.filter(lines, lambda x: ~x.rlike(WORD) | ~line_fails(x)), "\n"),
+        "word_chars": F.col("n_repeat_words")["chars"],
+        "n_symbols": _count(text, SYMBOLS).cast("long"),
+        "n_dup_lines": of_lines,
+        "lost_chars": F.when(may_fail(text), lost).otherwise(0).cast("long"),
+        "cleaned": F.when(may_fail(text), F.array_join(F.filter(lines, lambda x: (F.btrim(x, F.lit(SPACE)) == "") | ~line_fails(x)), "\n")).otherwise(text),
     }).withColumn("n_repeat_words", F.col("n_repeat_words")["r"])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
