@@ -1,5 +1,6 @@
 """Each operator against brute force, an exact round trip, SQL, or held-out accuracy; and on odd tables."""
 
+import base64
 import collections
 import hashlib
 import math
@@ -9,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from comparing import rows_of
@@ -162,15 +164,36 @@ def reference(encoder):
 
 def test_every_token_encodes_to_itself(encoder):
     tokens = list(encoder.ranks.ids)
-    assert bpe_replay.replay(tokens, encoder.ranks) == [[encoder.ranks.ids[t]] for t in tokens]
-    assert bpe_replay.replay([], encoder.ranks) == [] and bpe_replay.replay([b""], encoder.ranks) == [[]]
+    ids, ends = bpe_replay.replay(tokens, encoder.ranks)
+    assert ids.tolist() == [encoder.ranks.ids[t] for t in tokens] and ends.tolist() == list(range(1, len(tokens) + 1))
+    assert [x.tolist() for x in bpe_replay.replay([], encoder.ranks)] == [[], []] and [x.tolist() for x in bpe_replay.replay([b"", b"a", b""], encoder.ranks)] == [[64], [0, 1, 1]]
+
+
+def ids_of(encoder, texts):
+    out = [None] * len(texts)
+    for places, part in encoder.encode(pa.array(texts, pa.string())):
+        for place, ids in zip(places, np.split(part.flat(), part.text_ends[:-1]), strict=True):
+            out[place] = ids.tolist()
+    return out
+
+
+def test_a_merge_may_make_way_for_an_earlier_rank():
+    # "xyx" comes before "xy", but is made of "xy" and "x": after the first "xy" it is the next to merge.
+    ranks = [bytes([b]) for b in range(256)] + [b"xyx", b"xy"]
+    data = b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(ranks))
+    library = tiktoken.Encoding("small", pat_str=".+", mergeable_ranks={t: i for i, t in enumerate(ranks)}, special_tokens={})
+    texts = ["xyxyxy", "xyxy", "axyxyb", "xyx", "xxyy"]
+    assert ids_of(bpe_replay.Encoder(data, ".+", spaced=False), texts) == [library.encode_ordinary(t) for t in texts]
 
 
 def test_replay_equals_the_library(encoder, reference):
     rng = random.Random(1)
     draw = [lambda: rng.randrange(32, 127), lambda: rng.randrange(0, 64), lambda: rng.randrange(0x80, 0x500), lambda: rng.randrange(0x2000, 0x3100), lambda: rng.randrange(0x1F300, 0x1F700), lambda: 97, lambda: 32]
     texts = ["".join(chr(rng.choice(draw)()) for _ in range(rng.randrange(60))) for _ in range(1500)] + ["".join(rng.choice("aabetionsh") for _ in range(rng.randrange(80))) for _ in range(500)]
-    assert encoder.encode(texts) == [reference.encode_ordinary(t) for t in texts]
+    texts += ["", " ", "a ", " a", "a  b", "a \n b"]
+    expected = [reference.encode_ordinary(t) for t in texts]
+    assert ids_of(encoder, texts) == expected
+    assert ids_of(bpe_replay.Encoder(vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, spaced=False), texts) == expected
 
 
 def test_bpe_query_and_odd_tables(spark, sf_dir, reference, odd, clashing, nothing, odd_texts):
