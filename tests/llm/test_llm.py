@@ -266,34 +266,83 @@ def test_unigram_counts(spark, sf_dir):
     assert sum(held) / len(held) < 3.2
 
 
-def mixer_of(texts):
-    counts = np.zeros(256, np.int64)
-    for t in texts:
-        counts += np.bincount(np.frombuffer(t, np.uint8), minlength=256)
-    return lm_scoring.Mixer(lm_scoring.huffman(counts), np.zeros(lm_scoring._FIRST_SLOT[-1], np.int16))
-
-
-def test_mixer_is_a_distribution_and_scores_texts_alone():
-    mixer = mixer_of([b"abab", b"banana"])
-    mixer.states[:] = np.random.default_rng(0).integers(-3000, 3000, len(mixer.states))
-    texts = [b"a ban".split(), [], [b"banana"] * 50, [b"b"]]
-    together, sizes = mixer.score(texts)
-    alone = [mixer.score([t])[0][0] for t in texts]
-    assert together == pytest.approx(alone, rel=1e-5) and sizes.tolist() == [6, 1, 350, 2]
-    # All one-byte words have, with whatever comes after them, at most the whole probability.
-    total = sum(10 ** mixer.score([[bytes([b])]])[0][0] for b in range(256) if not bytes([b]).isspace() and not bytes([b]).isupper())
+def mixer_of(words, logs=(10, 11, 12, 12), seed=0):
+    counts = np.bincount(np.frombuffer(b"".join(words), np.uint8), minlength=256)
+    rng = np.random.default_rng(seed)
+    states = rng.integers(0, 40, (2, lm_scoring.first_slots(logs)[-1])).astype(np.uint16)
+    return lm_scoring.Mixer(lm_scoring.huffman(counts), states[0] << 8 | states[1], logs, rng.normal(0.3, 0.1, (lm_scoring.GATES, lm_scoring.CONTEXTS)))
+
+
+def plain_score(mixer, words, text):
+    """One bit after the other, with plain numbers."""
+    bits = lm_scoring.decisions(words, mixer.code, mixer.logs)
+    first, total = [0, *bits.ends.tolist()], 0.0
+    for a in range(0, len(text), lm_scoring.STRETCH_WORDS):
+        corpus, mine, own = 1.0, 0.0, [0.0] * (1 << lm_scoring.OWN_LOG)
+        for word in text[a : a + lm_scoring.STRETCH_WORDS]:
+            to_corpus, to_mine, new = 0.0, 0.0, {}
+            for i in range(first[word], first[word + 1]):
+                says, often = [], []
+                for slots in bits.slots:
+                    ones, zeros = (float(lm_scoring._LEVELS[int(mixer.states[slots[i]]) >> k & 255]) for k in (8, 0))
+                    says.append(math.log((ones + 0.3) / (zeros + 0.3)))
+                    often.append(ones + zeros >= 4)
+                mixed = sum(w * x for w, x in zip(mixer.weights[often[1] + 2 * often[2] + 4 * often[3]], says, strict=True))
+                sign, state = (1 if bits.turns[i] else -1), own[bits.own[i]]
+                chance = 1 / (1 + math.exp(-sign * (corpus * mixed + mine * state)))
+                total += math.log10(chance)
+                to_corpus += (1 - chance) * sign * mixed
+                to_mine += (1 - chance) * sign * state
+                new[bits.own[i]] = state + lm_scoring.OWN_RATE * (4 * sign - state)
+            corpus, mine = corpus + lm_scoring.RATE * to_corpus, mine + lm_scoring.RATE * to_mine
+            for slot, state in new.items():
+                own[slot] = state
+    return total
+
+
+def test_mixer_equals_a_plain_version(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "STRETCH_WORDS", 20)
+    rng = random.Random(2)
+    words = [bytes(rng.choice(b"abcdeor\xc3\xa9") for _ in range(rng.randrange(1, 9))) + b" " for _ in range(50)] + [b"\n"]
+    mixer = mixer_of(words)
+    texts = [np.array([*(rng.randrange(50) for _ in range(n)), 50]) for n in (0, 1, 7, 45, 19, 20)]
+    got = mixer.ready().score(mixer.ready().words(words), texts)
+    assert got == pytest.approx([plain_score(mixer, words, t.tolist()) for t in texts], rel=1e-3)
+    assert mixer.ready().score(mixer.ready().words(words), texts[3:4]) == pytest.approx(got[3:4], rel=1e-6)  # each alone
+
+
+def test_mixer_is_a_distribution():
+    words = [bytes([b]) + b" " for b in range(256) if not bytes([b]).isspace() and not bytes([b]).isupper()]
+    mixer = mixer_of(words)
+    ready, table = mixer.ready(), mixer.ready().words([*words, b"\n"])
+    # All texts of one one-byte word, and the empty one, have at most the whole probability.
+    total = sum(10 ** ready.score(table, [np.array([i, len(words)]) for i in range(len(words))])) + 10 ** ready.score(table, [np.array([len(words)])])[0]
     assert 0 < total < 1
 
 
+def test_learned_counts_and_weights(spark):
+    rng = random.Random(3)
+    stems = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)]
+    words = collections.Counter(rng.choice(stems) + rng.choice(["ing", "ed", "er"]) for _ in range(3000))
+    table = spark.createDataFrame([(bytearray(w.encode()), n) for w, n in words.items()], "word binary, total long")
+    spaced = [w.encode() + b" " for w in words]
+    got = lm_scoring._trained(table, 10, len(words))
+    bits = lm_scoring.decisions(spaced, got.code, got.logs)
+    counts = np.zeros((2, lm_scoring.first_slots(got.logs)[-1]))
+    times = np.repeat(list(words.values()), np.diff([0, *bits.ends]))
+    for slots in bits.slots:
+        np.add.at(counts, (bits.turns, slots), times)
+    says = lm_scoring._looked_up(*(lm_scoring._LEVELS[lm_scoring.quantised(c)] for c in counts[::-1]))
+    assert np.array_equal(got.states[: counts.shape[1]], says)
+    start = lm_scoring.Mixer(got.code, got.states, got.logs)
+    text = [np.array([*(rng.randrange(len(spaced)) for _ in range(200)), len(spaced)])]
+    assert got.score(got.words([*spaced, b"\n"]), text)[0] > start.score(start.words([*spaced, b"\n"]), text)[0]  # learned weights are better
+
+
 def test_states_grow_with_the_corpus(spark):
-    rng = np.random.default_rng(1)
-    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789.,-     ", np.uint8)
-    texts = spark.createDataFrame([(i, rng.choice(letters, 40_000).tobytes().decode()) for i in range(24)], "doc_id long, text string")
-    small, large = lm_scoring._trained(texts.limit(1)), lm_scoring._trained(texts)
-    assert small.logs == lm_scoring.SLOTS_LOG and large.logs[2] > lm_scoring.SLOTS_LOG[2]
-    ends = lm_scoring.first_slots(large.logs)
-    assert len(large.states) == ends[-1] and all(np.count_nonzero(large.states[a:b]) <= 0.55 * (b - a) for a, b in zip(ends[:-1], ends[1:], strict=True))
-    assert large.score([b"some words".split()])[0][0] < 0
+    for n, log in ((1_000, lm_scoring.LEAST_LOG), (100_000, 20)):
+        table = spark.range(n).select(F.hex(F.xxhash64("id")).cast("binary").alias("word"), F.lit(1).cast("long").alias("total"))
+        assert lm_scoring._trained(table, 1, n).logs == (*lm_scoring.SLOTS_LOG, log)
 
 
 def test_lm_bears_odd_tables(spark, odd, clashing, nothing):
