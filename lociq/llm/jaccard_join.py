@@ -16,8 +16,10 @@ from lociq.llm.common import Words, column_of, pieces, texts_of
 from lociq.scratch import stored
 
 WORDS = 5
-TREES, DEPTH = 16, 8  # tries, and labels of a signature in each
-TARGET = 0.999  # recall of a pair just at the threshold
+TREES, DEPTH = 16, 6  # sorted tries, and labels of a signature in each
+SHORTEST = 3  # labels that texts must share in a trie at least: even a pair just at 0.8 then meets with 0.99999
+TARGET = 0.9999  # recall at which prefixes are not shortened further
+_SIGNED = 4  # labels of each trie that a signature holds, a byte each
 BLOCK_DOCS = 500  # texts of a cluster that are compared with as many others in one piece of work
 BLOCK_BYTES = 4 << 20  # text in such a block, about; a text of over a quarter of it is a block of its own
 HOT_ROWS = 50_000  # texts in a trie's bucket above which all are linked to its least without comparing signatures
@@ -26,11 +28,23 @@ _COLUMNS = 4_096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def prefix_length(similarity: float, trees: int = TREES, depth: int = DEPTH, target: float = TARGET) -> int:
-    """The longest prefix at which a pair of that similarity meets in a trie with the target recall: matched
-    prefixes are shortened label by label until it is reached."""
-    length = depth
-    while length > 1 and 1 - (1 - similarity**length) ** trees < target:
+def meets(similarity: float | np.ndarray, length: int) -> float | np.ndarray:
+    """The chance that two texts of that similarity share a prefix of that length in one trie at least."""
+    return 1 - (1 - similarity**length) ** TREES
+
+
+def prefix_length(found: dict[int, int], threshold: float) -> int:
+    """The longest prefix that finds TARGET of the links. ``found``: of the pairs that met in a trie, how many agree in
+    that many of the signature's labels.
+
+    Prefixes are shortened label by label until the recall that is to be expected of these pairs, at the similarity that
+    each shows, is reached; pairs that show less than the threshold may be links, so they count as being at it. Nothing
+    found: as if all were at the threshold.
+    """
+    shown = np.maximum(threshold, np.array(list(found) or [0]) / (TREES * _SIGNED))
+    weights = np.array(list(found.values()) or [1])
+    length = DEPTH
+    while length > SHORTEST and np.average(meets(shown, length), weights=weights) < TARGET:
         length -= 1
     return length
 
@@ -69,19 +83,20 @@ def _signatures(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray
     return out
 
 
-def _signed(docs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """doc_id, text_md5, bytes of the text, key of each trie's prefix, and a signature of one byte for each label used."""
-    length = prefix_length(similarity)
+def _signed(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, text_md5, bytes of the text, its labels in each trie (two bytes each), and a signature of one byte for some of them."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch)
             for a, b in pieces(batch, map(len, texts), _CHUNK_BYTES):
-                labels = _signatures(*shingles(texts[a:b], words), TREES * length)
-                keys = [[int.from_bytes(hashlib.blake2b(row[t * length : (t + 1) * length].tobytes(), digest_size=8, salt=bytes([t])).digest(), "little", signed=True) for t in range(TREES)] for row in labels]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([hashlib.md5(t).digest() for t in texts[a:b]]), pa.array(keys, pa.list_(pa.int64())), pa.array([row.astype(np.uint8).tobytes() for row in labels]), pa.array([len(t) for t in texts[a:b]], pa.int64())], names=["doc_id", "text_md5", "keys", "signature", "n_bytes"])
+                labels = _signatures(*shingles(texts[a:b], words), TREES * DEPTH).astype(">u2").reshape(b - a, TREES, DEPTH)
+                tries = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * DEPTH), (b - a) * TREES, [None, pa.py_buffer(labels.tobytes())]).cast(pa.binary())
+                lists = pa.ListArray.from_arrays(pa.array(range(0, (b - a) * TREES + 1, TREES), pa.int32()), tries)
+                short = labels[:, :, :_SIGNED].astype(np.uint8).reshape(b - a, -1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([hashlib.md5(t).digest() for t in texts[a:b]]), lists, pa.array([row.tobytes() for row in short]), pa.array([len(t) for t in texts[a:b]], pa.int64())], names=["doc_id", "text_md5", "tries", "signature", "n_bytes"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, text_md5 binary, keys array<bigint>, signature binary, n_bytes long")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, text_md5 binary, tries array<binary>, signature binary, n_bytes long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -129,31 +144,54 @@ def spanning(n: int, linked: Callable[[np.ndarray, np.ndarray], np.ndarray]) ->
             frontier = np.concatenate(fresh)
 
 
+def levels(labels: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(length, first, last): the sorted rows first..last-1 share a prefix of that length, and not all of them a longer
+    one. These are the inner nodes of the trie; where a prefix begins and ends follows from what neighbours share."""
+    differs = labels[1:] != labels[:-1]
+    shared = np.where(differs.any(axis=1), differs.argmax(axis=1), labels.shape[1])  # of each row and the next
+    for length in range(labels.shape[1], SHORTEST - 1, -1):
+        cuts = np.concatenate([[0], np.flatnonzero(shared < length) + 1, [len(labels)]])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a > 1 and (shared[a : b - 1] == length).any():
+                yield length, a, b
+
+
 def _candidates(texts: DataFrame, similarity: float) -> DataFrame:
-    """Edges that span, in each trie's bucket, the texts whose signatures agree to within chance of the threshold.
-    In a bucket of over HOT_ROWS texts all count as candidates: an edge leads from each to the least, without a
-    task that holds them all."""
-    length = prefix_length(similarity)
-    size = TREES * length
+    """Edges (a, b) between texts that share a prefix in a trie and whose signatures agree to within chance of the
+    threshold: for each inner node of the tries edges that span what is linked below it.
+
+    Each trie is dealt out by its first SHORTEST labels and sorted by all of them; one pass finds the edges of every
+    prefix length. Then the length is chosen from the agreement of what was found (:func:`prefix_length`), and the edges
+    of shorter prefixes are left. Where over HOT_ROWS texts share the first labels all count as candidates: an edge
+    leads from each to the least, without a task that holds them all.
+    """
+    size = TREES * _SIGNED
     least = int(size * (similarity - 5 * (similarity * (1 - similarity) / size) ** 0.5))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, "key"):
             nodes = run.column("node").to_numpy()
             signatures = np.frombuffer(b"".join(run.column("signature").to_pylist()), np.uint8).reshape(len(nodes), size)
+            labels = np.frombuffer(b"".join(run.column("labels").to_pylist()), ">u2").reshape(len(nodes), DEPTH)
 
-            def close(a: np.ndarray, b: np.ndarray, signatures: np.ndarray = signatures) -> np.ndarray:
-                return np.concatenate([(signatures[a[:, None]] == signatures[b[i : i + 4096]][None]).sum(axis=2) >= least for i in range(0, len(b), 4096)], axis=1)
+            def agreeing(a: np.ndarray, b: np.ndarray, signatures: np.ndarray = signatures) -> np.ndarray:
+                return np.concatenate([(signatures[a[:, None]] == signatures[b[i : i + 4096]][None]).sum(axis=2) for i in range(0, len(b), 4096)], axis=1)
 
-            found = np.array(list(spanning(len(nodes), close)), dtype=np.int64).reshape(-1, 2)
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[found[:, 0]]), pa.array(nodes[found[:, 1]])], names=["a", "b"])
+            for length, first, last in levels(labels):
+                found = first + np.array(list(spanning(last - first, lambda a, b, f=first: agreeing(a + f, b + f) >= least)), dtype=np.int64).reshape(-1, 2)
+                if len(found):
+                    agree = (signatures[found[:, 0]] == signatures[found[:, 1]]).sum(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes[found[:, 0]]), pa.array(nodes[found[:, 1]]), pa.array(np.full(len(found), length, np.int32)), pa.array(agree.astype(np.int32))], names=["a", "b", "length", "agree"])
 
-    rows = texts.select("node", "signature", F.explode("keys").alias("key"))
+    rows = texts.select("node", "signature", F.posexplode("tries").alias("tree", "labels"))
+    rows = rows.select("node", "signature", "labels", F.xxhash64("tree", F.substring("labels", 1, 2 * SHORTEST)).alias("key"))
     # There are at most one in HOT_ROWS.
     hot = stored(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter(F.col("n") > HOT_ROWS).select("key", "least"), "hot-buckets")
-    compared = rows.join(F.broadcast(hot.select("key")), "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(link, "a long, b long")
-    return compared.unionByName(rows.join(F.broadcast(hot), "key").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+    compared = rows.join(F.broadcast(hot.select("key")), "key", "left_anti").repartition("key").sortWithinPartitions("key", "labels")
+    edges = stored(compared.mapInArrow(link, "a long, b long, length int, agree int"), "trie-edges")
+    met = edges.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.first("agree").alias("agree")).groupBy("agree").count()
+    length = prefix_length({r["agree"]: r["count"] for r in met.collect()}, similarity)  # a row for each number of labels
+    return edges.filter(F.col("length") >= length).select("a", "b").unionByName(rows.join(F.broadcast(hot), "key").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
 
 
 def _work(slim: DataFrame, texts: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -227,14 +265,15 @@ def joined(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = (4
 
     ``with_md5`` adds text_md5 (binary; null without doc_id).
 
-    Candidates meet in one of 16 sorted tries of MinHash labels, by a prefix as long as the target recall allows.
+    Candidates meet in one of 16 sorted tries of MinHash labels, by a prefix that is shortened from 6 labels to as few as
+    3 until the recall expected of the pairs found reaches TARGET.
     They form clusters; within a cluster every pair of texts is verified on its exact shingle sets, a cluster of
     more than BLOCK_DOCS texts or BLOCK_BYTES of text block by block.
     """
     share = similarity[0] / similarity[1]
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    signed = stored(_signed(slim, share, words), "signatures")
-    texts = stored(signed.filter("doc_id IS NOT NULL").groupBy("text_md5").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("signature").alias("signature"), F.first("n_bytes").alias("n_bytes")), "texts")
+    signed = stored(_signed(slim, words), "signatures")
+    texts = stored(signed.filter("doc_id IS NOT NULL").groupBy("text_md5").agg(F.min("doc_id").alias("node"), F.first("tries").alias("tries"), F.first("signature").alias("signature"), F.first("n_bytes").alias("n_bytes")), "texts")
     clusters = stored(components(_candidates(texts, share)), "clusters")
     found = stored(_verified(_work(slim, texts, clusters), words, *similarity), "links")
     classes = components(found.filter("b IS NOT NULL").select("a", "b"))

@@ -424,10 +424,12 @@ def test_join_bounds_its_groups(spark, monkeypatch):
 
 
 def test_hot_buckets_are_linked_to_their_least(spark, monkeypatch):
-    rows = spark.createDataFrame([(i, b"\0" * 64, [7]) for i in range(30)] + [(100 + i, b"\0" * 64, [8]) for i in range(3)], "node long, signature binary, keys array<bigint>")
+    trie = [bytes([i]) * 2 * jaccard_join.DEPTH for i in (7, 8)]
+    rows = spark.createDataFrame([(i, bytearray(64), [bytearray(trie[0])]) for i in range(30)] + [(100 + i, bytearray(64), [bytearray(trie[1])]) for i in range(3)], "node long, signature binary, tries array<binary>")
     monkeypatch.setattr(jaccard_join, "HOT_ROWS", 10)
     monkeypatch.setattr(jaccard_join, "spanning", lambda n, linked: [(n, n)] if n > 10 else [(0, i) for i in range(1, n)])  # fails if it sees a hot bucket
-    assert sorted(map(tuple, jaccard_join._candidates(rows, 0.8).collect())) == [(0, i) for i in range(1, 30)] + [(100, 101), (100, 102)]
+    got = sorted((min(r), max(r)) for r in jaccard_join._candidates(rows, 0.8).collect())
+    assert got[:29] == [(0, i) for i in range(1, 30)] and len(got) == 31 and all(a >= 100 for a, _ in got[29:])
 
 
 def test_join_bears_odd_tables(spark, odd, clashing, nothing):
@@ -439,9 +441,43 @@ def test_join_bears_odd_tables(spark, odd, clashing, nothing):
 
 
 def test_prefixes_are_shortened_to_the_recall():
-    length = jaccard_join.prefix_length(0.8)
-    assert 1 - (1 - 0.8**length) ** jaccard_join.TREES >= jaccard_join.TARGET > 1 - (1 - 0.8 ** (length + 1)) ** jaccard_join.TREES
-    assert jaccard_join.prefix_length(1.0) == jaccard_join.DEPTH
+    at = jaccard_join.prefix_length
+    assert at({64: 10}, 0.8) == jaccard_join.DEPTH and at({}, 0.8) == at({52: 1000}, 0.8) == 3
+    lengths = [at({64: 1000, 52: n}, 0.8) for n in (0, 1, 100, 10_000)]
+    assert lengths == sorted(lengths, reverse=True) and len(set(lengths)) > 1  # more links at the threshold, shorter prefixes
+    assert jaccard_join.meets(0.8, at({}, 0.8)) > 0.9999
+
+
+def test_inner_nodes_of_a_trie():
+    labels = np.array(sorted([[1, 1, 1, 1, 1, 1], [1, 1, 1, 1, 1, 1], [1, 1, 1, 2, 1, 1], [1, 1, 1, 2, 1, 3], [1, 1, 2, 1, 1, 1], [4, 4, 4, 4, 4, 4]]))
+    assert sorted(jaccard_join.levels(labels)) == [(3, 0, 4), (5, 2, 4), (6, 0, 2)]
+
+
+def test_join_finds_the_links_of_a_query_set(spark):
+    """All links of the ids divisible by 50, against every text and planted near copies of similarity about 0.75 to 1,
+    found by an inverted index of shingles."""
+    rng, words = random.Random(8), jaccard_join.WORDS
+    texts = {r["doc_id"]: (r["text"] or "") for r in documents_of(spark, "/root/testdata/sf0.1").collect()}
+    for k in [k for k in texts if k % 50 == 0]:
+        for copy in (1, 2, 3):
+            own = texts[k].split()
+            for _ in range(rng.randrange(max(1, len(own) // 30)) + 1 if own else 0):
+                own[rng.randrange(len(own))] = f"planted{rng.randrange(99)}"
+            texts[copy * 1_000_000 + k + 1] = " ".join(own)
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)
+    sets, index = {}, collections.defaultdict(list)
+    for t in set(texts.values()):
+        w = t.split()
+        sets[t] = {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+        for x in sets[t]:
+            index[x].append(t)
+    expected = {}
+    for k, t in texts.items():
+        if k % 50 == 0:
+            common = collections.Counter(o for x in sets[t] for o in index[x] if o != t)
+            expected[k] = sum(5 * n >= 4 * (len(sets[t]) + len(sets[o]) - n) for o, n in common.items())
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.joined(table).filter("doc_id % 50 = 0").collect()}
+    assert got == expected and sum(expected.values()) > 300
 
 
 # 8
