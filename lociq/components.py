@@ -15,9 +15,11 @@ def _mark(edges: DataFrame) -> tuple:
 _HUB = 1_000  # neighbours that make a node a hub
 
 
-def _with_least(edges: DataFrame, least: DataFrame, hub: int) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, hub: int | None) -> DataFrame:
     """``edges`` with the column least of their node a. What hubs know is broadcast (their number is at most that of all
     edges over ``hub``), so that no task gets all edges of one; the rest is joined."""
+    if hub is None:
+        return edges.join(least.select("a", "least"), "a")
     hubs = least.filter(F.col("n") > hub).select("a", F.col("least").alias("of_hub"))
     marked = edges.join(F.broadcast(hubs), "a", "left")
     rest = marked.filter("of_hub IS NULL").select("a", "b").join(least.filter(F.col("n") <= hub).select("a", "least"), "a")
@@ -36,6 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         hub = max(_HUB, mark[0] // 1_000)  # at most 2,000 hubs
+        largest = now.groupBy("b").count().agg(F.max("count")).first()[0]
+        hub = hub if largest > hub // 2 else None
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"), F.count("*").alias("n"))
         large = _with_least(both, least, hub).filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
