@@ -178,7 +178,8 @@ def _candidates(texts: DataFrame, similarity: float) -> DataFrame:
                 return np.concatenate([(signatures[a[:, None]] == signatures[b[i : i + 4096]][None]).sum(axis=2) for i in range(0, len(b), 4096)], axis=1)
 
             for length, first, last in levels(labels):
-                found = first + np.array(list(spanning(last - first, lambda a, b, f=first: agreeing(a + f, b + f) >= least)), dtype=np.int64).reshape(-1, 2)
+                at = first + np.argsort(nodes[first:last])  # from the least node, so that tries and levels give the same edges
+                found = at[np.array(list(spanning(last - first, lambda a, b, at=at: agreeing(at[a], at[b]) >= least)), dtype=np.int64).reshape(-1, 2)]
                 if len(found):
                     agree = (signatures[found[:, 0]] == signatures[found[:, 1]]).sum(axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(nodes[found[:, 0]]), pa.array(nodes[found[:, 1]]), pa.array(np.full(len(found), length, np.int32)), pa.array(agree.astype(np.int32))], names=["a", "b", "length", "agree"])
