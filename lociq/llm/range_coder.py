@@ -3,12 +3,12 @@
 Each block is coded on its own from a fresh model, so blocks can be read alone. Many blocks advance in
 lockstep ("lanes"): one numpy operation serves one id of every block.
 
-Within a block an id is named by the order of its first appearance; a block's header lists its distinct ids
-in that order. Per id the model makes up to three decisions:
+Within a block an id is numbered by the order of its first appearance. Per id the model makes up to three decisions:
 
 1. is it what the last two ids predict (order 2)?
 2. else, is it what the last id predicts (order 1)?
-3. else it is coded by the adaptive counts of the block so far (order 0), with an escape to "a new id".
+3. else it is coded by the adaptive counts of the block so far (order 0), with an escape to "a new id", whose value
+   follows in digits of 16 bits, all equally likely (as many as the block's largest id needs).
 
 The probabilities of 1 and 2 mix, in the logistic domain, what the predictions' confidence counters have
 been worth in this block so far, with weights that are trained as the block goes on. All arithmetic is on
@@ -28,8 +28,8 @@ _DIGIT = 16
 _TOP, _WORD = 1 << 32, 1 << 16
 _SLOTS = 4096  # contexts of two ids are hashed into so many slots
 _CONFIDENCE = 8  # counters go from 0 (nothing predicted) to 7
-_HEAD = struct.Struct("<4sIII")  # magic, ids, distinct ids, crc32 of the ids as uint32
-_MAGIC = b"LCM1"
+_HEAD = struct.Struct("<4sHHI")  # magic, ids less one, digits of a new id, crc32 of the ids as uint32
+_MAGIC = b"LCM2"
 
 #: Logistic tables: probabilities of 12 bits against stretched values of 8 fractional bits.
 _SQUASH = np.array([min(4095, max(1, int(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], dtype=np.int64)
@@ -59,6 +59,10 @@ class _Writer:
             span[full] <<= 16
         self.low[lanes], self.range[lanes] = low, span
 
+    def grow(self, more: int) -> None:
+        if self.at.max() + more > self.out.shape[1]:
+            self.out = np.pad(self.out, ((0, 0), (0, self.out.shape[1])))
+
     def words(self) -> list[bytes]:
         lanes = np.arange(len(self.low))
         for shift in (16, 0):
@@ -111,6 +115,8 @@ class _Model:
         self.counts = np.zeros(lanes * BLOCK, np.int16)
         self.seen, self.total = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.last, self.before = np.full(lanes, BLOCK, np.int64), np.full(lanes, BLOCK, np.int64)
+        #: the block's distinct ids by number, and how many digits each takes
+        self.names, self.digits = np.zeros((lanes, BLOCK), np.uint32), np.ones(lanes, np.int64)
 
     def flag(self, which: int, lanes: np.ndarray, states: tuple[np.ndarray, np.ndarray], hit: np.ndarray | None) -> np.ndarray:
         """Code one yes-or-no decision; both states index what their confidence has been worth."""
@@ -151,6 +157,7 @@ class _Model:
         at = lanes * BLOCK + ids
         known = self.counts[at]
         self.coder.narrow(lanes, part, np.where(fresh, total, below), np.where(fresh, escape, known))
+        self.name(lanes[fresh], ids[fresh])
         self.counts[at] = known + 1
         for i, sums in enumerate(self.sums):
             row = (lanes << 4 * i) + (ids >> 4 * (3 - i))
@@ -159,6 +166,21 @@ class _Model:
         self.seen[lanes] = seen + fresh
         return ids
 
+    def name(self, lanes: np.ndarray, ids: np.ndarray) -> None:
+        """Code the values of new ids, the highest digit first."""
+        for digit in (1, 0):
+            here = self.digits[lanes] > digit
+            some, number = lanes[here], ids[here]
+            if not len(some):
+                continue
+            part = self.coder.range[some] >> 16
+            if self.reading:
+                value = np.minimum(self.coder.code[some] // part, _WORD - 1)
+                self.names[some, number] |= (value << 16 * digit).astype(np.uint32)
+            else:
+                value = (self.names[some, number].astype(np.int64) >> 16 * digit) & (_WORD - 1)
+            self.coder.narrow(some, part, value, np.ones(len(some), np.int64))
+
     def step(self, n: int, ids: np.ndarray | None) -> np.ndarray:
         """One id of each of the first ``n`` lanes."""
         last, before, lane = self.last[:n], self.before[:n], self.lane[:n]
@@ -201,7 +223,7 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         return []
     order, active = _order(np.array([len(b) for b in blocks]))
     local = np.zeros((len(blocks), len(active)), np.int64)
-    heads = []
+    heads, named = [], []
     for row, i in enumerate(order):
         ids = np.asarray(blocks[i], np.uint32)
         names, first, inverse = np.unique(ids, return_index=True, return_inverse=True)
@@ -209,10 +231,15 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         rank = np.empty(len(names), np.int64)
         rank[by_place] = np.arange(len(names))
         local[row, : len(ids)] = rank[inverse]
-        heads.append(_HEAD.pack(_MAGIC, len(ids), len(names), zlib.crc32(ids.astype("<u4").tobytes())) + names[by_place].astype("<u4").tobytes())
-    writer = _Writer(len(blocks), 3 * len(active) + 4)
+        named.append(names[by_place])
+        heads.append(_HEAD.pack(_MAGIC, len(ids) - 1, 1 + int(names[-1] >= _WORD), zlib.crc32(ids.astype("<u4").tobytes())))
+    writer = _Writer(len(blocks), len(active) + 8)
     model = _Model(len(blocks), writer)
+    for lane, names in enumerate(named):
+        model.names[lane, : len(names)] = names
+        model.digits[lane] = 1 + int(names.max() >= _WORD)
     for t, n in enumerate(active):
+        writer.grow(7)  # at most five words an id, and two at the end
         model.step(n, local[:n, t].copy())
     out: list[bytes] = [b""] * len(blocks)
     for i, head, words in zip(order, heads, writer.words(), strict=True):
@@ -227,19 +254,16 @@ def decode(coded: list[bytes]) -> list[np.ndarray]:
     heads = [_HEAD.unpack_from(x) for x in coded]
     if any(h[0] != _MAGIC for h in heads):
         raise ValueError("not a block of token ids")
-    order, active = _order(np.array([h[1] for h in heads]))
-    reader = _Reader([coded[i][_HEAD.size + 4 * heads[i][2] :] for i in order])
+    order, active = _order(np.array([h[1] + 1 for h in heads]))
+    reader = _Reader([coded[i][_HEAD.size :] for i in order])
     model = _Model(len(coded), reader)
+    model.digits[:] = [heads[i][2] for i in order]
     local = np.zeros((len(coded), len(active)), np.int64)
     for t, n in enumerate(active):
         local[:n, t] = model.step(n, None)
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(coded)
     for row, i in enumerate(order):
-        names = np.frombuffer(coded[i], "<u4", heads[i][2], _HEAD.size)
-        ids = local[row, : heads[i][1]]
-        if len(ids) and ids.max() >= len(names):
-            raise ValueError("a block of token ids is damaged")
-        out[i] = names[ids]
+        out[i] = model.names[row, local[row, : heads[i][1] + 1]]
         if zlib.crc32(out[i].astype("<u4").tobytes()) != heads[i][3]:
             raise ValueError("a block of token ids is damaged")
     return out

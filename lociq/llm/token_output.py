@@ -13,49 +13,78 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociq.llm import range_coder
-from lociq.llm.common import column_of, pieces, texts_of
+from lociq.llm.common import SPACE, column_of, pieces, texts_of
 from lociq.scratch import new_path
 
 FILE_SCHEMA = "part int, segment long, part_offset long, doc_ids array<bigint>, lengths array<bigint>, blocks array<binary>"
 _SEGMENT_IDS = 1 << 18  # a segment closes at the first document that fills it
 _GROUP_BYTES = 16 << 20  # text tokenised, and coded in lockstep, at a time
-_CACHED_WORDS = 400_000  # words whose ids a Python worker remembers; beyond it starts anew
+
+_WORDS_AT_ONCE = 20_000  # distinct words that the tokenizer gets in one text
+_FOLD = bytes(32 if b in SPACE.encode() else b for b in range(256))
 
 _tokenizers: dict[int, tuple] = {}
 
 
 def _tokenizer(spec: bytes) -> tuple:
-    """The tokenizer and this worker's memory of words."""
+    """The tokenizer and its added tokens, which it finds anywhere in a text: string to id."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     key = zlib.crc32(spec)
     if key not in _tokenizers:
         made = Tokenizer.from_str(spec.decode())
-        made.encode_special_tokens = True  # their strings in a text are ordinary text
-        _tokenizers[key] = (made, {})
+        _tokenizers[key] = (made, {t.content: i for i, t in made.get_added_tokens_decoder().items()})
     return _tokenizers[key]
 
 
+def _ids_of_words(words: list[str], tokenizer, added: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words, none of which holds an added token, and where each word's end. Many words go to the tokenizer
+    as one text with an added token between them, if it has one."""
+    ids, ends, before = [], [], 0
+    between, mark = next(iter(added.items()), (None, None))
+    for i in range(0, len(words), _WORDS_AT_ONCE):
+        some = words[i : i + _WORDS_AT_ONCE]
+        if between is None:
+            found = [e.ids for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            ids += [np.array(x, np.uint32) for x in found]
+            upto = np.cumsum([len(x) for x in found])
+        else:
+            flat = np.array(tokenizer.encode_batch_fast([between.join([*some, ""])], add_special_tokens=False)[0].ids, np.uint32)
+            marks = np.flatnonzero(flat == mark)
+            ids.append(np.delete(flat, marks))
+            upto = marks - np.arange(len(marks))
+        ends.append(before + upto)
+        before = int(ends[-1][-1])
+    return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *ends])
+
+
 def tokenise(texts: list[bytes], spec: bytes) -> list[np.ndarray]:
-    """Ids of each text. The tokenizer drops white space and never joins what it separates, so each
-    distinct word between ASCII white space is encoded once."""
-    tokenizer, cache = _tokenizer(spec)
-    split = [t.split() for t in texts]
-    fresh = [w for w in {w for words in split for w in words} if w not in cache]
-    if len(cache) + len(fresh) > _CACHED_WORDS:
-        cache.clear()
-        fresh = list({w for words in split for w in words})
-    for i in range(0, len(fresh), 20_000):
-        some = fresh[i : i + 20_000]
-        for word, encoded in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-            cache[word] = np.array(encoded.ids, dtype="<u4").tobytes()
-    return [np.frombuffer(b"".join(map(cache.__getitem__, words)), dtype="<u4") for words in split]
+    """Ids of each text, as the tokenizer gives them. It drops white space and never joins what that separates, so each
+    distinct word between ASCII white space is encoded once; texts that hold an added token are encoded whole."""
+    tokenizer, added = _tokenizer(spec)
+    strings = [a.encode() for a in added]
+    whole = [any(a in t for a in strings) for t in texts]
+    split = pc.split_pattern(pa.array([b"" if w else t.translate(_FOLD) for w, t in zip(whole, texts, strict=True)], pa.large_binary()), b" ")
+    words = split.flatten()
+    filled = pc.greater(pc.binary_length(words), 0)
+    text_ends = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])[np.cumsum(pc.list_value_length(split).to_numpy())]
+    coded = words.filter(filled).dictionary_encode()
+    codes = coded.indices.to_numpy()
+    ids, ends = _ids_of_words([w.decode() for w in coded.dictionary.to_pylist()], tokenizer, added)
+    sizes = np.diff(np.concatenate([[0], ends]))[codes]
+    upto = np.cumsum(sizes)
+    flat = ids[np.repeat(ends[codes] - upto, sizes) + np.arange(int(upto[-1]) if len(upto) else 0)].astype("<u4")
+    out = np.split(flat, np.concatenate([[0], upto])[text_ends][:-1]) if texts else []
+    for i in np.flatnonzero(whole):
+        out[i] = np.array(tokenizer.encode_batch_fast([texts[i].decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+    return out
 
 
 def _blocks(segments: list[tuple[list, list[np.ndarray]]]) -> list[list[bytes]]:
@@ -116,7 +145,7 @@ def read(spark, path: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             coded = column_of(batch, "blocks")
-            for a, b in pieces(batch, [4 * range_coder.BLOCK * len(x) for x in coded], 4 * _GROUP_BYTES):
+            for a, b in pieces(batch, [4 * range_coder.BLOCK * len(x) for x in coded], 2 * _GROUP_BYTES):
                 ids = iter(range_coder.decode([x for blocks in coded[a:b] for x in blocks]))
                 starts, keys, lengths, sums, held = [], [], [], [], []
                 for i in range(a, b):

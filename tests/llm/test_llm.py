@@ -57,10 +57,18 @@ def test_range_coder_round_trips():
 
 def expected_ids(texts):
     tokenizer = Tokenizer.from_str(vocabulary("word_bpe_49k.json").decode())
-    tokenizer.encode_special_tokens = True
     return [[*e.ids, 2] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_tokens_are_the_library_s():
+    rng = random.Random(7)
+    draw = [lambda: rng.randrange(32, 127), lambda: rng.randrange(0, 64), lambda: rng.randrange(0x80, 0x500), lambda: rng.randrange(0x1F300, 0x1F700), lambda: 32]
+    texts = ["a <|endoftext|> b", "x<|startoftext|>Y z", "<|endoftext|>", "<|endof text|>", ""] + ["".join(chr(rng.choice(draw)()) for _ in range(rng.randrange(60))) for _ in range(1500)]
+    got = token_output.tokenise([t.encode() for t in texts], vocabulary("word_bpe_49k.json"))
+    assert [[*x.tolist(), 2] for x in got] == expected_ids(texts) and got[0].tolist() == [320, 49407, 321]
+    assert token_output.tokenise([], vocabulary("word_bpe_49k.json")) == []
+
+
 def test_token_files(spark, sf_dir):
     rows = {r["doc_id"]: r["text"] or "" for r in documents_of(spark, sf_dir).collect()}
     got = queries.op1_token_output(spark, sf_dir).orderBy("doc_id").collect()
