@@ -14,25 +14,28 @@ from lociq.scratch import stored
 BITS = 5  # of a quantised component: 32 cells between the block's extremes of each dimension
 BLOCK_ROWS = 16_384  # vectors in a block of the file
 QUERY_ROWS = 1_024  # queries scanned together
-_SAFE = 1 << 23  # components below it: sums of up to 128 products are exact in a double
+_EXACT = float(1 << 53)  # sums of products below it are exact in a double
+_SLACK = 1e-12  # of a bound, for the rounding of components beyond 2**53
 
 
 def whole_numbers(embedding: Column) -> Column:
-    """floor(1024 * x) of each component x, taken as double; null if one is null or not finite."""
+    """floor(1024 * x) of each component x, taken as double, as whole doubles; null if one is null or not finite."""
     x = F.transform(embedding, lambda v: v.cast("double"))
-    fine = embedding.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")) | (F.abs(v) >= 9e15 / 1024))
-    return F.when(fine, F.transform(x, lambda v: F.floor(1024 * v)))
+    fine = embedding.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    # Doubles from 2**53 on are whole already, and may not fit a long.
+    return F.when(fine, F.transform(x, lambda v: F.when(F.abs(v) < _EXACT / 1024, F.floor(1024 * v).cast("double")).otherwise(1024 * v)))
 
 
 def _pack(rows: DataFrame, group: str) -> DataFrame:
-    """One row for each block and dimension: its ids and its vectors as bytes of int64."""
+    """One row for each block and dimension: its rows' numbers, their ids, and the vectors as bytes of whole doubles."""
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id", kind="stable")
-        vectors = np.array(pdf["v"].tolist(), dtype="<i8")
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], group: [vectors.tobytes()]})
+        pdf = pdf.sort_values(["vec_id", "row"], kind="stable")
+        vectors = np.array(pdf["v"].tolist(), dtype="<f8")
+        numbers, ids = (pdf[c].to_numpy("<i8").tobytes() for c in ("row", "vec_id"))
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "dim": [pdf["dim"].iloc[0]], "rows": [numbers], "ids": [ids], group: [vectors.tobytes()]})
 
-    return rows.groupBy("block", "dim").applyInPandas(pack, f"block long, dim int, ids binary, {group} binary")
+    return rows.groupBy("block", "dim").applyInPandas(pack, f"block long, dim int, rows binary, ids binary, {group} binary")
 
 
 def _approximated(blocks: DataFrame) -> DataFrame:
@@ -42,20 +45,21 @@ def _approximated(blocks: DataFrame) -> DataFrame:
         for pdf in parts:
             cells, edges = [], []
             for dim, raw in zip(pdf["dim"], pdf["vectors"], strict=True):
-                v = np.frombuffer(raw, "<i8").reshape(-1, dim)
+                v = np.frombuffer(raw, "<f8").reshape(-1, dim)
                 low, high = v.min(axis=0), v.max(axis=0)
-                step = np.maximum(1, -(-(high - low + 1) // (1 << BITS)))
-                cells.append(((v - low) // step).astype(np.uint8).tobytes())
-                edges.append(np.stack([low, step]).astype("<i8").tobytes())
+                step = np.maximum(1, np.ceil(high / (1 << BITS) - low / (1 << BITS) + 1 / (1 << BITS)))
+                cells.append(((v - low) // step).clip(0, (1 << BITS) - 1).astype(np.uint8).tobytes())
+                edges.append(np.stack([low, step]).astype("<f8").tobytes())
             yield pdf.assign(cells=cells, edges=edges)
 
-    return blocks.mapInPandas(quantise, "block long, dim int, ids binary, vectors binary, cells binary, edges binary")
+    return blocks.mapInPandas(quantise, "block long, dim int, rows binary, ids binary, vectors binary, cells binary, edges binary")
 
 
 def _exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    if max(np.abs(query).max(initial=0), np.abs(vectors).max(initial=0)) < _SAFE:
-        return (vectors.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
-    wide = vectors.astype(object) @ query.astype(object)  # integers of any size; kept within a long
+    if np.abs(query).max(initial=0) * np.abs(vectors).max(initial=0) * len(query) < _EXACT:
+        return (vectors @ query).astype(np.int64)
+    whole = [int(x) for x in query]
+    wide = [sum(a * int(b) for a, b in zip(whole, v, strict=True)) for v in vectors]  # integers of any size; kept within a long
     return np.array([max(-(1 << 63), min((1 << 63) - 1, int(x))) for x in wide], dtype=np.int64)
 
 
@@ -66,35 +70,37 @@ def _scan(k: int):
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for row in pdf.itertuples(index=False):
-                ids, queries = np.frombuffer(row.ids, "<i8"), np.frombuffer(row.queries, "<i8").reshape(-1, row.dim)
-                query_ids = np.frombuffer(row.query_ids, "<i8")
-                low, step = np.frombuffer(row.edges, "<i8").reshape(2, -1)
+                ids, numbers, queries = np.frombuffer(row.ids, "<i8"), np.frombuffer(row.rows, "<i8"), np.frombuffer(row.queries, "<f8").reshape(-1, row.dim)
+                query_ids, query_rows = np.frombuffer(row.query_ids, "<i8"), np.frombuffer(row.query_rows, "<i8")
+                low, step = np.frombuffer(row.edges, "<f8").reshape(2, -1)
                 cells = np.frombuffer(row.cells, np.uint8).reshape(-1, row.dim)
-                floor = low + cells.astype(np.int64) * step
+                floor = low + cells * step
                 top = floor + step - 1
-                vectors = np.frombuffer(row.vectors, "<i8").reshape(-1, row.dim)
-                out_q, out_id, out_score, out_read = [], [], [], []
+                widest = np.maximum(np.abs(low), np.abs(low + step * (1 << BITS)))
+                vectors = np.frombuffer(row.vectors, "<f8").reshape(-1, row.dim)
+                out_q, out_row, out_id, out_score, out_read = [], [], [], [], []
                 for a in range(0, len(queries), 64):
-                    some = queries[a : a + 64].astype(np.float64)
-                    # Largest product that a vector in these cells can have; rounding of huge sums is allowed for.
-                    bounds = np.maximum(some, 0) @ top.T.astype(np.float64) + np.minimum(some, 0) @ floor.T.astype(np.float64)
-                    bounds += np.abs(bounds) * 1e-12
-                    for query, own, bound in zip(queries[a : a + 64], query_ids[a : a + 64], bounds, strict=True):
+                    some = queries[a : a + 64]
+                    # Largest product that a vector in these cells can have; rounding of huge numbers is allowed for.
+                    bounds = np.maximum(some, 0) @ top.T + np.minimum(some, 0) @ floor.T
+                    bounds += _SLACK * (np.abs(some) @ widest)[:, None]
+                    for query, own, own_row, bound in zip(some, query_ids[a : a + 64], query_rows[a : a + 64], bounds, strict=True):
                         best_s, best_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
                         order, at, step_rows = np.argsort(-bound, kind="stable"), 0, 4 * k
                         # Certain once the kth score is above every bound that is left.
                         while at < len(order) and (len(best_s) < k or bound[order[at]] >= best_s[-1]):
                             some_rows = order[at : at + step_rows]
                             at, step_rows = at + len(some_rows), 2 * step_rows
-                            some_rows = some_rows[ids[some_rows] != own]
+                            some_rows = some_rows[numbers[some_rows] != own_row]
                             best_s, best_i = np.append(best_s, _exact(query, vectors[some_rows])), np.append(best_i, ids[some_rows])
-                            best = np.lexsort((best_i, -best_s))[:k]
+                            best = np.lexsort((best_i, ~best_s))[:k]  # no overflow, unlike minus
                             best_s, best_i = best_s[best], best_i[best]
                         out_q += [own] * len(best_s)
+                        out_row += [own_row] * len(best_s)
                         out_id += best_i.tolist()
                         out_score += best_s.tolist()
                         out_read += [at] * len(best_s)
-                yield pd.DataFrame({"query_id": out_q, "vec_id": out_id, "score": out_score, "n_read": out_read}, dtype="int64")
+                yield pd.DataFrame({"query_id": out_q, "query_row": out_row, "vec_id": out_id, "score": out_score, "n_read": out_read}, dtype="int64")
 
     return scan
 
@@ -104,20 +110,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     other rows, ties to the smaller vec_id; all, if there are fewer.
 
     Vectors that are null or empty, or hold a null or non-finite component, take no part; nor do rows without
-    vec_id.
-    Vectors meet only those of their own length. Rows with a query's own vec_id are not its candidates; other
-    repeated ids each count. Extra columns are ignored; an empty table gives no rows.
+    vec_id. Every other vector does, however large: products are exact whole numbers, and a score beyond a long is the
+    nearest long. Vectors meet only those of their own length. Rows, not ids, are queries and candidates: rows that
+    repeat an id are candidates each, of one another too, and a repeated query gives its ranks once for each row.
+    Extra columns are ignored; an empty table gives no rows.
 
     Queries are scanned against the file in blocks: each block of queries meets each block of vectors once.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), whole_numbers(F.col("embedding")).alias("v"), is_query.alias("asks"))
-    rows = stored(rows.withColumn("dim", F.size("v")).filter((F.col("dim") > 0) & F.col("vec_id").isNotNull()), "vectors")
+    rows = rows.withColumn("dim", F.size("v")).filter((F.col("dim") > 0) & F.col("vec_id").isNotNull())
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
     n, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
     blocks, groups = max(1, -(-n // BLOCK_ROWS)), max(1, -(-asking // QUERY_ROWS))
-    spread = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts))
+    spread = lambda parts: F.pmod(F.xxhash64("vec_id", "row"), F.lit(parts))
     file = _approximated(_pack(rows.withColumn("block", spread(blocks)), "vectors"))
-    queries = _pack(rows.filter("asks").withColumn("block", spread(groups)), "queries").select(F.col("block").alias("group"), "dim", F.col("ids").alias("query_ids"), "queries")
+    queries = _pack(rows.filter("asks").withColumn("block", spread(groups)), "queries").select(F.col("block").alias("group"), "dim", F.col("ids").alias("query_ids"), F.col("rows").alias("query_rows"), "queries")
     met = file.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))).join(queries, ["group", "dim"])
-    found = met.mapInPandas(_scan(k), "query_id long, vec_id long, score long, n_read long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = met.mapInPandas(_scan(k), "query_id long, query_row long, vec_id long, score long, n_read long")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

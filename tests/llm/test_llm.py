@@ -531,6 +531,21 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert topk_search.top_k(table.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_takes_large_vectors_and_repeated_queries(spark):
+    rng = random.Random(9)
+    vectors = [(100, [1e13, 3.0]), (100, [1e13, 3.0]), (1, [-1e300 / 1e280, 0.5]), (2, [8.9e12, -1.0]), (3, [0.5, 0.25]), (200, [0.1, -0.2])] + [(10 + i, [rng.uniform(-1e9, 1e9), rng.uniform(-1, 1)]) for i in range(40)]
+    wide = [(1000 + i, [float(rng.randrange(1 << 23)) / 1024 for _ in range(512)]) for i in range(30)]
+    whole = lambda v: [math.floor(1024 * x) for x in v]
+    for rows in (vectors, wide):
+        expected = []
+        for i, (q, v) in enumerate(rows):
+            if q % 100 == 0:
+                scores = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(whole(v), whole(u), strict=True)))), c) for j, (c, u) in enumerate(rows) if j != i)
+                expected += [(q, rank + 1, c, -s) for rank, (s, c) in enumerate(scores[:10])]
+        got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 100 == 0)
+        assert sorted(map(tuple, got.collect())) == sorted(expected)
+
+
 # The pipeline
 
 
