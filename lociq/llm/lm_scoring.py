@@ -28,10 +28,10 @@ FOLDS, HELD = 7, 2
 #: Corpus contexts: the word's last 2, 3 and 4 bytes, and the word so far. Logarithms of the first three tables; the
 #: last one grows with the distinct words, up to MOST_LOG (2 bytes a state in every worker).
 SLOTS_LOG = (17, 20, 22)
-LEAST_LOG, MOST_LOG, STATES_A_WORD = 18, 26, 6
+LEAST_LOG, MOST_LOG, STATES_A_WORD = 18, 26, 4
 CONTEXTS, GATES = 4, 8
 _SEGMENT = 1 << 17  # states that travel together when counts are summed
-_HELD_PLACES = 8_000_000  # partial counts that a task holds before it passes them on
+_HELD_PLACES = 2_000_000  # partial counts that a task holds before it passes them on
 _DICTIONARY_BYTES = 32 << 20  # text that shares one dictionary of words
 _SCORED_BYTES = 3 << 20  # text scored in lockstep
 STRETCH_WORDS = 512  # after so many words a text's own learning starts anew, so that long texts are scored in parallel
@@ -296,7 +296,7 @@ def _trained(words: DataFrame, n_texts: int, n_words: int) -> Mixer:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Partial counts: for each stretch of the table, places in it (slot and bit) and how often."""
         held: list[np.ndarray] = []
-        for some, n in _in_batches(batches, 20_000):
+        for some, n in _in_batches(batches, 10_000):
             bits = decisions(some, shared.value, logs)
             times = np.repeat(np.minimum(n, 1 << _COUNT_BITS - 8), np.diff(np.concatenate([[0], bits.ends]))).astype(np.uint64)
             for slots in bits.slots:
@@ -345,7 +345,7 @@ def _newton(words: DataFrame, table, weights: np.ndarray) -> np.ndarray:
 
     def gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((GATES, CONTEXTS, CONTEXTS + 1))
-        for some, n in _in_batches(batches, 20_000):
+        for some, n in _in_batches(batches, 10_000):
             bits = decisions(some, table.value.code, table.value.logs)
             turn = bits.turns.astype(np.int32) << 16
             said = [_SAYS_WITHOUT[turn | table.value.states[slots]] for slots in bits.slots]
