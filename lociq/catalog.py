@@ -256,6 +256,11 @@ def variant_barcode_freq(spark, sf_dir, whole=False):
     return reads.barcode_frequency(_detected(spark, sf_dir, whole))
 
 
+@_query("SELECT chrom, pos, ref, alt, count(DISTINCT barcode) AS n_barcodes, count(DISTINCT barcode)::DOUBLE / (SELECT count(DISTINCT barcode) FROM detected) AS freq, 'B=' || min(barcode) AS info FROM detected GROUP BY chrom, pos, ref, alt")
+def variant_first_info(spark, sf_dir, whole=False):
+    return reads.barcode_frequency(_detected(spark, sf_dir, whole).withColumn("info", F.concat(F.lit("B="), "barcode")))
+
+
 # Spots
 
 
@@ -431,7 +436,10 @@ def class_report(spark, sf_dir):
     return reports.class_report(reports.confusion(_guessed(spark, sf_dir)))
 
 
-@_query(f"SELECT avg(coalesce(2 * hit / nullif(guessed + support, 0), 0)) AS variant_f1 FROM {_f1(chr(87) + 'HERE label IN (' + repr('heterozygous') + ', ' + repr('homozygous') + ')')} WHERE class <> 'no_variance'")
+_VARIANT_LABELS = "WHERE label IN ('heterozygous', 'homozygous')"
+
+
+@_query(f"SELECT avg(coalesce(2 * hit / nullif(guessed + support, 0), 0)) AS variant_f1 FROM {_f1(_VARIANT_LABELS)} WHERE class <> 'no_variance'")
 def variant_f1(spark, sf_dir):
     return reports.variant_f1(_guessed(spark, sf_dir))
 

@@ -49,8 +49,10 @@ def with_annotation(found: DataFrame, pool: DataFrame) -> DataFrame:
 
 
 def barcode_frequency(found: DataFrame) -> DataFrame:
-    """For each variant: barcodes that have it, and their share of all barcodes with any variant."""
+    """For each variant: barcodes that have it, and their share of all barcodes with any variant; if ``found`` has a
+    column info, also that of the variant's least barcode (of repeated rows the least info)."""
     # One row: the number of barcodes.
     total = found.agg(F.count_distinct("barcode").alias("total"))
-    seen = found.groupBy(*KEY).agg(F.count_distinct("barcode").alias("n_barcodes"))
+    first = [F.min(F.struct("barcode", "info"))["info"].alias("info")] if "info" in found.columns else []
+    seen = found.groupBy(*KEY).agg(F.count_distinct("barcode").alias("n_barcodes"), *first)
     return seen.join(F.broadcast(total)).withColumn("freq", F.col("n_barcodes").cast("double") / F.col("total")).drop("total")
