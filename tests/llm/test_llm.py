@@ -237,6 +237,8 @@ def test_toxicity_on_held_out_rows(spark):
     sf_dir = "/root/testdata/sf0.1"
     rows = queries.op10_toxicity(spark, sf_dir).join(common.labels(spark, sf_dir), "doc_id").toPandas()
     assert accuracy(rows, "toxic") > 0.95 and rows.score.between(0, 1).all()
+    toxic = rows[rows.held_out & (rows.toxic == 1)]
+    assert len(toxic) > 50 and toxic.predicted.mean() > 0.85  # most toxic rows are found, not only the many clean ones
 
 
 @pytest.mark.parametrize("operator,column", [(quality_classifier, "quality"), (toxicity, "toxic")])
