@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +10,8 @@ from pyspark.sql import functions as F
 from lociq.functions import fields
 from lociq.operators import genotype, learning, matrix, panel, reads, reports, spatial, transitions
 from lociq.plans import views
-from lociq.sources import sinks
+from lociq.scratch import new_path
+from lociq.sources import readers, sinks
 from lociq.streaming import counts as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,17 +20,12 @@ ORACLES: dict[str, str] = {}
 
 
 def _query(sql: str | None) -> Callable[[Query], Query]:
-    """Register a query under its function's name; ``sql`` may use the views of plans.views. A query with an argument
-    ``whole`` is also registered as NAME_whole, over all spots and all target positions."""
+    """Register a query under its function's name; ``sql`` may use the views of plans.views."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = f"WITH {views.SQL} {sql}"
-        if "whole" in inspect.signature(f).parameters:
-            QUERIES[f"{f.__name__}_whole"] = functools.partial(f, whole=True)
-            if sql:
-                ORACLES[f"{f.__name__}_whole"] = f"WITH {views.WHOLE_SQL} {sql}"
         return f
 
     return add
@@ -45,20 +39,20 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transitions.error_status(views.calls(spark, sf_dir), transitions.thresholds(_changes(spark, sf_dir)))
 
 
-def _edges(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return spatial.graph(views.spots(spark, sf_dir, whole), views.RADIUS2**0.5)
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.graph(views.spots(spark, sf_dir), views.RADIUS2**0.5)
 
 
-def _overlaps(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return reads.first_overlaps(views.interval_reads(spark, sf_dir, whole), views.target_positions(spark, sf_dir, whole))
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.first_overlaps(views.interval_reads(spark, sf_dir), views.target_positions(spark, sf_dir))
 
 
-def _detected(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return reads.detected(_overlaps(spark, sf_dir, whole), views.target_positions(spark, sf_dir, whole))
+def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.detected(_overlaps(spark, sf_dir), views.target_positions(spark, sf_dir))
 
 
-def _filtered(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return spatial.supported(views.spot_snvs(spark, sf_dir, whole), _edges(spark, sf_dir, whole), views.spots(spark, sf_dir, whole))
+def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.supported(views.spot_snvs(spark, sf_dir), _edges(spark, sf_dir), views.spots(spark, sf_dir))
 
 
 # Genotype calling
@@ -97,11 +91,11 @@ def site_filter(spark, sf_dir):
     return genotype.snv_sites(rows).select("chrom", "pos", "ref", "alt")
 
 
-@_query("""SELECT chrom, pos, ref, a.alt AS alt, a.het AS het, a.hom AS hom FROM (SELECT chrom, pos, ref, unnest([{'alt': list_sort(list(alt))[1], 'het': 1, 'hom': 2}, {'alt': list_sort(list(alt))[2], 'het': 3, 'hom': 5}]) AS a
-    FROM sites GROUP BY chrom, pos, ref HAVING count(*) >= 2)""")
+@_query("""SELECT chrom, pos, ref, alt, (k * (k + 1) / 2)::INTEGER AS het, (k * (k + 1) / 2)::INTEGER + k::INTEGER AS hom
+    FROM (SELECT *, row_number() OVER (PARTITION BY chrom, pos, ref ORDER BY alt) AS k, count(*) OVER (PARTITION BY chrom, pos, ref) AS n FROM sites) WHERE n >= 2""")
 def multiallelic_split(spark, sf_dir):
-    both = views.variants(spark, sf_dir).groupBy("chrom", "pos", "ref").agg(F.array_sort(F.collect_list("alt")).alias("a")).filter(F.size("a") >= 2)
-    rows = both.select("chrom", "pos", "ref", F.concat_ws(",", F.slice("a", 1, 2)).alias("alt"), F.array(*[F.lit(i) for i in range(6)]).alias("pl"))
+    several = views.variants(spark, sf_dir).groupBy("chrom", "pos", "ref").agg(F.array_sort(F.collect_list("alt")).alias("a")).filter(F.size("a") >= 2)
+    rows = several.select("chrom", "pos", "ref", F.concat_ws(",", "a").alias("alt"), F.array(*[F.lit(i) for i in range(10)]).alias("pl"))  # at most three alleles
     return genotype.split_multiallelic(rows).select("chrom", "pos", "ref", "alt", F.get("pl", F.lit(1)).alias("het"), F.get("pl", F.lit(2)).alias("hom"))
 
 
@@ -230,115 +224,115 @@ def depth_histogram(spark, sf_dir):
 
 
 @_query("SELECT read_id, barcode, pos FROM hits")
-def range_detect(spark, sf_dir, whole=False):
-    return _overlaps(spark, sf_dir, whole).select("read_id", "barcode", "pos")
+def range_detect(spark, sf_dir):
+    return _overlaps(spark, sf_dir).select("read_id", "barcode", "pos")
 
 
 @_query("SELECT i.barcode, count(*) AS n_kept FROM intervals i WHERE read_id IN (SELECT read_id FROM hits) GROUP BY i.barcode")
-def reads_kept(spark, sf_dir, whole=False):
-    return reads.kept_reads(views.interval_reads(spark, sf_dir, whole), _overlaps(spark, sf_dir, whole)).groupBy("barcode").agg(F.count("*").alias("n_kept"))
+def reads_kept(spark, sf_dir):
+    return reads.kept_reads(views.interval_reads(spark, sf_dir), _overlaps(spark, sf_dir)).groupBy("barcode").agg(F.count("*").alias("n_kept"))
 
 
 @_query("SELECT barcode, chrom, pos, ref, alt FROM detected")
-def detected_snvs(spark, sf_dir, whole=False):
-    return _detected(spark, sf_dir, whole)
+def detected_snvs(spark, sf_dir):
+    return _detected(spark, sf_dir)
 
 
 @_query("""SELECT d.barcode, d.chrom, d.pos, d.ref, d.alt, coalesce(a.info, '.') AS info, coalesce(a.race, 'unknown') AS race FROM detected d
     LEFT JOIN (SELECT pos, ref, alt, 'P=' || pos AS info, 'defined' AS race FROM targets WHERE pos % 2 = 0) a ON a.pos = d.pos AND a.ref = d.ref AND a.alt = d.alt""")
-def detected_annotated(spark, sf_dir, whole=False):
-    pool = views.target_positions(spark, sf_dir, whole).filter("pos % 2 = 0").select("chrom", "pos", "ref", "alt", F.concat(F.lit("P="), F.col("pos").cast("string")).alias("info"), F.lit("defined").alias("race"))
-    return reads.with_annotation(_detected(spark, sf_dir, whole), pool).select("barcode", "chrom", "pos", "ref", "alt", "info", "race")
+def detected_annotated(spark, sf_dir):
+    pool = views.target_positions(spark, sf_dir).filter("pos % 2 = 0").select("chrom", "pos", "ref", "alt", F.concat(F.lit("P="), F.col("pos").cast("string")).alias("info"), F.lit("defined").alias("race"))
+    return reads.with_annotation(_detected(spark, sf_dir), pool).select("barcode", "chrom", "pos", "ref", "alt", "info", "race")
 
 
 @_query("SELECT chrom, pos, ref, alt, count(DISTINCT barcode) AS n_barcodes, count(DISTINCT barcode)::DOUBLE / (SELECT count(DISTINCT barcode) FROM detected) AS freq FROM detected GROUP BY chrom, pos, ref, alt")
-def variant_barcode_freq(spark, sf_dir, whole=False):
-    return reads.barcode_frequency(_detected(spark, sf_dir, whole))
+def variant_barcode_freq(spark, sf_dir):
+    return reads.barcode_frequency(_detected(spark, sf_dir))
 
 
 @_query("SELECT chrom, pos, ref, alt, count(DISTINCT barcode) AS n_barcodes, count(DISTINCT barcode)::DOUBLE / (SELECT count(DISTINCT barcode) FROM detected) AS freq, 'B=' || min(barcode) AS info FROM detected GROUP BY chrom, pos, ref, alt")
-def variant_first_info(spark, sf_dir, whole=False):
-    return reads.barcode_frequency(_detected(spark, sf_dir, whole).withColumn("info", F.concat(F.lit("B="), "barcode")))
+def variant_first_info(spark, sf_dir):
+    return reads.barcode_frequency(_detected(spark, sf_dir).withColumn("info", F.concat(F.lit("B="), "barcode")))
 
 
 # Spots
 
 
 @_query("SELECT barcode, x, y FROM spots WHERE in_tissue = 1 AND barcode NOT IN ('s3', 's4')")
-def in_tissue_spots(spark, sf_dir, whole=False):
+def in_tissue_spots(spark, sf_dir):
     missing = spark.createDataFrame([("s3",), ("s4",)], "barcode string")
-    return spatial.in_tissue(views.spots(spark, sf_dir, whole), missing).select("barcode", "x", "y")
+    return spatial.in_tissue(views.spots(spark, sf_dir), missing).select("barcode", "x", "y")
 
 
 @_query("SELECT src, dst, dist2 FROM edges")
-def knn_graph(spark, sf_dir, whole=False):
-    return _edges(spark, sf_dir, whole)
+def knn_graph(spark, sf_dir):
+    return _edges(spark, sf_dir)
 
 
 @_query("SELECT barcode, (SELECT count(*) FROM edges WHERE src = barcode) AS degree FROM spots")
-def graph_degree(spark, sf_dir, whole=False):
-    return spatial.degrees(views.spots(spark, sf_dir, whole), _edges(spark, sf_dir, whole))
+def graph_degree(spark, sf_dir):
+    return spatial.degrees(views.spots(spark, sf_dir), _edges(spark, sf_dir))
 
 
 @_query("SELECT avg(d) AS mean, min(d) AS min, max(d) AS max FROM (SELECT (SELECT count(*) FROM edges WHERE src = barcode) AS d FROM spots)")
-def graph_stats(spark, sf_dir, whole=False):
-    return spatial.degree_stats(spatial.degrees(views.spots(spark, sf_dir, whole), _edges(spark, sf_dir, whole)))
+def graph_stats(spark, sf_dir):
+    return spatial.degree_stats(spatial.degrees(views.spots(spark, sf_dir), _edges(spark, sf_dir)))
 
 
 @_query("SELECT barcode, chrom, pos, support FROM supports")
-def neighbour_support(spark, sf_dir, whole=False):
-    return spatial.support(views.spot_snvs(spark, sf_dir, whole), _edges(spark, sf_dir, whole))
+def neighbour_support(spark, sf_dir):
+    return spatial.support(views.spot_snvs(spark, sf_dir), _edges(spark, sf_dir))
 
 
 @_query("SELECT barcode, chrom, pos FROM filtered")
-def spatial_filter(spark, sf_dir, whole=False):
-    return _filtered(spark, sf_dir, whole)
+def spatial_filter(spark, sf_dir):
+    return _filtered(spark, sf_dir)
 
 
 @_query("""SELECT barcode, chrom, pos FROM supports WHERE (support >= 3 OR (chrom, pos) IN (SELECT (replace(chrom, 'chr', ''), pos) FROM panel WHERE pos % 4 = 1)) AND barcode IN (SELECT barcode FROM spots)""")
-def spatial_filter_kept(spark, sf_dir, whole=False):
+def spatial_filter_kept(spark, sf_dir):
     kept = spatial.pool_positions(views.panel(spark, sf_dir).filter("pos % 4 = 1"), allow_multiallelic=True)
-    return spatial.supported(views.spot_snvs(spark, sf_dir, whole), _edges(spark, sf_dir, whole), views.spots(spark, sf_dir, whole), 3, kept)
+    return spatial.supported(views.spot_snvs(spark, sf_dir), _edges(spark, sf_dir), views.spots(spark, sf_dir), 3, kept)
 
 
 @_query("""SELECT barcode, chrom, pos FROM spot_snvs WHERE (chrom, pos) NOT IN (SELECT (replace(chrom, 'chr', ''), pos) FROM calls WHERE pos % 5 = 0) AND (chrom, pos) IN (SELECT (replace(chrom, 'chr', ''), pos) FROM panel)""")
-def spatial_exclude_include(spark, sf_dir, whole=False):
-    out = spatial.excluded(views.spot_snvs(spark, sf_dir, whole), spatial.pool_positions(views.calls(spark, sf_dir).filter("pos % 5 = 0")))
+def spatial_exclude_include(spark, sf_dir):
+    out = spatial.excluded(views.spot_snvs(spark, sf_dir), spatial.pool_positions(views.calls(spark, sf_dir).filter("pos % 5 = 0")))
     return spatial.included(out, spatial.pool_positions(views.panel(spark, sf_dir)))
 
 
 @_query("SELECT barcode, n_before, n_after FROM counted")
-def spot_counts(spark, sf_dir, whole=False):
-    return spatial.counts(views.spots(spark, sf_dir, whole), views.spot_snvs(spark, sf_dir, whole), _filtered(spark, sf_dir, whole))
+def spot_counts(spark, sf_dir):
+    return spatial.counts(views.spots(spark, sf_dir), views.spot_snvs(spark, sf_dir), _filtered(spark, sf_dir))
 
 
 @_query("SELECT count(*) AS n_spots, count(*) FILTER (n_after > 0) AS n_nonzero, sum(n_after)::BIGINT AS total, max(n_after) AS max, avg(n_after) AS mean FROM counted")
-def map_summary(spark, sf_dir, whole=False):
-    return spatial.map_summary(spot_counts(spark, sf_dir, whole))
+def map_summary(spark, sf_dir):
+    return spatial.map_summary(spot_counts(spark, sf_dir))
 
 
 @_query("""SELECT *, 100 * ((snvs_before - snvs_after)::DOUBLE / snvs_before) AS removed_pct, kept_pairs::DOUBLE / spots_after AS mean_kept FROM (SELECT count(*) AS n_spots, count(*) FILTER (n_before > 0) AS spots_before, count(*) FILTER (n_after > 0) AS spots_after,
     max(n_after) AS max_kept, sum(n_after)::BIGINT AS kept_pairs, (SELECT count(DISTINCT (chrom, pos)) FROM spot_snvs) AS snvs_before, (SELECT count(DISTINCT (chrom, pos)) FROM filtered) AS snvs_after FROM counted)""")
-def spatial_statistics(spark, sf_dir, whole=False):
-    return spatial.filter_statistics(spot_counts(spark, sf_dir, whole), views.spot_snvs(spark, sf_dir, whole), _filtered(spark, sf_dir, whole))
+def spatial_statistics(spark, sf_dir):
+    return spatial.filter_statistics(spot_counts(spark, sf_dir), views.spot_snvs(spark, sf_dir), _filtered(spark, sf_dir))
 
 
 @_query("SELECT barcode, y * 0.25 AS x_plot, x * 0.25 AS y_plot FROM spots")
-def plot_coordinates(spark, sf_dir, whole=False):
-    return spatial.plot_coordinates(views.spots(spark, sf_dir, whole), 0.25)
+def plot_coordinates(spark, sf_dir):
+    return spatial.plot_coordinates(views.spots(spark, sf_dir), 0.25)
 
 
 # Matrix and sinks
 
 
 @_query("SELECT DISTINCT barcode, chrom || '_' || pos AS snv FROM filtered")
-def snv_matrix_long(spark, sf_dir, whole=False):
-    return matrix.long(_filtered(spark, sf_dir, whole))
+def snv_matrix_long(spark, sf_dir):
+    return matrix.long(_filtered(spark, sf_dir))
 
 
 @_query("SELECT snv, row_number() OVER (ORDER BY snv) - 1 AS place FROM (SELECT DISTINCT chrom || '_' || pos AS snv FROM filtered)")
-def matrix_columns(spark, sf_dir, whole=False):
-    return matrix.columns(_filtered(spark, sf_dir, whole))
+def matrix_columns(spark, sf_dir):
+    return matrix.columns(_filtered(spark, sf_dir))
 
 
 _PIVOTED = ["9_8", "10_9", "11_10", "13_12", "15_14", "no_such"]
@@ -349,9 +343,15 @@ def snv_matrix_pivot(spark, sf_dir):
     return matrix.pivoted(_filtered(spark, sf_dir), _PIVOTED)
 
 
+@_query("""SELECT barcode, place // 32 AS block, sum(1::BIGINT << (place % 32)::INTEGER)::BIGINT AS present FROM (SELECT DISTINCT barcode, chrom || '_' || pos AS snv FROM filtered)
+    JOIN (SELECT snv, row_number() OVER (ORDER BY snv) - 1 AS place FROM (SELECT DISTINCT chrom || '_' || pos AS snv FROM filtered)) USING (snv) GROUP BY ALL""")
+def snv_matrix_blocks(spark, sf_dir):
+    return matrix.blocks(_filtered(spark, sf_dir))
+
+
 @_query("SELECT barcode, count(*) AS n_snvs FROM filtered GROUP BY barcode")
-def matrix_row_sums(spark, sf_dir, whole=False):
-    return matrix.per_spot(_filtered(spark, sf_dir, whole))
+def matrix_row_sums(spark, sf_dir):
+    return matrix.per_spot(_filtered(spark, sf_dir))
 
 
 @_query("""SELECT chrom, pos, concat_ws(chr(9), chrom, pos, '.', ref, alt, CASE WHEN qual = floor(qual) THEN floor(qual)::BIGINT || '.0' ELSE qual::VARCHAR END, '.', 'DP=' || dp, 'GT', gt) AS line FROM calls""")
@@ -360,6 +360,43 @@ def vcf_lines(spark, sf_dir):
     return sinks.vcf_lines(rows)
 
 
+@_query("SELECT chrom, pos, ref, alt, 'DP=' || dp AS info, 'GT' AS format, gt AS sample FROM calls")
+def vcf_read_back(spark, sf_dir):
+    path = new_path(spark, "vcf")
+    sinks.write_vcf(views.calls(spark, sf_dir).withColumns({"info": F.concat(F.lit("DP="), F.col("dp").cast("string")), "format": F.lit("GT"), "sample": F.col("gt")}), path)
+    return readers.vcf(spark, path).select("chrom", "pos", "ref", "alt", "info", "format", "sample")
+
+
+@_query("SELECT barcode, in_tissue, x, y FROM spots")
+def positions_read_back(spark, sf_dir):
+    path = new_path(spark, "positions")
+    sinks.write_csv(views.spots(spark, sf_dir).select("barcode", "in_tissue", F.lit(0).alias("array_row"), F.lit(0).alias("array_col"), "x", "y"), path)
+    return readers.positions(spark, path, header=True).select("barcode", "in_tissue", "x", "y")
+
+
+@_query("SELECT barcode, chrom, pos FROM filtered")
+def spot_snvs_read_back(spark, sf_dir):
+    path = new_path(spark, "spot-snvs")
+    sinks.write_spot_snvs(_filtered(spark, sf_dir), path)
+    return readers.spot_folders(spark, path).select("barcode", "chrom", "pos")
+
+
+@_query("SELECT barcode FROM spots WHERE in_tissue = 1")
+def barcodes_read_back(spark, sf_dir):
+    path = new_path(spark, "barcodes")
+    lines = F.when(F.col("in_tissue") == 1, F.concat("barcode", F.lit("\t1"))).otherwise("")  # blank lines are left out
+    views.spots(spark, sf_dir).select(lines).write.option("compression", "gzip").text(path)
+    return readers.barcode_list(spark, path)
+
+
+@_query("SELECT read_id, barcode, start0 FROM intervals WHERE read_id % 60 >= 20 AND (start0 + 1) % 40 >= 13")
+def reads_read_back(spark, sf_dir):
+    path = new_path(spark, "reads")
+    rows = views.interval_reads(spark, sf_dir).withColumns({"mapq": (F.col("read_id") % 60).cast("int"), "baseq": ((F.col("start0") + 1) % 40).cast("int")})
+    rows.write.parquet(path)
+    return readers.reads(spark, path, min_mapq=20, min_baseq=13).select("read_id", "barcode", "start0")
+
+
 # Learning
 
 
@@ -450,7 +487,9 @@ def classifier_scores(spark, sf_dir):
     calls = learning.filled_with_zero(learning.features(views.calls(spark, sf_dir)))
     rows = learning.split(learning.training_sets(_changes(spark, sf_dir))).join(calls, ["chrom", "pos", "ref", "alt"])
     model = learning.train(learning.sampled(rows.filter("NOT is_test"), 20_000).select("chrom", "pos", "ref", "alt", "label", *learning.FEATURES), "forest")
-    return learning.confident(learning.classified(model, rows.filter("is_test")), 0.4).select("chrom", "pos", "ref", "alt", "label", "predicted", "p_het", "p_hom", "p_novar")
+    path = new_path(spark, "model")
+    learning.save(model, path)
+    return learning.confident(learning.classified(learning.load(path), rows.filter("is_test")), 0.4).select("chrom", "pos", "ref", "alt", "label", "predicted", "p_het", "p_hom", "p_novar")
 
 
 # Sections, runs and streams
@@ -458,8 +497,6 @@ def classifier_scores(spark, sf_dir):
 
 @_query("SELECT section, count(*) AS n FROM (SELECT CASE WHEN pos % 2 = 0 THEN 'even' ELSE 'odd' END AS section FROM calls) GROUP BY section")
 def section_union(spark, sf_dir):
-    from lociq.sources import readers
-
     calls = views.calls(spark, sf_dir)
     return readers.sections({"even": calls.filter("pos % 2 = 0"), "odd": calls.filter("pos % 2 = 1")}).groupBy("section").agg(F.count("*").alias("n"))
 
@@ -473,3 +510,30 @@ def run_metrics(spark, sf_dir):
 @_query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
     return streaming.windowed(views.table(spark, sf_dir, "events"))
+
+
+#: Second names, from when these queries had a smaller form.
+for _name in (
+    "range_detect",
+    "reads_kept",
+    "detected_snvs",
+    "detected_annotated",
+    "variant_barcode_freq",
+    "variant_first_info",
+    "in_tissue_spots",
+    "knn_graph",
+    "graph_degree",
+    "graph_stats",
+    "neighbour_support",
+    "spatial_filter",
+    "spatial_filter_kept",
+    "spatial_exclude_include",
+    "spot_counts",
+    "map_summary",
+    "spatial_statistics",
+    "plot_coordinates",
+    "snv_matrix_long",
+    "matrix_columns",
+    "matrix_row_sums",
+):
+    QUERIES[f"{_name}_whole"], ORACLES[f"{_name}_whole"] = QUERIES[_name], ORACLES[_name]

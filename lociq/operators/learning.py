@@ -10,11 +10,12 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.ml.evaluation import Evaluator
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociq.functions import fields
 from lociq.operators import reports
+from lociq.operators.ordering import numbered
 
 CLASSES = ("heterozygous", "homozygous", "no_variance")
 #: Filled from INFO, and from the sample; the others are in the vector but always 0.
@@ -96,9 +97,8 @@ def sampled(rows: DataFrame, most: int, seed: int = 42) -> DataFrame:
 def split(rows: DataFrame, test_share: float = 0.2) -> DataFrame:
     """Adds ``is_test``, true for that share of every class, chosen by the key's hash (md5, so any engine can repeat it)."""
     key = F.md5(F.concat_ws("_", "chrom", F.col("pos").cast("string"), "ref", "alt"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(key, "chrom", "pos"))
-    size = F.count("*").over(Window.partitionBy("label"))
-    return rows.withColumn("is_test", rank <= F.ceil(size * test_share))
+    ranked = numbered(rows.withColumn("__key", key), ["__key", "chrom", "pos"], ["label"])
+    return ranked.withColumn("is_test", F.col("place") < F.ceil(F.col("among") * test_share)).select(*rows.columns, "is_test")
 
 
 def explained_variance(rows: DataFrame, names: tuple[str, ...], threshold: float = 0.95) -> tuple[list[float], int]:
@@ -153,6 +153,15 @@ def classified(model: PipelineModel | CrossValidatorModel, rows: DataFrame) -> D
     return out.withColumns({"predicted": name, **named}).select(*rows.columns, "predicted", *named)
 
 
+def save(model: PipelineModel | CrossValidatorModel, path: str) -> None:
+    """Keep a fitted model, of a search the best one, for other sections."""
+    (model.bestModel if isinstance(model, CrossValidatorModel) else model).write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def tagged(rows: DataFrame, model: str) -> DataFrame:
     """INFO with the class and its probabilities (four decimals) appended."""
     info = fields.with_tag(F.col("info"), f"{model}_CLASS", F.col("predicted"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lociq.functions import fields
+
 VCF_COLUMNS = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info", "format", "sample")
 POSITION_SCHEMA = "barcode STRING, in_tissue INT, array_row INT, array_col INT, x DOUBLE, y DOUBLE"
 SCALE_SCHEMA = "spot_diameter_fullres DOUBLE, tissue_hires_scalef DOUBLE"
@@ -65,6 +67,13 @@ def spot_snvs(spark: SparkSession, path: str) -> DataFrame:
     return out.filter("pos IS NOT NULL")
 
 
+def spot_folders(spark: SparkSession, path: str) -> DataFrame:
+    """(barcode, chrom, pos) of folders barcode=NAME with "chrom pos" lines, as sinks.write_spot_snvs writes them."""
+    words = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.schema("value STRING, barcode STRING").text(path).select("barcode", words.alias("w")).filter(F.size("w") >= 2)
+    return rows.select("barcode", fields.bare_chrom(F.get("w", F.lit(0))).alias("chrom"), F.get("w", F.lit(1)).try_cast("int").alias("pos")).filter("pos IS NOT NULL")
+
+
 def reads(spark: SparkSession, path: str, min_mapq: int = 0, min_baseq: int = 0, chrom: str | None = None) -> DataFrame:
     """Aligned reads stored as Parquet, quality limits and chromosome pushed into the scan."""
     rows = spark.read.schema(READ_SCHEMA).parquet(path).filter((F.col("mapq") >= min_mapq) & (F.col("baseq") >= min_baseq))
