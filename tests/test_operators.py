@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lociq.components import components
 from lociq.functions import fields
-from lociq.operators import genotype, learning, matrix, panel, reads, reports, spatial, transitions
+from lociq.operators import genotype, learning, matrix, ordering, panel, reads, reports, spatial, transitions
 from lociq.plans import pipelines
 from lociq.sources import config, readers, sinks
 from lociq.streaming import counts as streaming
@@ -209,6 +209,31 @@ def test_matrix(spark):
     assert [r["snv"] for r in matrix.columns(snvs.unionByName(snvs.withColumn("pos", F.lit(10)))).orderBy("place").collect()] == ["1_10", "1_5", "2_10", "2_6"]
 
 
+def test_matrix_blocks_hold_every_pair(spark):
+    snvs = spark.createDataFrame([("a", "1", p) for p in range(100, 170)] + [("b", "1", 101), ("b", "1", 101)], "barcode string, chrom string, pos int")
+    names = [r["snv"] for r in matrix.columns(snvs).orderBy("place").collect()]
+    rows = matrix.blocks(snvs).collect()
+    found = {(r["barcode"], names[matrix.BLOCK * r["block"] + i]) for r in rows for i in range(matrix.BLOCK) if r["present"] >> i & 1}
+    assert len(rows) == 4 and found == {("a", f"1_{p}") for p in range(100, 170)} | {("b", "1_101")}
+
+
+def test_numbered_with_ties_nulls_and_no_rows(spark):
+    rows = spark.createDataFrame([("x", 3), ("x", 1), (None, 2), (None, None), ("x", 1)], "g string, k int")
+    got = sorted((r["g"] or "", r["place"], r["k"] or 0, r["among"]) for r in ordering.numbered(rows, ["k"], ["g"]).collect())
+    assert got == [("", 0, 0, 2), ("", 1, 2, 2), ("x", 0, 1, 3), ("x", 1, 1, 3), ("x", 2, 3, 3)]
+    assert [r["place"] for r in ordering.numbered(rows, ["k"]).orderBy("place").collect()] == [0, 1, 2, 3, 4]
+    assert ordering.numbered(rows.limit(0), ["k"], ["g"]).count() == 0
+
+
+def test_a_model_is_kept_and_loaded(spark, tmp_path):
+    rows = [("1", i, "A", "C", learning.CLASSES[i % 3], float(i % 3)) for i in range(30)]
+    table = spark.createDataFrame(rows, "chrom string, pos int, ref string, alt string, label string, f_dp double")
+    model = learning.train(table, "forest", ("f_dp",))
+    learning.save(model, str(tmp_path / "model"))
+    again = learning.classified(learning.load(str(tmp_path / "model")), table)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, learning.classified(model, table).collect()))
+
+
 def test_readers_and_sinks_round_trip(spark, tmp_path):
     variants = records(spark, GOLDEN[:3]).withColumn("chrom", F.lit("chr2"))
     sinks.write_vcf(variants, str(tmp_path / "vcf"))
