@@ -16,6 +16,7 @@ from lociq.llm.common import fold, pieces, texts_of
 FOLDS = 5
 SAMPLE_DOCS = 2_000  # labelled documents of each class that the network is trained on, at most
 SAMPLE_BYTES = 200_000  # longer texts are not drawn for training (they are scored whole)
+SAMPLE_TOTAL = 100_000_000  # bytes of all texts drawn; those after it in the sample's order are not trained on
 SLOTS, WIDTH, FILTERS, SPANS = 1 << 17, 8, 8, (1, 2, 3)
 _PAD = 2 * SLOTS
 _CHUNK_BYTES = 1 << 19
@@ -102,7 +103,9 @@ class Network:
         return out
 
     def logits(self, slots: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        pooled = [np.maximum.reduceat(a, starts, axis=1) for a in self.answers(slots)]
+        # Windows begin at each word of a text and at the pad after the last; those at the other pads reach into the next text.
+        bounds = np.stack([starts - max(SPANS) + 1, starts], axis=1).reshape(-1)[1:]
+        pooled = [np.maximum.reduceat(a, bounds, axis=1)[:, ::2] for a in self.answers(slots)]
         return self.out @ np.maximum(np.concatenate(pooled), 0) + self.bias
 
     def score(self, texts: list[bytes], hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
@@ -184,21 +187,24 @@ def _threshold(logits: np.ndarray, label: np.ndarray) -> float:
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
     """text and toxic of at most ``most`` labelled documents of each class, of folds other than 0, in the
-    order of the id's hash."""
+    order of the id's hash, and of at most SAMPLE_TOTAL bytes together. A doc_id that is labelled more than once has its
+    least label."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    known = known.filter(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), FOLDS) != 0)).dropDuplicates(["doc_id"]).withColumn("order", F.xxhash64("doc_id"))
+    known = known.filter(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id"), FOLDS) != 0)).groupBy("doc_id").agg(F.min("toxic").alias("toxic")).withColumn("order", F.xxhash64("doc_id"))
     chosen = [known.filter(F.col("toxic") == c).orderBy("order", "doc_id").limit(most) for c in (0, 1)]
     short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES)
     # At most 2 * most rows of two numbers are broadcast.
     joined = short.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
     one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return joined.withColumn("copy", one).filter("copy = 1").orderBy("order", "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    drawn = joined.withColumn("copy", one).filter("copy = 1")
+    total = F.sum(F.octet_length(F.coalesce("text", F.lit("")))).over(Window.orderBy("order", "doc_id"))  # over at most 2 * most rows
+    return drawn.withColumn("total", total).filter(F.col("total") <= SAMPLE_TOTAL).orderBy("order", "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 if score >= 0.5, else 0), and the language found.
 
-    Trained on a bounded sample of the labelled rows (SAMPLE_DOCS of each class); scores every whole text, and from
+    Trained on a bounded sample of the labelled rows (SAMPLE_DOCS of each class, see :func:`sample`); scores every whole text, and from
     the text alone. Null texts are empty and are scored like any text. Every row of ``docs`` gives one row;
     extra columns are ignored. Labels other than 0 and 1 are not learned from. If only one label is there, scores
     are near that label; without labels they are 0.5.
