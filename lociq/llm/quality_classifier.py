@@ -107,15 +107,16 @@ def fit(rows: DataFrame, label: str, to_pooled: float = 0.8, to_round: float = 0
 
 def train(measured: DataFrame, labels: DataFrame) -> Discriminant:
     """Fit on the labelled rows of ``measured`` (from :func:`features`) whose fold is not 0."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(fold(F.col("doc_id"), FOLDS) != 0)
-    return fit(measured.join(known, "doc_id"), "quality")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isin(0, 1) & (fold(F.col("doc_id"), FOLDS) != 0))
+    return fit(measured.join(known.groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id"), "quality")
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score (the probability of label 1) and predicted (1 if score >= 0.3, else 0).
 
     Scores depend on the texts alone. Null texts are empty and are scored like any text; every row of ``docs``
-    gives one row. Labels other than 0 and 1 are not learned from. If only one label is there, all
+    gives one row. Labels other than 0 and 1 are not learned from; a doc_id that is labelled more than once counts once,
+    with its least label, and documents that share a doc_id all count. If only one label is there, all
     scores are that label; without labels they are 0.5.
     """
     measured = stored(features(docs), "quality-features")
