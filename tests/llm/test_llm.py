@@ -253,6 +253,62 @@ def test_classifiers_bear_odd_tables(spark, odd, clashing, nothing, operator, co
     assert (ones.score > 0.99).all()
 
 
+def test_discriminant_equals_a_plain_version(spark, sf_dir):
+    docs, labels = documents_of(spark, sf_dir), common.labels(spark, sf_dir)
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    x = {k: np.array(quality_classifier.statistics(t)) for k, t in texts.items()}
+    classes = [np.array([x[k] for k in sorted(x) if quality.get(k) == c and zlib.crc32(str(k).encode()) % 5]) for c in (0, 1)]
+    spreads = [np.cov(c.T, bias=True) for c in classes]
+    n = [len(c) for c in classes]
+    pooled = (n[0] * spreads[0] + n[1] * spreads[1]) / sum(n)
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-6))
+    density = []
+    for c, spread in zip(classes, spreads, strict=True):
+        drawn = (0.2 * spread + 0.8 * pooled) / np.outer(scale, scale)
+        drawn = 0.95 * drawn + 0.05 * max(1e-3, np.trace(drawn) / len(scale)) * np.eye(len(scale))
+        density.append(lambda v, m=c.mean(axis=0), s=drawn, p=len(c) / sum(n): math.log(p) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * ((v - m) / scale) @ np.linalg.solve(s, (v - m) / scale))
+    for r in queries.op5_quality_classifier(spark, sf_dir).collect():
+        v = x[r["doc_id"]]
+        expected = 1 / (1 + math.exp(min(500, density[0](v) - density[1](v))))
+        assert r["score"] == pytest.approx(expected, abs=1e-6)
+
+
+def test_network_equals_a_plain_forward_pass():
+    texts = [b"", b"one", b"the cat and the dog", b"Der Hund, und die Katze!", b"le chat est dans la maison pour une nuit", b"x " * 40]
+    net = toxicity.train(texts * 4, [i % 2 for i in range(24)], epochs=1)
+    net.shift[:] = np.arange(len(net.shift)) / 10
+    got, language = net.score(texts, toxicity.Hasher())
+    assert got == pytest.approx([net.score([t], toxicity.Hasher())[0][0] for t in texts], abs=1e-6)  # each alone
+    for text, score, spoken in zip(texts, got, language, strict=True):
+        words = re.findall(rb"[a-z0-9\x80-\xff]+", text.lower())
+        rows = [net.embed[zlib.crc32(w) % toxicity.SLOTS] + net.embed[toxicity.SLOTS + zlib.crc32(w.decode()[:4].encode()) % toxicity.SLOTS] for w in words]
+        rows += [np.zeros(toxicity.WIDTH)] * max(toxicity.SPANS)
+        hidden = []
+        for h, w, b in zip(toxicity.SPANS, net.filters, net.biases, strict=True):
+            # A window may begin at each word, and at the pad after the last.
+            answers = [np.concatenate(rows[i : i + h]) @ w + b for i in range(len(words) + 1)]
+            hidden += np.maximum(np.max(answers, axis=0), 0).tolist()
+        says = [sum(w.decode() in own.split() for w in words) for own in toxicity._LANGUAGE.values()]
+        assert spoken == (int(np.argmax(says)) if max(says) else len(says))
+        assert score == pytest.approx(1 / (1 + math.exp(-(np.dot(hidden, net.out) + net.bias - net.shift[spoken]))), abs=1e-4)
+
+
+@pytest.mark.parametrize("operator,column", [(quality_classifier, "quality"), (toxicity, "toxic")])
+def test_repeated_labels_count_once(spark, sf_dir, operator, column):
+    docs, labels = documents_of(spark, sf_dir), common.labels(spark, sf_dir).select("doc_id", column)
+    again = labels.unionByName(labels.filter(f"{column} = 0")).unionByName(labels.filter(f"{column} = 0").withColumn(column, F.lit(1))).unionByName(labels.withColumn(column, F.lit(7)))
+    one, two = (operator.scored(docs, x).toPandas().sort_values("doc_id").score.to_numpy() for x in (labels, again.repartition(5)))
+    assert one == pytest.approx(two, abs=1e-9)
+
+
+def test_training_texts_are_bounded_together(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_TOTAL", 1_000)
+    docs = spark.createDataFrame([(i, "word " * 20) for i in range(100)], "doc_id long, text string")
+    rows = toxicity.sample(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))).collect()
+    assert len(rows) == 10 and {r["toxic"] for r in rows} == {0, 1}
+
+
 def test_score_column_equals_the_table(spark, sf_dir):
     docs = documents_of(spark, sf_dir)
     model = quality_classifier.train(quality_classifier.features(docs), common.labels(spark, sf_dir))
@@ -507,6 +563,31 @@ def test_templates():
             license_scan.compile_template("bad", bad)
 
 
+def test_whole_licenses():
+    scanner = license_scan.Scanner(license_scan.BASE, license_scan.TEMPLATES)
+    for label in ("bsd-text", "isc-text", "mit-text"):
+        template = license_scan.TEMPLATES[label]
+        full = re.sub(r"<<any:\d+-\d+>>", "Some, Body", re.sub(r"<<(optional|end)>>", " ", template))
+        least = template
+        while "<<optional>>" in least:  # the innermost optional parts first
+            least = re.sub(r"<<optional>>((?!<<optional>>).)*?<<end>>", " ", least)
+        for text in (full, re.sub(r"<<any:\d+-\d+>>", "(Somebody)", least)):
+            assert label in scanner.scan(("Copyright 2020.\n" + text.upper() + ".").encode())[5].split(",")
+            words = text.split()
+            for i in (3, 9, len(words) - 1):  # other wording in place of a mandatory word
+                assert label not in scanner.scan(" ".join([*words[:i], "otherwise", "not", *words[i + 1 :]]).encode())[5].split(",")
+            assert label not in scanner.scan(" ".join(words[:-1]).encode())[5].split(",")
+
+
+def test_license_scan_of_odd_tables_with_phrases(spark):
+    notice = "released under the MIT License"
+    rows = [(1, None), (1, ""), (2, "CC BY"), (2, "CC BY"), (3, "cc\n\n by, cc-by; CC"), (4, notice + " x" * 300_000 + " all rights reserved"), (None, "General Public License"), (5, "cc bye accby"), (6, "cc\u00a0by")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"labels": F.lit("x"), "score": F.lit("y"), "n_base": F.lit("z")})
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"]) for r in license_scan.scanned(table.repartition(3)).collect())
+    expected = [("1", 0, 0, None, None, "", ""), ("1", 0, 0, None, None, "", ""), ("2", 2, 1, 0, 0, "cc-by", "cc-by"), ("2", 2, 1, 0, 0, "cc-by", "cc-by"), ("3", 5, 2, 0, 2, "cc-by", "cc-by"), ("4", 300_008, 1, 300_005, 300_005, "reserved", "mit,reserved"), ("5", 3, 0, None, None, "", ""), ("6", 1, 0, None, None, "", ""), ("None", 3, 1, 0, 0, "gpl", "gpl")]
+    assert got == expected
+
+
 def test_license_scan_bears_odd_tables(odd, clashing, nothing):
     rows = license_scan.scanned(odd).collect()
     assert len(rows) == 10 and all(r["n_base"] == 0 and r["first_word"] is None and r["labels"] == "" and r["score"] == 0 for r in rows)
