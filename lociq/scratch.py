@@ -11,11 +11,13 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set (local tests)."""
+    """The cluster's checkpoint folder; a temporary one only in local mode where none is set (tests)."""
     context = spark.sparkContext
     base = context.getConf().get(_SETTING) or spark.conf.get(_SETTING, None)
     if not base:
         current = context._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and context.master.split("[")[0] != "local":
+            raise ValueError(f"set {_SETTING} to a folder that all executors share")
         base = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='lociq-')}"
         spark.conf.set(_SETTING, base)
     return base.rstrip("/")
