@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociq.llm import bpe_replay, common, jaccard_join, license_scan, lm_scoring, mixing, quality_classifier, quality_rules, token_output, topk_search, toxicity
+from lociq.llm import bpe_replay, chat_format, common, jaccard_join, license_scan, lm_scoring, mixing, quality_classifier, quality_rules, token_output, topk_search, toxicity
 from lociq.scratch import stored
 
 
@@ -81,6 +81,17 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"  # a conversation that holds control strings
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
+    return chat_format.digests(stored(chat_format.formatted(rows), "formatted"))
+
+
+_OP12_SQL = chat_format.oracle_sql("""SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'""")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_quality_rules": op2_quality_rules,
@@ -92,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_topk_search": op9_topk_search,
     "op10_toxicity": op10_toxicity,
+    "op12_chat_format": op12_chat_format,
 }
 
 ORACLES: dict[str, str] = {
@@ -99,4 +111,5 @@ ORACLES: dict[str, str] = {
     "op3_mixing": _OP3_SQL,
     "op8_license_scan": license_scan.oracle_sql(),
     "op9_topk_search": _OP9_SQL,
+    "op12_chat_format": _OP12_SQL,
 }
