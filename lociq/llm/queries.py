@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociq.llm import bpe_replay, chat_format, common, jaccard_join, license_scan, lm_scoring, mixing, quality_classifier, quality_rules, token_output, topk_search, toxicity
+from lociq.llm import bpe_replay, chat_format, common, jaccard_join, license_scan, lm_scoring, mixing, phrase_mining, quality_classifier, quality_rules, token_output, topk_search, toxicity
 from lociq.scratch import stored
 
 
@@ -82,6 +82,10 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <=
 """
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.mined(common.documents(spark, sf_dir))
+
+
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"  # a conversation that holds control strings
@@ -103,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_topk_search": op9_topk_search,
     "op10_toxicity": op10_toxicity,
+    "op11_phrase_mining": op11_phrase_mining,
     "op12_chat_format": op12_chat_format,
 }
 
@@ -111,5 +116,6 @@ ORACLES: dict[str, str] = {
     "op3_mixing": _OP3_SQL,
     "op8_license_scan": license_scan.oracle_sql(),
     "op9_topk_search": _OP9_SQL,
+    "op11_phrase_mining": phrase_mining.ORACLE,
     "op12_chat_format": _OP12_SQL,
 }
