@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociq.llm.common import Words, column_of, texts_of
+from lociq.llm.common import column_of, texts_of
 from lociq.operators.ordering import numbered
 from lociq.scratch import stored
 
@@ -21,11 +20,11 @@ MOST_WORDS = 5
 LEAST = 100  # occurrences of a candidate
 RATE = 4  # one piece (or stretch of a long one) in so many is in the sample
 BEST = 2_000  # phrases returned for each language
-_CHUNK_BYTES = 24 << 20  # text counted together in a task; a longer text is cut at pieces
+_CHUNK_BYTES = 10 << 20  # text counted together in a task; a longer text is cut at pieces
 _PER_PHRASE, _MOST_BITS = 16, 1 << 29  # bits of a filter for each phrase, and at most (64 MB)
 _BREAK = b"\xff"  # stands in no UTF-8 text
 _FOLD = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else 32 if b == 9 else b for b in range(256))
-_SPAN = re.compile(rb"[^\xff]{1,300}[^ \xff]*")  # a piece, or so much of a long one
+_SPAN = re.compile(rb"[^\xff]{1,100}[^ \xff]*")  # a piece, or so much of a long one
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -72,6 +71,20 @@ class Filter:
         return out
 
 
+class _Codes(dict):
+    """Numbers words as they come; 0 is the break between pieces."""
+
+    def __init__(self) -> None:
+        super().__init__({_BREAK: 0})
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+
 def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     seed = xxhash.xxh3_64_intdigest(lang.encode())
     return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words), np.uint64, len(words))
@@ -97,21 +110,21 @@ def _cut(text: bytes, most: int) -> Iterator[bytes]:
     yield text[at:]
 
 
-def _phrases(lang: str, words: Words, codes: np.ndarray, lengths: range, known: Filter | None, fresh: Filter | None) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+def _phrases(lang: str, words: list[bytes], codes: np.ndarray, lengths: range, known: Filter | None, fresh: Filter | None) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
     """(length, codes of the first, second, ... word, occurrences) of the distinct phrases to count in ``codes``, which has 0
     where pieces end. Of more than one word are counted those whose words but the last, and but the first, are ``known``; with
-    ``fresh`` only where one of the two is in that."""
-    hashes = _word_hashes(lang, words.names)
+    ``fresh`` only where one of the two is in that, or is counted itself, which then makes it known."""
+    hashes = _word_hashes(lang, words)
     ids, columns, often = codes.astype(np.int64), [np.arange(len(hashes))], np.bincount(codes, minlength=len(hashes))
-    firsts = hashes
+    firsts, wanted = hashes, None
     for length in range(1, lengths.stop):
         if length > 1:
             if known is None or not len(firsts):
                 return
-            is_known = known.has(firsts)
+            is_known = known.has(firsts) if wanted is None else known.has(firsts) | wanted
             if length == 2:
                 is_known[0] = False
-            is_fresh = fresh.has(firsts) & is_known if fresh else None
+            is_fresh = None if fresh is None else fresh.has(firsts) & is_known if wanted is None else fresh.has(firsts) | wanted
             good = np.append(is_known, False)[ids]
             at = np.flatnonzero(good[:-1] & good[1:])
             keys, inverse, often = np.unique(ids[at] * len(firsts) + ids[at + 1], return_inverse=True, return_counts=True)
@@ -131,10 +144,10 @@ def _phrases(lang: str, words: Words, codes: np.ndarray, lengths: range, known:
 def _counter(lengths: range, known: Filter | None, fresh: Filter | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts phrases in chunks of text; rows (lang, words, phrase, n). A row of 0 words has the number of words."""
 
-    def flush(held: dict[str, tuple[Words, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
-        for lang, (words, parts) in held.items():
-            codes = np.concatenate(parts)
-            names = pa.array(words.names[1:], pa.binary()).cast(pa.string())
+    def flush(held: dict[str, tuple[_Codes, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        for lang, (known_words, parts) in held.items():
+            words, codes = list(known_words), np.concatenate(parts)
+            names = pa.array(words[1:], pa.binary()).cast(pa.string())
             names = pa.concat_arrays([pa.array([""]), names])
             if 1 in lengths:
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([int((codes > 0).sum())], pa.int64())], names=["lang", "words", "phrase", "n"])
@@ -146,16 +159,15 @@ def _counter(lengths: range, known: Filter | None, fresh: Filter | None) -> Call
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array(np.full(n, length, np.int32)), phrase, pa.array(often[a : a + 100_000].astype(np.int64))], names=["lang", "words", "phrase", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[Words, list[np.ndarray]]] = {}
+        held: dict[str, tuple[_Codes, list[np.ndarray]]] = {}
         size = 0
         for batch in batches:
             for lang, text in zip(column_of(batch, "lang"), texts_of(batch), strict=True):
                 for part in _cut(text.translate(_FOLD), _CHUNK_BYTES):
                     if lang not in held:
-                        held[lang] = (Words(), [])
-                        held[lang][0].codes([_BREAK])
+                        held[lang] = (_Codes(), [])
                     words, parts = held[lang]
-                    parts.append(words.codes((part + _BREAK).replace(_BREAK, b" \xff ").split()))
+                    parts.append(words.of((part + _BREAK).replace(_BREAK, b" \xff ").split()))
                     size += len(part)
                     if size >= _CHUNK_BYTES:
                         yield from flush(held)
@@ -174,17 +186,16 @@ def _counted(texts: DataFrame, lengths: range, known: Filter | None = None, fres
 
 
 def _sample(texts: DataFrame, rate: int) -> DataFrame:
-    """(lang, text) with one piece in ``rate`` of every text, of long pieces one stretch, chosen by doc_id, text and the place in it: the
-    same ones in every run."""
+    """(lang, text) with every ``rate``-th piece of each text, or stretch of a long piece, from a first one that doc_id and text decide:
+    the same ones in every run. Even a phrase that stands in one text alone is met in its share of places."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for key, text in zip(column_of(batch, "doc_id"), texts_of(batch), strict=True):
                 pieces = _SPAN.findall(text.translate(_FOLD))
-                seed = np.uint64(xxhash.xxh3_64_intdigest(text, xxhash.xxh3_64_intdigest(str(key).encode())))
-                drawn = _joined(np.arange(len(pieces), dtype=np.uint64), seed)
-                out.append(b"\n".join(compress(pieces, (drawn >> np.uint64(33)) % np.uint64(rate) == 0)).decode())
+                first = xxhash.xxh3_64_intdigest(text, xxhash.xxh3_64_intdigest(str(key).encode())) % rate
+                out.append(b"\n".join(pieces[first::rate]).decode())
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("lang")), pa.array(out)], names=["lang", "text"])
 
     return texts.mapInArrow(choose, "lang string, text string")
@@ -214,23 +225,20 @@ def frequent(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS,
 
     One pass over all texts counts every word, and every longer phrase whose beginning and end (without its last, its first
     word) are proposed: those are the proposed phrases and their negative border, the least phrases that were not proposed.
-    If one of the border is frequent, what begins or ends with it is still uncounted: another pass counts that, and so on until
-    no pass finds more. As the beginning and the end of a frequent phrase are frequent, nothing is missed then.
+    If one of the border is frequent, what begins or ends with it is still uncounted: another pass counts that, and what begins or ends
+    with what it counts, up to ``most_words``. The beginning and the end of a frequent phrase are frequent, so that closes it: a frequent
+    phrase that the first pass did not count has a failed one within it, and all between the two are counted in the second.
     """
     texts = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     known, size = proposed(texts, least, most_words, rate)
     enough = (F.col("words") == 0) | (F.col("n") >= least)
     counts = stored(_counted(texts, range(1, most_words + 1), Filter.of(known, size)).filter(enough), "phrase-counts")
-    new = counts
-    while True:
-        failed = stored(new.filter(F.col("words").between(1, most_words - 1)).select("lang", "words", "phrase").join(known, ["lang", "words", "phrase"], "left_anti"), "phrase-border")
-        n = failed.count()
-        if not n:
-            return counts
-        known, size = known.unionByName(failed), size + n
-        more = _counted(texts, range(2, most_words + 1), Filter.of(known, size), Filter.of(failed, n)).filter(F.col("n") >= least)
-        new = stored(more.join(counts, ["lang", "words", "phrase"], "left_anti"), "phrase-counts")
-        counts = counts.unionByName(new)
+    failed = stored(counts.filter(F.col("words").between(1, most_words - 1)).select("lang", "words", "phrase").join(known, ["lang", "words", "phrase"], "left_anti"), "phrase-border")
+    n = failed.count()
+    if not n:
+        return counts
+    more = _counted(texts, range(2, most_words + 1), Filter.of(known.unionByName(failed), size + n), Filter.of(failed, n)).filter(F.col("n") >= least)
+    return counts.unionByName(stored(more.join(counts, ["lang", "words", "phrase"], "left_anti"), "phrase-counts"))
 
 
 def _whole(value: Column) -> Column:
