@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociq.llm import bpe_replay, chat_format, common, jaccard_join, license_scan, lm_scoring, mixing, phrase_mining, quality_classifier, quality_rules, token_output, topk_search, toxicity
+from lociq.llm import bpe_replay, chat_format, common, jaccard_join, license_scan, lm_scoring, mixing, phrase_mining, quality_classifier, quality_rules, spelling, token_output, topk_search, toxicity
 from lociq.scratch import stored
 
 
@@ -29,13 +29,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
-    sized = stored(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")), "mix-sizes")
+    sized = stored(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.md5("text").alias("tie")), "mix-sizes")
     taken = (F.col("copies") * F.col("size")).cast("long").alias("taken")
     return mixing.mixed(sized).select("doc_id", "size", "source_size", "target", taken, F.col("copies").cast("long").alias("copies"))
 
 
 _OP3_SQL = f"""
-WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, md5(text) AS tie, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
 {mixing.MIX_SQL}
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM mixed
 """
@@ -93,6 +93,10 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(stored(chat_format.formatted(rows), "formatted"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(common.documents(spark, sf_dir))
+
+
 _OP12_SQL = chat_format.oracle_sql("""SELECT conv_id, turn, role, text FROM conversations
     UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'""")
 
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_phrase_mining": op11_phrase_mining,
     "op12_chat_format": op12_chat_format,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
