@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociq.functions import fields
-from lociq.operators import genotype, learning, matrix, panel, reads, reports, spatial, transitions
+from lociq.operators import callers, genotype, learning, left_align, matrix, panel, reads, reports, spatial, transitions
 from lociq.plans import views
-from lociq.scratch import new_path
+from lociq.scratch import new_path, stored
 from lociq.sources import readers, sinks
 from lociq.streaming import counts as streaming
 
@@ -20,12 +20,13 @@ ORACLES: dict[str, str] = {}
 
 
 def _query(sql: str | None) -> Callable[[Query], Query]:
-    """Register a query under its function's name; ``sql`` may use the views of plans.views."""
+    """Register a query under its function's name; ``sql`` may use the views of plans.views (and add some: then it
+    begins with a comma)."""
 
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = f"WITH {views.SQL} {sql}"
+            ORACLES[f.__name__] = f"WITH {views.SQL}{sql}" if sql.startswith(",") else f"WITH {views.SQL} {sql}"
         return f
 
     return add
@@ -164,6 +165,90 @@ def caller_jaccard(spark, sf_dir):
     return panel.overlap(views.panel(spark, sf_dir), views.calls(spark, sf_dir).filter("pos % 2 = 0"))
 
 
+def _reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stretch of 20 bases with a unit that repeats for each part, 500 to a chromosome."""
+    key = F.col("p_partkey")
+    unit = F.substring(F.lit("ACGTTGCACCATGGAATTCC"), (key % 17 + 1).cast("int"), (key % 3 + 1).cast("int"))
+    chrom = F.concat(F.lit("chr"), (F.floor(key / 500) + 1).cast("string"))
+    return views.table(spark, sf_dir, "part").select(chrom.alias("chrom"), (key % 500 * 20 + 1).alias("start"), F.left(F.repeat(unit, F.lit(20)), F.lit(20)).alias("seq"), key.alias("l_partkey"))
+
+
+def _indels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deletion, an insertion of what follows or another base for each line item, somewhere in its part's stretch."""
+    rows = views.table(spark, sf_dir, "lineitem").join(_reference(spark, sf_dir), "l_partkey")
+    size = (F.col("l_suppkey") % 3 + 1).cast("int")
+    at = (F.col("l_orderkey") % 16 + 1).cast("int")
+    base, some = F.substring("seq", at, F.lit(1)), F.substring("seq", at, size + 1)
+    other = F.translate(base, "ACGT", "CGTA")
+    kind = F.col("l_linenumber") % 3
+    ref = F.when(kind == 0, some).otherwise(base)
+    alt = F.when(kind == 0, base).when(kind == 1, some).otherwise(other)
+    return rows.select("chrom", (F.col("start") + at - 1).cast("int").alias("pos"), ref.alias("ref"), alt.alias("alt")).distinct()
+
+
+@_query(""", reference AS (SELECT 'chr' || (p_partkey // 500 + 1) AS chrom, p_partkey % 500 * 20 + 1 AS start, left(repeat(substr('ACGTTGCACCATGGAATTCC', (p_partkey % 17 + 1)::INTEGER, (p_partkey % 3 + 1)::INTEGER), 20), 20) AS seq, p_partkey FROM part),
+    whole AS (SELECT chrom, string_agg(seq, '' ORDER BY start) AS bases FROM reference GROUP BY chrom),
+    drawn AS (SELECT DISTINCT chrom, start + l_orderkey % 16 AS p, l_linenumber % 3 AS kind, substr(seq, (l_orderkey % 16 + 1)::INTEGER, CASE WHEN l_linenumber % 3 = 2 THEN 1 ELSE (l_suppkey % 3 + 2)::INTEGER END) AS piece FROM lineitem JOIN reference ON p_partkey = l_partkey),
+    flanked AS (SELECT chrom, p, kind, piece, bases, substr(piece, 2) AS s, substr(bases, greatest(p - 299, 1), least(p, 300)) AS l FROM drawn JOIN whole USING (chrom)),
+    moved AS (SELECT *, CASE kind WHEN 2 THEN 0 ELSE coalesce(list_filter(range(1, 301), lambda i: substr(l, -i, 1) <> substr(l || s, -i, 1))[1], 301) - 1 END AS k FROM flanked),
+    turned AS (SELECT *, substr(l || s, length(l) - k + 1, length(s)) AS t, substr(l, -k - 1, 1) AS anchor FROM moved),
+    final AS (SELECT *, CASE WHEN p - k >= 1 THEN anchor ELSE '' END AS head, CASE WHEN p - k >= 1 THEN '' ELSE substr(bases, CASE kind WHEN 0 THEN length(s) + 1 ELSE 1 END, 1) END AS tail FROM turned)
+    SELECT chrom, (CASE kind WHEN 2 THEN p ELSE greatest(p - k, 1) END)::INTEGER AS pos, CASE kind WHEN 2 THEN piece WHEN 0 THEN head || t || tail ELSE head || tail END AS ref,
+        CASE kind WHEN 2 THEN translate(piece, 'ACGT', 'CGTA') WHEN 0 THEN head || tail ELSE head || t || tail END AS alt, true AS aligned FROM final""")
+def left_aligned_variants(spark, sf_dir):
+    return left_align.left_aligned(_indels(spark, sf_dir), left_align.tiles(_reference(spark, sf_dir)))
+
+
+_CALLERS = ["alt", "long", "panel"]
+
+
+def _three_callers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Three callers by what they take for evidence of a called site in a spot, folded; and all spots with their slides."""
+    slide = F.floor(F.substring("barcode", F.lit(2), F.length("barcode")).cast("long") / views.SLIDE)
+    seen = views.site_reads(spark, sf_dir).join(views.calls(spark, sf_dir).select(*panel.KEY), list(panel.KEY), "left_semi")
+    by = F.array_compact(F.array(F.when(F.col("is_alt") & (F.col("length") > 45), "alt"), F.when(F.col("length") >= 40, "long"), F.when(F.col("pos") % 3 != 0, "panel")))
+    rows = seen.select(slide.alias("slide"), "barcode", *panel.KEY, F.explode(by).alias("caller"))
+    return callers.folded(rows, _CALLERS, ("slide",)), views.spots(spark, sf_dir).select(slide.alias("slide"), "barcode")
+
+
+_MASKS = """called AS (SELECT substr(barcode, 2)::BIGINT // 500 AS slide, r.* FROM reads r SEMI JOIN calls c USING (chrom, pos, ref, alt)),
+masks AS (SELECT * FROM (SELECT slide, barcode, chrom, pos, ref, alt, bool_or(is_alt AND length > 45) AS a, bool_or(length >= 40) AS l, bool_or(pos % 3 <> 0) AS p FROM called GROUP BY ALL) WHERE a OR l OR p),
+sizes AS (SELECT s.slide, s.barcode, count(*) FILTER (a) AS n_alt, count(*) FILTER (l) AS n_long, count(*) FILTER (p) AS n_panel, count(*) FILTER (a AND l) AS both_alt_long, count(*) FILTER (a AND p) AS both_alt_panel,
+    count(*) FILTER (l AND p) AS both_long_panel, count(*) FILTER (a AND l AND p) AS n_all, count(*) FILTER (l OR p) AS n_consensus, count(*) FILTER (a AND (l OR p)) AS n_hit
+    FROM (SELECT substr(barcode, 2)::BIGINT // 500 AS slide, barcode FROM spots) s LEFT JOIN masks USING (slide, barcode) GROUP BY ALL),
+each AS (SELECT *, coalesce(both_alt_long / nullif(n_alt + n_long - both_alt_long, 0), 0)::DOUBLE AS jaccard_alt_long, coalesce(both_alt_panel / nullif(n_alt + n_panel - both_alt_panel, 0), 0)::DOUBLE AS jaccard_alt_panel,
+    coalesce(both_long_panel / nullif(n_long + n_panel - both_long_panel, 0), 0)::DOUBLE AS jaccard_long_panel, coalesce(n_hit / nullif(n_consensus, 0), 0)::DOUBLE AS recall, coalesce(n_hit / nullif(n_alt, 0), 0)::DOUBLE AS precision,
+    coalesce(2 * n_hit / nullif(n_consensus + n_alt, 0), 0)::DOUBLE AS f1 FROM sizes)"""
+
+
+@_query(f", {_MASKS} SELECT * FROM each")
+def caller_overlap_spots(spark, sf_dir):
+    """All spots, those without any variant too."""
+    masks, spots = _three_callers(spark, sf_dir)
+    return callers.per_spot(masks, spots, _CALLERS, "alt", by=("slide",))
+
+
+@_query(f""", {_MASKS}, united AS (SELECT slide, bool_or(a) AS a, bool_or(l) AS l, bool_or(p) AS p FROM masks GROUP BY slide, chrom, pos, ref, alt)
+    SELECT e.slide, n_spots, n_spots_with_alt, n_spots_with_long, n_spots_with_panel, union_alt, union_long, union_panel, union_all, both_alt_long, both_alt_panel, both_long_panel,
+    round(both_alt_long / (union_alt + union_long - both_alt_long), 9) AS jaccard_union_alt_long, round(both_alt_panel / (union_alt + union_panel - both_alt_panel), 9) AS jaccard_union_alt_panel, round(both_long_panel / (union_long + union_panel - both_long_panel), 9) AS jaccard_union_long_panel,
+    jaccard_alt_long_mean, jaccard_alt_panel_mean, jaccard_long_panel_mean, recall_alt_consensus_mean, precision_alt_consensus_mean, f1_alt_consensus_mean
+    FROM (SELECT slide, count(*) AS n_spots, count(*) FILTER (n_alt > 0) AS n_spots_with_alt, count(*) FILTER (n_long > 0) AS n_spots_with_long, count(*) FILTER (n_panel > 0) AS n_spots_with_panel, round(avg(jaccard_alt_long), 9) AS jaccard_alt_long_mean,
+        round(avg(jaccard_alt_panel), 9) AS jaccard_alt_panel_mean, round(avg(jaccard_long_panel), 9) AS jaccard_long_panel_mean, round(avg(recall), 9) AS recall_alt_consensus_mean, round(avg(precision), 9) AS precision_alt_consensus_mean, round(avg(f1), 9) AS f1_alt_consensus_mean FROM each GROUP BY slide) e
+    JOIN (SELECT slide, count(*) FILTER (a) AS union_alt, count(*) FILTER (l) AS union_long, count(*) FILTER (p) AS union_panel, count(*) FILTER (a AND l AND p) AS union_all, count(*) FILTER (a AND l) AS both_alt_long,
+        count(*) FILTER (a AND p) AS both_alt_panel, count(*) FILTER (l AND p) AS both_long_panel FROM united GROUP BY slide) u ON u.slide = e.slide""")
+def caller_overlap_summary(spark, sf_dir):
+    masks, spots = _three_callers(spark, sf_dir)
+    summary = callers.section_summary(stored(masks, "masks"), spots, _CALLERS, "alt", by=("slide",))
+    return summary.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in summary.dtypes])
+
+
+@_query(f""", {_MASKS}, united AS (SELECT slide, bool_or(a) AS a, bool_or(l) AS l, bool_or(p) AS p FROM masks GROUP BY slide, chrom, pos, ref, alt)
+    SELECT slide, callers, n_exactly, n_together FROM (SELECT slide, concat_ws('+', CASE WHEN x THEN 'alt' END, CASE WHEN y THEN 'long' END, CASE WHEN z THEN 'panel' END) AS callers, count(*) FILTER (x = a AND y = l AND z = p) AS n_exactly,
+        count(*) FILTER ((a OR NOT x) AND (l OR NOT y) AND (p OR NOT z)) AS n_together FROM united, (SELECT unnest([true, false]) AS x), (SELECT unnest([true, false]) AS y), (SELECT unnest([true, false]) AS z) WHERE x OR y OR z GROUP BY ALL) WHERE n_together > 0""")
+def caller_set_sizes(spark, sf_dir):
+    return callers.set_sizes(_three_callers(spark, sf_dir)[0], _CALLERS, ("slide",))
+
+
 # Transitions and the error model
 
 
@@ -492,6 +577,32 @@ def classifier_scores(spark, sf_dir):
     return learning.confident(learning.classified(learning.load(path), rows.filter("is_test")), 0.4).select("chrom", "pos", "ref", "alt", "label", "predicted", "p_het", "p_hom", "p_novar")
 
 
+def _tested(spark: SparkSession, sf_dir: str, kind: str, **settings) -> DataFrame:
+    """Fit on four fifths of the labelled variants, keep and load the model, classes and probabilities of the rest."""
+    calls = learning.filled_with_zero(learning.features(views.calls(spark, sf_dir)))
+    rows = stored(learning.split(learning.training_sets(_changes(spark, sf_dir))).join(calls, ["chrom", "pos", "ref", "alt"]).select("chrom", "pos", "ref", "alt", "label", "is_test", *learning.FEATURES), "labelled")
+    path = new_path(spark, "model")
+    learning.save(learning.train(rows.filter("NOT is_test"), kind, **settings), path)
+    return learning.classified(learning.load(path, kind), rows.filter("is_test")).select("chrom", "pos", "ref", "alt", "label", "predicted", "p_het", "p_hom", "p_novar")
+
+
+@_query(None)
+def boosted_scores(spark, sf_dir):
+    """Boosted trees on all features; tests compare them with a plain version."""
+    return _tested(spark, sf_dir, "boosted", rounds=10)
+
+
+@_query(None)
+def boosted_variant_f1(spark, sf_dir):
+    return reports.variant_f1(boosted_scores(spark, sf_dir))
+
+
+@_query(None)
+def kernel_scores(spark, sf_dir):
+    """A Gaussian kernel with calibrated probabilities; tests compare it with a plain version."""
+    return _tested(spark, sf_dir, "kernel")
+
+
 # Sections, runs and streams
 
 
@@ -511,29 +622,3 @@ def run_metrics(spark, sf_dir):
 def event_windows(spark, sf_dir):
     return streaming.windowed(views.table(spark, sf_dir, "events"))
 
-
-#: Second names, from when these queries had a smaller form.
-for _name in (
-    "range_detect",
-    "reads_kept",
-    "detected_snvs",
-    "detected_annotated",
-    "variant_barcode_freq",
-    "variant_first_info",
-    "in_tissue_spots",
-    "knn_graph",
-    "graph_degree",
-    "graph_stats",
-    "neighbour_support",
-    "spatial_filter",
-    "spatial_filter_kept",
-    "spatial_exclude_include",
-    "spot_counts",
-    "map_summary",
-    "spatial_statistics",
-    "plot_coordinates",
-    "snv_matrix_long",
-    "matrix_columns",
-    "matrix_row_sums",
-):
-    QUERIES[f"{_name}_whole"], ORACLES[f"{_name}_whole"] = QUERIES[_name], ORACLES[_name]

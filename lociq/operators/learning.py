@@ -10,12 +10,17 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.ml.evaluation import Evaluator
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociq.functions import fields
-from lociq.operators import reports
+from lociq.operators import boosting, kernel, reports
 from lociq.operators.ordering import numbered
+from lociq.scratch import stored
+
+Model = PipelineModel | CrossValidatorModel | boosting.Boosted | kernel.KernelModel
+#: The estimators that are written here, and the settings that a search tries.
+OWN = {"boosted": (boosting.fit, boosting.Boosted, [{"rate": r, "depth": d} for r in (0.1, 0.3) for d in (3, 5)]), "kernel": (kernel.fit, kernel.KernelModel, [{"cost": c, "gamma": g} for c in (0.1, 1.0, 10.0) for g in (None, 0.1)])}
 
 CLASSES = ("heterozygous", "homozygous", "no_variance")
 #: Filled from INFO, and from the sample; the others are in the vector but always 0.
@@ -129,8 +134,28 @@ def _estimator(kind: str, n_inputs: int, seed: int):
     raise ValueError(f"no such model: {kind}")
 
 
-def train(rows: DataFrame, kind: str = "forest", names: tuple[str, ...] = FEATURES, components: int | None = None, grid: bool = False, seed: int = 42) -> PipelineModel | CrossValidatorModel:
-    """Fit a classifier on labelled feature rows; optionally on principal components, or choosing by 5-fold search."""
+def search(rows: DataFrame, kind: str, names: tuple[str, ...] = FEATURES, grid: list[dict] | None = None, folds: int = 5, seed: int = 42) -> dict:
+    """The settings of an own estimator with the best mean variant F1 over folds, which the key's hash deals out; of equals the first."""
+    fit, _, default = OWN[kind]
+    fold = F.pmod(F.xxhash64(F.lit(seed), "chrom", "pos", "ref", "alt"), F.lit(folds))
+    dealt = stored(rows.select("chrom", "pos", "ref", "alt", "label", *names).withColumn("__fold", fold), "folds")
+
+    def score(setting: dict) -> float:
+        found = []
+        for i in range(folds):
+            model = fit(dealt.filter(F.col("__fold") != i), list(names), "label", list(CLASSES), **setting)
+            found.append(reports.variant_f1(classified(model, dealt.filter(F.col("__fold") == i))).first()[0])
+        return sum(found) / folds
+
+    return max(grid or default, key=score)
+
+
+def train(rows: DataFrame, kind: str = "forest", names: tuple[str, ...] = FEATURES, components: int | None = None, grid: bool = False, seed: int = 42, **settings) -> Model:
+    """Fit a classifier on labelled feature rows: ``forest``, ``perceptron``, ``boosted`` trees or ``kernel`` (a Gaussian one). The first two
+    optionally on principal components, the last two with ``settings`` of their own; with ``grid`` chosen by 5-fold search."""
+    if kind in OWN:
+        best = search(rows, kind, names, seed=seed) if grid else {}
+        return OWN[kind][0](rows, list(names), "label", list(CLASSES), **(best | settings))
     code = F.array_position(F.array(*map(F.lit, CLASSES)), F.col("label")) - 1
     stages = [VectorAssembler(inputCols=list(names), outputCol="inputs" if components else "v")]
     if components:
@@ -141,25 +166,49 @@ def train(rows: DataFrame, kind: str = "forest", names: tuple[str, ...] = FEATUR
     if not grid:
         return pipeline.fit(labelled)
     builder = ParamGridBuilder()
-    builder = builder.addGrid(model.maxDepth, [5, 10]).addGrid(model.numTrees, [50, 100]) if kind == "forest" else builder.addGrid(model.maxIter, [50, 100])
+    if kind == "forest":
+        builder = builder.addGrid(model.maxDepth, [5, 10]).addGrid(model.numTrees, [50, 100])
+    else:
+        builder = builder.addGrid(model.maxIter, [50, 100])
     return CrossValidator(estimator=pipeline, estimatorParamMaps=builder.build(), evaluator=VariantF1(), numFolds=5, seed=seed).fit(labelled)
 
 
-def classified(model: PipelineModel | CrossValidatorModel, rows: DataFrame) -> DataFrame:
+def classified(model: Model, rows: DataFrame) -> DataFrame:
     """Adds predicted (the class's name), p_het, p_hom and p_novar, each named for its own class."""
-    out = model.transform(rows).withColumn("__p", vector_to_array("probability"))
+    if isinstance(model, (boosting.Boosted, kernel.KernelModel)):
+        out = rows.withColumn("__p", model.probability(rows))
+        out = out.withColumn("prediction", F.array_position("__p", F.array_max("__p")) - 1)
+    else:
+        out = model.transform(rows).withColumn("__p", vector_to_array("probability"))
     named = {p: F.get("__p", i) for i, p in enumerate(("p_het", "p_hom", "p_novar"))}
     name = F.element_at(F.array(*map(F.lit, CLASSES)), (F.col("prediction") + 1).cast("int"))
     return out.withColumns({"predicted": name, **named}).select(*rows.columns, "predicted", *named)
 
 
-def save(model: PipelineModel | CrossValidatorModel, path: str) -> None:
+def save(model: Model, path: str) -> None:
     """Keep a fitted model, of a search the best one, for other sections."""
-    (model.bestModel if isinstance(model, CrossValidatorModel) else model).write().overwrite().save(path)
+    if isinstance(model, (boosting.Boosted, kernel.KernelModel)):
+        model.save(SparkSession.getActiveSession(), path)
+    else:
+        (model.bestModel if isinstance(model, CrossValidatorModel) else model).write().overwrite().save(path)
+
+
+def load(path: str, kind: str = "forest") -> Model:
+    return OWN[kind][1].load(SparkSession.getActiveSession(), path) if kind in OWN else PipelineModel.load(path)
+
+
+def save_bundle(model: Model, tested: DataFrame, path: str) -> None:
+    """Keep a model with what it reached: beside it the confusion table and the report of ``tested`` (label, predicted), and its accuracy
+    and variant F1."""
+    save(model, f"{path}/model")
+    table = stored(reports.confusion(tested), "confusion")
+    table.write.mode("overwrite").parquet(f"{path}/confusion")
+    reports.class_report(table).write.mode("overwrite").parquet(f"{path}/report")
+    reports.accuracy(table).join(F.broadcast(reports.variant_f1(tested))).write.mode("overwrite").parquet(f"{path}/scores")  # a row each
 
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_bundle(spark: SparkSession, path: str, kind: str = "forest") -> tuple[Model, dict[str, DataFrame]]:
+    return load(f"{path}/model", kind), {t: spark.read.parquet(f"{path}/{t}") for t in ("confusion", "report", "scores")}
 
 
 def tagged(rows: DataFrame, model: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lociq.operators import genotype, learning, matrix, panel, reads, spatial, transitions
 from lociq.scratch import stored
+from lociq.sources import sinks
 
 
 @dataclass
@@ -30,9 +31,10 @@ def call(inputs: Inputs, min_depth: int = 0, min_gq: int = 8, min_qual: float =
     return genotype.called(genotype.snv_sites(inputs.variants), min_depth, min_gq, min_qual)
 
 
-def germline(inputs: Inputs, spot_diameter: float | None = None, min_neighbours: int = 2, model: str = "forest", training_rows: int = 90_000, confidence: float = 0.5) -> dict[str, DataFrame]:
+def germline(inputs: Inputs, spot_diameter: float | None = None, min_neighbours: int = 2, model: str = "forest", training_rows: int = 90_000, confidence: float = 0.5, class_folder: str | None = None) -> dict[str, DataFrame]:
     """Calls, the panel split, the error model, classes of uncertain calls, reads credited with variants, the
-    neighbour filter and the matrix. Shared intermediate tables are written once."""
+    neighbour filter and the matrix. Shared intermediate tables are written once. With ``class_folder`` the classified variants are
+    also written there, a VCF for each class."""
     calls = stored(call(inputs), "calls")
     split = panel.with_origin(calls, inputs.known) if inputs.known is not None else calls.withColumn("origin", F.lit("denovo"))
     changes = stored(transitions.transitions(calls, inputs.phased), "transitions")
@@ -43,6 +45,8 @@ def germline(inputs: Inputs, spot_diameter: float | None = None, min_neighbours:
     fitted = learning.train(training, model)
     unsure = learning.filled_with_mean(learning.features(judged.filter("status IN ('no_error', 'missing')")))
     classes = stored(learning.classified(fitted, unsure), "classes")
+    if class_folder:
+        sinks.write_classes(classes, class_folder, model.upper(), confidence)
     sure = learning.confident(classes, confidence).filter("predicted IN ('homozygous', 'heterozygous')")
     pool = panel.pool([("defined", panel.valid_genotypes(split.filter("origin = 'defined'"))), ("denovo", panel.valid_genotypes(sure))])
     return {"calls": calls, "transitions": changes, "thresholds": learned, "judged": judged, "classes": classes, "pool": pool} | _spots(inputs, pool, spot_diameter, min_neighbours)

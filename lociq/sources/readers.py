@@ -20,12 +20,22 @@ def _barcode(suffixes: str) -> Column:
     return F.regexp_replace(name, f"({suffixes})$", "")
 
 
-def vcf(spark: SparkSession, path: str | list[str], barcode_from_name: bool = False) -> DataFrame:
-    """Variant records of plain or gzipped VCF files (several: all rows). Header lines and lines of fewer than eight
-    fields are skipped; format and sample are null if absent. ``ord`` keeps the order of the lines in their file."""
+#: Fields that a line needs at least, by what it is read for: its key alone, its record, or its genotype and sample.
+LEAST_FIELDS = {"key": 5, "record": 8, "sample": 10}
+
+
+def vcf_header(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """The header lines (``##``) of the files, each once, in the order of their first file. A header's size doesn't grow with the variants."""
+    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()).filter(F.col("value").startswith("##"))
+    return [r["value"] for r in lines.groupBy("value").agg(F.min("ord").alias("ord")).orderBy("ord").collect()]
+
+
+def vcf(spark: SparkSession, path: str | list[str], barcode_from_name: bool = False, purpose: str = "record") -> DataFrame:
+    """Variant records of plain or gzipped VCF files (several: all rows). Header lines and lines with fewer fields than their
+    ``purpose`` needs (LEAST_FIELDS) are skipped; absent fields are null. ``ord`` keeps the order of the lines in their file."""
     lines = spark.read.text(path)
     lines = lines.select("value", _barcode(r"\.vcf\.gz|\.vcf").alias("barcode"), F.monotonically_increasing_id().alias("ord"))
-    parts = lines.filter(~F.col("value").startswith("#")).withColumn("f", F.split("value", "\t")).filter(F.size("f") >= 8)
+    parts = lines.filter(~F.col("value").startswith("#")).withColumn("f", F.split("value", "\t")).filter(F.size("f") >= LEAST_FIELDS[purpose])
     rows = parts.select(*[F.get("f", i).alias(c) for i, c in enumerate(VCF_COLUMNS)], "ord", *["barcode"] * barcode_from_name)
     return rows.withColumn("pos", F.col("pos").try_cast("int"))
 

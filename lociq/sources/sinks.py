@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociq.functions import fields
+from lociq.operators import learning
 from lociq.sources.readers import VCF_COLUMNS
 
 HEADER = "##fileformat=VCFv4.2"
@@ -17,13 +20,23 @@ def vcf_lines(variants: DataFrame) -> DataFrame:
     return variants.select("chrom", "pos", F.concat_ws("\t", *text).alias("line"))
 
 
-def write_vcf(variants: DataFrame, path: str) -> None:
-    """Lines in genomic order over as many files as there are ranges, each file sorted; the header is its own first file."""
+def header_lines(chroms: list[str], build: str | None = None, kept: list[str] | None = None) -> list[str]:
+    """Lines of a header: ``kept`` ones of the source without its first and its column line, else the contigs by name."""
+    own = [x for x in kept or [] if x.startswith("##") and not x.startswith("##fileformat")]
+    if build and not any(x.startswith("##reference") for x in own):
+        own.insert(0, f"##reference={build}")
+    listed = {m.group(1) for x in own if (m := re.match(r"##contig=<ID=([^,>]+)", x))}
+    return [HEADER, *own, *[f"##contig=<ID={c}>" for c in chroms if c not in listed]]
+
+
+def write_vcf(variants: DataFrame, path: str, header: list[str] | None = None) -> None:
+    """Lines in genomic order over as many files as there are ranges, each file sorted; the header (``header``, else the format alone, and the
+    column line) is its own first file."""
     lines = vcf_lines(variants).withColumn("rank", fields.chrom_rank(F.col("chrom")))
     ordered = lines.repartitionByRange("rank", "chrom", "pos").sortWithinPartitions("rank", "chrom", "pos", "line")
     ordered.select("line").write.mode("overwrite").option("compression", "gzip").text(path)
     columns = "#" + "\t".join(c.upper() for c in VCF_COLUMNS)
-    variants.sparkSession.createDataFrame([(HEADER,), (columns,)], "line string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}_header")
+    variants.sparkSession.createDataFrame([(x,) for x in (*(header or [HEADER]), columns)], "line string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}_header")
 
 
 def write_split(rows: DataFrame, path: str, by: str) -> None:
@@ -31,6 +44,14 @@ def write_split(rows: DataFrame, path: str, by: str) -> None:
     rows.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
+def write_classes(classified: DataFrame, folder: str, model: str, threshold: float = 0.5) -> None:
+    """One VCF for each class, of the variants that the model puts there with at least ``threshold``, their INFO tagged with the class and its
+    probabilities."""
+    sure = learning.tagged(learning.confident(classified, threshold), model)
+    for name in learning.CLASSES:
+        write_vcf(sure.filter(F.col("predicted") == name), f"{folder.rstrip('/')}/{model.lower()}_{name}")
+
+
 def with_race(found: DataFrame) -> DataFrame:
     """Detected variants as records: the pool's info with its race, an unknown genotype, a prefixed chromosome."""
     info = fields.with_tag(F.col("info"), "RACE", F.col("race"))
