@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +20,17 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _query(sql: str | None) -> Callable[[Query], Query]:
+def _query(sql: str | None, once: tuple[str, ...] = ()) -> Callable[[Query], Query]:
     """Register a query under its function's name; ``sql`` may use the views of plans.views (and add some: then it
-    begins with a comma)."""
+    begins with a comma). The views named in ``once`` are used in several places and written once."""
 
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            with views.once(*once):
+                return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = f"WITH {views.SQL}{sql}" if sql.startswith(",") else f"WITH {views.SQL} {sql}"
         return f
@@ -32,10 +38,12 @@ def _query(sql: str | None) -> Callable[[Query], Query]:
     return add
 
 
+@views.shared
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transitions.transitions(views.calls(spark, sf_dir), views.phased(spark, sf_dir))
 
 
+@views.shared
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transitions.error_status(views.calls(spark, sf_dir), transitions.thresholds(_changes(spark, sf_dir)))
 
@@ -48,10 +56,12 @@ def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.first_overlaps(views.interval_reads(spark, sf_dir), views.target_positions(spark, sf_dir))
 
 
+@views.shared
 def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.detected(_overlaps(spark, sf_dir), views.target_positions(spark, sf_dir))
 
 
+@views.shared
 def _filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.supported(views.spot_snvs(spark, sf_dir), _edges(spark, sf_dir), views.spots(spark, sf_dir))
 
@@ -118,33 +128,33 @@ def region_counts(spark, sf_dir):
 # Panel and pools
 
 
-@_query("SELECT c.chrom, c.pos, c.ref, c.alt, c.gt FROM calls c SEMI JOIN panel p USING (chrom, pos, ref, alt)")
+@_query("SELECT c.chrom, c.pos, c.ref, c.alt, c.gt FROM calls c SEMI JOIN panel p USING (chrom, pos, ref, alt)", once=("calls",))
 def panel_defined(spark, sf_dir):
     return panel.defined(views.calls(spark, sf_dir), views.panel(spark, sf_dir)).select("chrom", "pos", "ref", "alt", "gt")
 
 
-@_query("SELECT c.chrom, c.pos, c.ref, c.alt, c.gt FROM calls c ANTI JOIN panel p USING (chrom, pos, ref, alt)")
+@_query("SELECT c.chrom, c.pos, c.ref, c.alt, c.gt FROM calls c ANTI JOIN panel p USING (chrom, pos, ref, alt)", once=("calls",))
 def panel_denovo(spark, sf_dir):
     return panel.denovo(views.calls(spark, sf_dir), views.panel(spark, sf_dir)).select("chrom", "pos", "ref", "alt", "gt")
 
 
-@_query("SELECT CASE WHEN pos % 3 <> 0 THEN 'defined' ELSE 'denovo' END AS origin, count(*) AS n FROM calls GROUP BY 1")
+@_query("SELECT CASE WHEN pos % 3 <> 0 THEN 'defined' ELSE 'denovo' END AS origin, count(*) AS n FROM calls GROUP BY 1", once=("calls",))
 def panel_origin(spark, sf_dir):
     return panel.with_origin(views.calls(spark, sf_dir), views.panel(spark, sf_dir)).groupBy("origin").agg(F.count("*").alias("n"))
 
 
-@_query("SELECT chrom, pos, ref, alt FROM panel UNION SELECT chrom, pos, ref, alt FROM calls WHERE pos % 2 = 0")
+@_query("SELECT chrom, pos, ref, alt FROM panel UNION SELECT chrom, pos, ref, alt FROM calls WHERE pos % 2 = 0", once=("calls",))
 def panel_keys(spark, sf_dir):
     return panel.keys(views.panel(spark, sf_dir), views.calls(spark, sf_dir).filter("pos % 2 = 0"))
 
 
-@_query("SELECT p.chrom, p.pos, p.ref, p.alt, p.gt, c.dp, c.gq FROM phased p LEFT JOIN calls c ON p.chrom = c.chrom AND p.pos = c.pos AND p.ref = c.ref AND p.alt = c.alt AND c.pos % 4 <> 0")
+@_query("SELECT p.chrom, p.pos, p.ref, p.alt, p.gt, c.dp, c.gq FROM phased p LEFT JOIN calls c ON p.chrom = c.chrom AND p.pos = c.pos AND p.ref = c.ref AND p.alt = c.alt AND c.pos % 4 <> 0", once=("calls",))
 def back_annotated(spark, sf_dir):
     rows = panel.back_annotated(views.phased(spark, sf_dir), views.calls(spark, sf_dir).filter("pos % 4 <> 0"), ["dp", "gq"])
     return rows.select("chrom", "pos", "ref", "alt", "gt", "dp", "gq")
 
 
-@_query("""SELECT replace(chrom, 'chr', '') AS chrom, pos, ref, alt, CASE WHEN pos % 3 <> 0 THEN 'defined' ELSE 'denovo' END AS race FROM calls WHERE pos % 3 <> 0 OR pos % 2 = 0""")
+@_query("""SELECT replace(chrom, 'chr', '') AS chrom, pos, ref, alt, CASE WHEN pos % 3 <> 0 THEN 'defined' ELSE 'denovo' END AS race FROM calls WHERE pos % 3 <> 0 OR pos % 2 = 0""", once=("calls",))
 def pool_dedupe(spark, sf_dir):
     calls = views.calls(spark, sf_dir)
     return panel.pool([("defined", views.panel(spark, sf_dir)), ("denovo", calls.filter("pos % 2 = 0").withColumn("chrom", fields.bare_chrom(F.col("chrom"))))])
@@ -160,7 +170,7 @@ def genotype_counts(spark, sf_dir):
     return panel.genotype_counts(views.calls(spark, sf_dir))
 
 
-@_query("""SELECT a AS n_a, b AS n_b, c AS n_both, a + b - c AS n_union, c::DOUBLE / (a + b - c) AS jaccard FROM (SELECT count(*) FILTER (pos % 3 <> 0) AS a, count(*) FILTER (pos % 2 = 0) AS b, count(*) FILTER (pos % 6 IN (2, 4)) AS c FROM calls)""")
+@_query("""SELECT a AS n_a, b AS n_b, c AS n_both, a + b - c AS n_union, c::DOUBLE / (a + b - c) AS jaccard FROM (SELECT count(*) FILTER (pos % 3 <> 0) AS a, count(*) FILTER (pos % 2 = 0) AS b, count(*) FILTER (pos % 6 IN (2, 4)) AS c FROM calls)""", once=("calls",))
 def caller_jaccard(spark, sf_dir):
     return panel.overlap(views.panel(spark, sf_dir), views.calls(spark, sf_dir).filter("pos % 2 = 0"))
 
@@ -257,50 +267,70 @@ def phased_last(spark, sf_dir):
     return panel.last_of_each(views.phased(spark, sf_dir), ["chrom", "pos"], F.col("ord")).select("chrom", "pos", "ref", "alt", "gt")
 
 
-@_query("SELECT orig_gt, new_gt, count(*) AS n, 100.0::DOUBLE * count(*) / sum(count(*)) OVER () AS percentage FROM transitions GROUP BY orig_gt, new_gt")
+@_query("SELECT orig_gt, new_gt, count(*) AS n, 100.0::DOUBLE * count(*) / sum(count(*)) OVER () AS percentage FROM transitions GROUP BY orig_gt, new_gt", once=("calls",))
 def transition_counts(spark, sf_dir):
     return transitions.counts(_changes(spark, sf_dir))
 
 
-@_query("SELECT orig_gt, new_gt, ref, alt, count(*) AS n FROM transitions GROUP BY ALL")
+@_query("SELECT orig_gt, new_gt, ref, alt, count(*) AS n FROM transitions GROUP BY ALL", once=("calls",))
 def transition_detail(spark, sf_dir):
     return transitions.detail(_changes(spark, sf_dir))
 
 
-@_query("SELECT chrom, pos, ref, alt, orig_gt, new_gt FROM transitions WHERE (orig_gt, new_gt) IN (('0/1', '0/0'), ('0/1', '1/1'), ('1/1', '0/0'), ('1/1', '0/1'), ('0/0', '0/1'))")
+@_query("SELECT chrom, pos, ref, alt, orig_gt, new_gt FROM transitions WHERE (orig_gt, new_gt) IN (('0/1', '0/0'), ('0/1', '1/1'), ('1/1', '0/0'), ('1/1', '0/1'), ('0/0', '0/1'))", once=("calls",))
 def shifted_variants(spark, sf_dir):
     return transitions.shifted(_changes(spark, sf_dir)).select("chrom", "pos", "ref", "alt", "orig_gt", "new_gt")
 
 
-@_query("SELECT chrom, pos, ref, alt, orig_gt FROM transitions WHERE orig_gt = new_gt")
+@_query("SELECT chrom, pos, ref, alt, orig_gt FROM transitions WHERE orig_gt = new_gt", once=("calls",))
 def stable_variants(spark, sf_dir):
     return transitions.stable(_changes(spark, sf_dir)).select("chrom", "pos", "ref", "alt", "orig_gt")
 
 
-@_query("SELECT ref, alt, orig_gt, round(baf_thr, 9) AS baf_thr, depth_thr, n FROM learned")
+@_query("SELECT ref, alt, orig_gt, round(baf_thr, 9) AS baf_thr, depth_thr, n FROM learned", once=("calls",))
 def transition_thresholds(spark, sf_dir):
     return transitions.thresholds(_changes(spark, sf_dir)).select("ref", "alt", "orig_gt", F.round("baf_thr", 9).alias("baf_thr"), F.col("depth_thr").cast("double").alias("depth_thr"), "n")
 
 
-@_query("SELECT chrom, pos, ref, alt, gt, status, CASE WHEN status = 'error' THEN CASE gt WHEN '0/1' THEN 'HET' ELSE 'HOM' END END AS seq_error_model FROM judged")
+@_query("SELECT ref, alt, orig_gt, round(baf_thr, 9) AS baf_thr, depth_thr, n FROM learned", once=("calls", "changes"))
+def thresholds_from_counts(spark, sf_dir):
+    """Three sections' value counts, added up."""
+    changes = _changes(spark, sf_dir)
+    sections = [transitions.value_counts(changes.filter(F.col("pos") % 3 == i)) for i in (2, 0, 1)]
+    learned = transitions.thresholds_of(transitions.added(transitions.added(sections[0], sections[1]), sections[2]))
+    return learned.select("ref", "alt", "orig_gt", F.round("baf_thr", 9).alias("baf_thr"), "depth_thr", "n")
+
+
+@_query("""SELECT c.chrom, c.pos, c.ref, c.alt, CASE WHEN gt = '0/0' THEN 'hom_ref' WHEN gt IS NULL OR baf IS NULL OR dp IS NULL THEN 'missing' WHEN coalesce(baf <= baf_thr AND dp <= depth_thr, false) THEN 'error' ELSE 'no_error' END AS status
+    FROM (SELECT c.* REPLACE (CASE pos % 11 WHEN 0 THEN '0/0' WHEN 1 THEN NULL ELSE gt END AS gt, CASE WHEN pos % 13 <> 0 THEN dp END AS dp, CASE WHEN pos % 17 <> 0 THEN baf END AS baf) FROM calls c) c
+    LEFT JOIN learned l ON c.ref = l.ref AND c.alt = l.alt AND c.gt = l.orig_gt""", once=("calls", "changes"))
+def seq_error_missing(spark, sf_dir):
+    """Rows called 0/0, and rows without genotype, depth or share."""
+    calls = views.calls(spark, sf_dir).withColumns({
+        "gt": F.when(F.col("pos") % 11 == 0, "0/0").when(F.col("pos") % 11 != 1, F.col("gt")), "dp": F.when(F.col("pos") % 13 != 0, F.col("dp")), "baf": F.when(F.col("pos") % 17 != 0, F.col("baf")),
+    })
+    return transitions.error_status(calls, transitions.thresholds(_changes(spark, sf_dir))).select("chrom", "pos", "ref", "alt", "status")
+
+
+@_query("SELECT chrom, pos, ref, alt, gt, status, CASE WHEN status = 'error' THEN CASE gt WHEN '0/1' THEN 'HET' ELSE 'HOM' END END AS seq_error_model FROM judged", once=("calls", "changes"))
 def seq_error_status(spark, sf_dir):
     return _judged(spark, sf_dir).select("chrom", "pos", "ref", "alt", "gt", "status", "seq_error_model")
 
 
 @_query("""SELECT *, 100 * ((het_error + hom_error)::DOUBLE / (total - hom_ref)) AS error_pct FROM (SELECT count(*) AS total, count(*) FILTER (gt = '0/1') AS het_total, count(*) FILTER (gt = '1/1') AS hom_total,
     count(*) FILTER (status = 'error' AND gt = '0/1') AS het_error, count(*) FILTER (status = 'error' AND gt = '1/1') AS hom_error, count(*) FILTER (status = 'no_error') AS no_error,
-    count(*) FILTER (status = 'hom_ref') AS hom_ref, count(*) FILTER (status = 'missing') AS missing_info FROM judged)""")
+    count(*) FILTER (status = 'hom_ref') AS hom_ref, count(*) FILTER (status = 'missing') AS missing_info FROM judged)""", once=("calls", "changes"))
 def seq_error_summary(spark, sf_dir):
     return transitions.error_summary(_judged(spark, sf_dir))
 
 
 @_query("""SELECT orig_gt, new_gt, bin, n, n / (sum(n) OVER (PARTITION BY orig_gt, new_gt) * 0.05::DOUBLE) AS density FROM
-    (SELECT orig_gt, new_gt, least(floor(baf / 0.05::DOUBLE), 19)::INTEGER AS bin, count(*) AS n FROM transitions GROUP BY ALL)""")
+    (SELECT orig_gt, new_gt, least(floor(baf / 0.05::DOUBLE), 19)::INTEGER AS bin, count(*) AS n FROM transitions GROUP BY ALL)""", once=("calls",))
 def baf_histogram(spark, sf_dir):
     return reports.baf_histogram(_changes(spark, sf_dir), ["orig_gt", "new_gt"])
 
 
-@_query("SELECT bin, n, n / (sum(n) OVER () * 10.0::DOUBLE) AS density FROM (SELECT least(floor(least(depth, 200) / 10.0::DOUBLE), 19)::INTEGER AS bin, count(*) AS n FROM transitions GROUP BY ALL)")
+@_query("SELECT bin, n, n / (sum(n) OVER () * 10.0::DOUBLE) AS density FROM (SELECT least(floor(least(depth, 200) / 10.0::DOUBLE), 19)::INTEGER AS bin, count(*) AS n FROM transitions GROUP BY ALL)", once=("calls",))
 def depth_histogram(spark, sf_dir):
     return reports.depth_histogram(_changes(spark, sf_dir))
 
@@ -313,33 +343,57 @@ def range_detect(spark, sf_dir):
     return _overlaps(spark, sf_dir).select("read_id", "barcode", "pos")
 
 
-@_query("SELECT i.barcode, count(*) AS n_kept FROM intervals i WHERE read_id IN (SELECT read_id FROM hits) GROUP BY i.barcode")
+@_query("SELECT i.barcode, count(*) AS n_kept FROM intervals i WHERE read_id IN (SELECT read_id FROM hits) GROUP BY i.barcode", once=("site_reads",))
 def reads_kept(spark, sf_dir):
     return reads.kept_reads(views.interval_reads(spark, sf_dir), _overlaps(spark, sf_dir)).groupBy("barcode").agg(F.count("*").alias("n_kept"))
 
 
-@_query("SELECT barcode, chrom, pos, ref, alt FROM detected")
+@_query("SELECT barcode, chrom, pos, ref, alt FROM detected", once=("target_positions",))
 def detected_snvs(spark, sf_dir):
     return _detected(spark, sf_dir)
 
 
 @_query("""SELECT d.barcode, d.chrom, d.pos, d.ref, d.alt, coalesce(a.info, '.') AS info, coalesce(a.race, 'unknown') AS race FROM detected d
-    LEFT JOIN (SELECT pos, ref, alt, 'P=' || pos AS info, 'defined' AS race FROM targets WHERE pos % 2 = 0) a ON a.pos = d.pos AND a.ref = d.ref AND a.alt = d.alt""")
+    LEFT JOIN (SELECT pos, ref, alt, 'P=' || pos AS info, 'defined' AS race FROM targets WHERE pos % 2 = 0) a ON a.pos = d.pos AND a.ref = d.ref AND a.alt = d.alt""", once=("target_positions",))
 def detected_annotated(spark, sf_dir):
     pool = views.target_positions(spark, sf_dir).filter("pos % 2 = 0").select("chrom", "pos", "ref", "alt", F.concat(F.lit("P="), F.col("pos").cast("string")).alias("info"), F.lit("defined").alias("race"))
     return reads.with_annotation(_detected(spark, sf_dir), pool).select("barcode", "chrom", "pos", "ref", "alt", "info", "race")
 
 
-@_query("SELECT chrom, pos, ref, alt, count(DISTINCT barcode) AS n_barcodes, count(DISTINCT barcode)::DOUBLE / (SELECT count(DISTINCT barcode) FROM detected) AS freq FROM detected GROUP BY chrom, pos, ref, alt")
+@_query("SELECT chrom, pos, ref, alt, count(DISTINCT barcode) AS n_barcodes, count(DISTINCT barcode)::DOUBLE / (SELECT count(DISTINCT barcode) FROM detected) AS freq FROM detected GROUP BY chrom, pos, ref, alt", once=("target_positions", "detected"))
 def variant_barcode_freq(spark, sf_dir):
     return reads.barcode_frequency(_detected(spark, sf_dir))
 
 
-@_query("SELECT chrom, pos, ref, alt, count(DISTINCT barcode) AS n_barcodes, count(DISTINCT barcode)::DOUBLE / (SELECT count(DISTINCT barcode) FROM detected) AS freq, 'B=' || min(barcode) AS info FROM detected GROUP BY chrom, pos, ref, alt")
+@_query("SELECT chrom, pos, ref, alt, count(DISTINCT barcode) AS n_barcodes, count(DISTINCT barcode)::DOUBLE / (SELECT count(DISTINCT barcode) FROM detected) AS freq, 'B=' || min(barcode) AS info FROM detected GROUP BY chrom, pos, ref, alt", once=("target_positions", "detected"))
 def variant_first_info(spark, sf_dir):
     return reads.barcode_frequency(_detected(spark, sf_dir).withColumn("info", F.concat(F.lit("B="), "barcode")))
 
 
+def _in_order(spark: SparkSession, rows: DataFrame, keys: list[str]) -> DataFrame:
+    path = new_path(spark, "ordered")
+    sinks.write_ordered(rows, path, keys)
+    return readers.ordered(spark, path)
+
+
+@_query("SELECT row_number() OVER (ORDER BY chrom, pos, ref, alt, barcode) - 1 AS place, barcode, chrom, pos, ref, alt FROM (SELECT barcode, '1' AS chrom, pos, ref, alt FROM detected)", once=("target_positions",))
+def detected_in_order(spark, sf_dir):
+    """One total order over many files, read back: by the chromosome's text, then position."""
+    return _in_order(spark, _detected(spark, sf_dir), ["chrom", "pos", "ref", "alt", "barcode"])
+
+
+@_query("""SELECT row_number() OVER (ORDER BY chrom, pos, ref, alt) - 1 AS place, chrom, pos, ref, alt, 'B=' || min(barcode) || ';COUNT=' || count(DISTINCT barcode) AS info FROM detected GROUP BY chrom, pos, ref, alt""", once=("target_positions", "detected"))
+def summary_in_order(spark, sf_dir):
+    found = reads.barcode_frequency(_detected(spark, sf_dir).withColumn("info", F.concat(F.lit("B="), "barcode")))
+    rows = _in_order(spark, sinks.with_frequency(found).select("chrom", "pos", "ref", "alt", "info"), ["chrom", "pos", "ref", "alt"])
+    return rows.select("place", "chrom", "pos", "ref", "alt", F.regexp_replace("info", ";FREQ=.*", "").alias("info"))
+
+
+@_query("SELECT row_number() OVER (ORDER BY orig_gt, new_gt) - 1 AS place, orig_gt, new_gt, count(*) AS n FROM transitions GROUP BY orig_gt, new_gt", once=("calls",))
+def transitions_in_order(spark, sf_dir):
+    return _in_order(spark, transitions.counts(_changes(spark, sf_dir)).select("orig_gt", "new_gt", "n"), ["orig_gt", "new_gt"])
+
+
 # Spots
 
 
@@ -364,40 +418,50 @@ def graph_stats(spark, sf_dir):
     return spatial.degree_stats(spatial.degrees(views.spots(spark, sf_dir), _edges(spark, sf_dir)))
 
 
-@_query("SELECT barcode, chrom, pos, support FROM supports")
+@_query("SELECT barcode, chrom, pos, support FROM supports", once=("spot_snvs",))
 def neighbour_support(spark, sf_dir):
     return spatial.support(views.spot_snvs(spark, sf_dir), _edges(spark, sf_dir))
 
 
-@_query("SELECT barcode, chrom, pos FROM filtered")
+@_query("SELECT barcode, chrom, pos FROM filtered", once=("spot_snvs",))
 def spatial_filter(spark, sf_dir):
     return _filtered(spark, sf_dir)
 
 
-@_query("""SELECT barcode, chrom, pos FROM supports WHERE (support >= 3 OR (chrom, pos) IN (SELECT (replace(chrom, 'chr', ''), pos) FROM panel WHERE pos % 4 = 1)) AND barcode IN (SELECT barcode FROM spots)""")
+@_query("""SELECT barcode, chrom, pos FROM supports WHERE (support >= 3 OR (chrom, pos) IN (SELECT (replace(chrom, 'chr', ''), pos) FROM panel WHERE pos % 4 = 1)) AND barcode IN (SELECT barcode FROM spots)""", once=("spot_snvs", "calls"))
 def spatial_filter_kept(spark, sf_dir):
     kept = spatial.pool_positions(views.panel(spark, sf_dir).filter("pos % 4 = 1"), allow_multiallelic=True)
     return spatial.supported(views.spot_snvs(spark, sf_dir), _edges(spark, sf_dir), views.spots(spark, sf_dir), 3, kept)
 
 
-@_query("""SELECT barcode, chrom, pos FROM spot_snvs WHERE (chrom, pos) NOT IN (SELECT (replace(chrom, 'chr', ''), pos) FROM calls WHERE pos % 5 = 0) AND (chrom, pos) IN (SELECT (replace(chrom, 'chr', ''), pos) FROM panel)""")
+@_query("""SELECT barcode, chrom, pos FROM spot_snvs WHERE (chrom, pos) NOT IN (SELECT (replace(chrom, 'chr', ''), pos) FROM calls WHERE pos % 5 = 0) AND (chrom, pos) IN (SELECT (replace(chrom, 'chr', ''), pos) FROM panel)""", once=("calls",))
 def spatial_exclude_include(spark, sf_dir):
     out = spatial.excluded(views.spot_snvs(spark, sf_dir), spatial.pool_positions(views.calls(spark, sf_dir).filter("pos % 5 = 0")))
     return spatial.included(out, spatial.pool_positions(views.panel(spark, sf_dir)))
 
 
-@_query("SELECT barcode, n_before, n_after FROM counted")
+@_query("""SELECT barcode, chrom, pos FROM supports WHERE (support >= 3 OR pos % 4 = 1 AND (chrom, pos) IN (SELECT (replace(chrom, 'chr', ''), pos) FROM panel)) AND barcode IN (SELECT barcode FROM spots)
+    AND (chrom, pos) NOT IN (SELECT (replace(chrom, 'chr', ''), pos) FROM calls WHERE pos % 5 = 0 AND pos % 2 = 0)""", once=("spot_snvs", "calls"))
+def spatial_pools_multiallelic(spark, sf_dir):
+    """Rows with several alternative alleles are honoured in a kept pool and skipped in an excluded one."""
+    several = lambda rows, c: rows.withColumn("alt", F.when(c, F.concat("alt", F.lit(",G"))).otherwise(F.col("alt")))
+    kept = spatial.pool_positions(several(views.panel(spark, sf_dir).filter("pos % 4 = 1"), F.lit(True)), allow_multiallelic=True)
+    out = spatial.supported(views.spot_snvs(spark, sf_dir), _edges(spark, sf_dir), views.spots(spark, sf_dir), 3, kept)
+    return spatial.excluded(out, spatial.pool_positions(several(views.calls(spark, sf_dir).filter("pos % 5 = 0"), F.col("pos") % 2 == 1)))
+
+
+@_query("SELECT barcode, n_before, n_after FROM counted", once=("spot_snvs", "filtered"))
 def spot_counts(spark, sf_dir):
     return spatial.counts(views.spots(spark, sf_dir), views.spot_snvs(spark, sf_dir), _filtered(spark, sf_dir))
 
 
-@_query("SELECT count(*) AS n_spots, count(*) FILTER (n_after > 0) AS n_nonzero, sum(n_after)::BIGINT AS total, max(n_after) AS max, avg(n_after) AS mean FROM counted")
+@_query("SELECT count(*) AS n_spots, count(*) FILTER (n_after > 0) AS n_nonzero, sum(n_after)::BIGINT AS total, max(n_after) AS max, avg(n_after) AS mean FROM counted", once=("spot_snvs", "filtered"))
 def map_summary(spark, sf_dir):
     return spatial.map_summary(spot_counts(spark, sf_dir))
 
 
 @_query("""SELECT *, 100 * ((snvs_before - snvs_after)::DOUBLE / snvs_before) AS removed_pct, kept_pairs::DOUBLE / spots_after AS mean_kept FROM (SELECT count(*) AS n_spots, count(*) FILTER (n_before > 0) AS spots_before, count(*) FILTER (n_after > 0) AS spots_after,
-    max(n_after) AS max_kept, sum(n_after)::BIGINT AS kept_pairs, (SELECT count(DISTINCT (chrom, pos)) FROM spot_snvs) AS snvs_before, (SELECT count(DISTINCT (chrom, pos)) FROM filtered) AS snvs_after FROM counted)""")
+    max(n_after) AS max_kept, sum(n_after)::BIGINT AS kept_pairs, (SELECT count(DISTINCT (chrom, pos)) FROM spot_snvs) AS snvs_before, (SELECT count(DISTINCT (chrom, pos)) FROM filtered) AS snvs_after FROM counted)""", once=("spot_snvs", "filtered"))
 def spatial_statistics(spark, sf_dir):
     return spatial.filter_statistics(spot_counts(spark, sf_dir), views.spot_snvs(spark, sf_dir), _filtered(spark, sf_dir))
 
@@ -410,12 +474,12 @@ def plot_coordinates(spark, sf_dir):
 # Matrix and sinks
 
 
-@_query("SELECT DISTINCT barcode, chrom || '_' || pos AS snv FROM filtered")
+@_query("SELECT DISTINCT barcode, chrom || '_' || pos AS snv FROM filtered", once=("spot_snvs",))
 def snv_matrix_long(spark, sf_dir):
     return matrix.long(_filtered(spark, sf_dir))
 
 
-@_query("SELECT snv, row_number() OVER (ORDER BY snv) - 1 AS place FROM (SELECT DISTINCT chrom || '_' || pos AS snv FROM filtered)")
+@_query("SELECT snv, row_number() OVER (ORDER BY snv) - 1 AS place FROM (SELECT DISTINCT chrom || '_' || pos AS snv FROM filtered)", once=("spot_snvs",))
 def matrix_columns(spark, sf_dir):
     return matrix.columns(_filtered(spark, sf_dir))
 
@@ -423,18 +487,18 @@ def matrix_columns(spark, sf_dir):
 _PIVOTED = ["9_8", "10_9", "11_10", "13_12", "15_14", "no_such"]
 
 
-@_query("SELECT barcode, " + ", ".join(f"max(CASE WHEN chrom || '_' || pos = '{c}' THEN 1 ELSE 0 END)::INTEGER AS \"{c}\"" for c in sorted(_PIVOTED)) + " FROM filtered GROUP BY barcode")
+@_query("SELECT barcode, " + ", ".join(f"max(CASE WHEN chrom || '_' || pos = '{c}' THEN 1 ELSE 0 END)::INTEGER AS \"{c}\"" for c in sorted(_PIVOTED)) + " FROM filtered GROUP BY barcode", once=("spot_snvs",))
 def snv_matrix_pivot(spark, sf_dir):
     return matrix.pivoted(_filtered(spark, sf_dir), _PIVOTED)
 
 
 @_query("""SELECT barcode, place // 32 AS block, sum(1::BIGINT << (place % 32)::INTEGER)::BIGINT AS present FROM (SELECT DISTINCT barcode, chrom || '_' || pos AS snv FROM filtered)
-    JOIN (SELECT snv, row_number() OVER (ORDER BY snv) - 1 AS place FROM (SELECT DISTINCT chrom || '_' || pos AS snv FROM filtered)) USING (snv) GROUP BY ALL""")
+    JOIN (SELECT snv, row_number() OVER (ORDER BY snv) - 1 AS place FROM (SELECT DISTINCT chrom || '_' || pos AS snv FROM filtered)) USING (snv) GROUP BY ALL""", once=("spot_snvs", "filtered"))
 def snv_matrix_blocks(spark, sf_dir):
     return matrix.blocks(_filtered(spark, sf_dir))
 
 
-@_query("SELECT barcode, count(*) AS n_snvs FROM filtered GROUP BY barcode")
+@_query("SELECT barcode, count(*) AS n_snvs FROM filtered GROUP BY barcode", once=("spot_snvs",))
 def matrix_row_sums(spark, sf_dir):
     return matrix.per_spot(_filtered(spark, sf_dir))
 
@@ -459,7 +523,7 @@ def positions_read_back(spark, sf_dir):
     return readers.positions(spark, path, header=True).select("barcode", "in_tissue", "x", "y")
 
 
-@_query("SELECT barcode, chrom, pos FROM filtered")
+@_query("SELECT barcode, chrom, pos FROM filtered", once=("spot_snvs",))
 def spot_snvs_read_back(spark, sf_dir):
     path = new_path(spark, "spot-snvs")
     sinks.write_spot_snvs(_filtered(spark, sf_dir), path)
@@ -491,13 +555,23 @@ def features(spark, sf_dir):
     return rows.select("chrom", "pos", "ref", "alt", "f_pos", "f_dp", "f_vdb", "f_mqb", "f_rpb", "f_qs", "f_i16_0", "f_i16_3")
 
 
-@_query("SELECT chrom, pos, ref, alt, round(CASE WHEN pos % 9 = 0 THEN (SELECT sum(ad - ad // 2)::DOUBLE / count(*) FROM calls WHERE pos % 9 <> 0) ELSE ad - ad // 2 END, 9) AS i16_2 FROM calls")
+_ZEROS = ", ".join(f"0.0::DOUBLE AS {c}" for c in ("f_rpb", "f_bqb", "f_sgb", "f_baf", "f_gq", "f_qs", "f_mqsb", "f_mq0f", *[f"f_i16_{i}" for i in range(4, 16)]))
+
+
+@_query(f"""SELECT chrom, pos, ref, alt, pos::DOUBLE AS f_pos, dp::DOUBLE AS f_dp, 0.25::DOUBLE AS f_vdb, 0.5::DOUBLE AS f_mqb, {_ZEROS}, (dp - ad - (dp - ad) // 2)::DOUBLE AS f_i16_0, ((dp - ad) // 2)::DOUBLE AS f_i16_1,
+    (ad - ad // 2)::DOUBLE AS f_i16_2, (ad // 2)::DOUBLE AS f_i16_3 FROM calls""")
+def features_all(spark, sf_dir):
+    """Every feature column."""
+    return learning.features(views.calls(spark, sf_dir)).select("chrom", "pos", "ref", "alt", *learning.FEATURES)
+
+
+@_query("SELECT chrom, pos, ref, alt, round(CASE WHEN pos % 9 = 0 THEN (SELECT sum(ad - ad // 2)::DOUBLE / count(*) FROM calls WHERE pos % 9 <> 0) ELSE ad - ad // 2 END, 9) AS i16_2 FROM calls", once=("calls",))
 def features_imputed(spark, sf_dir):
     calls = views.calls(spark, sf_dir).withColumn("info", F.when(F.col("pos") % 9 == 0, F.concat(F.lit("DP="), F.col("dp").cast("string"))).otherwise(F.col("info")))
     return learning.filled_with_mean(learning.features(calls)).select("chrom", "pos", "ref", "alt", F.round("f_i16_2", 9).alias("i16_2"))
 
 
-@_query("SELECT chrom, pos, ref, alt, round((dp - m) / s, 9) AS z_dp, 0.0::DOUBLE AS z_qs FROM calls, (SELECT avg(dp) AS m, stddev_pop(dp) AS s FROM calls)")
+@_query("SELECT chrom, pos, ref, alt, round((dp - m) / s, 9) AS z_dp, 0.0::DOUBLE AS z_qs FROM calls, (SELECT avg(dp) AS m, stddev_pop(dp) AS s FROM calls)", once=("calls",))
 def scaled_features(spark, sf_dir):
     rows = learning.scaled(learning.filled_with_zero(learning.features(views.calls(spark, sf_dir))))
     return rows.select("chrom", "pos", "ref", "alt", F.round("f_dp", 9).alias("z_dp"), F.col("f_qs").alias("z_qs"))
@@ -507,28 +581,29 @@ _LABELLED = """SELECT chrom, pos, ref, alt, CASE new_gt WHEN '1/1' THEN 'homozyg
     UNION ALL SELECT chrom, pos, ref, alt, 'no_variance' FROM judged WHERE status = 'error'"""
 
 
+@views.shared
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.training_sets(_changes(spark, sf_dir), _judged(spark, sf_dir).filter("status = 'error'"))
 
 
-@_query(_LABELLED)
+@_query(_LABELLED, once=("calls", "changes"))
 def training_sets(spark, sf_dir):
     return _labelled(spark, sf_dir)
 
 
-@_query(f"""SELECT label, count(*) AS n FROM ({_LABELLED}) GROUP BY label""")
+@_query(f"""SELECT label, count(*) AS n FROM ({_LABELLED}) GROUP BY label""", once=("calls", "changes"))
 def training_sizes(spark, sf_dir):
     return _labelled(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @_query(f"""SELECT label, (CASE WHEN total <= 500 THEN n WHEN label = 'no_variance' THEN least(n, 500 - coalesce(sum(CASE WHEN label <> 'no_variance' THEN 500 * n // total END) OVER (), 0)) ELSE 500 * n // total END)::BIGINT AS n_taken
-    FROM (SELECT label, count(*) AS n, sum(count(*)) OVER () AS total FROM ({_LABELLED}) GROUP BY label)""")
+    FROM (SELECT label, count(*) AS n, sum(count(*)) OVER () AS total FROM ({_LABELLED}) GROUP BY label)""", once=("calls", "changes"))
 def training_sample_sizes(spark, sf_dir):
     return learning.sampled(_labelled(spark, sf_dir), 500).groupBy("label").agg(F.count("*").alias("n_taken"))
 
 
 @_query("""SELECT chrom, pos, ref, alt, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws('_', chrom, pos, ref, alt)), chrom, pos) <= ceil(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE) AS is_test
-    FROM (SELECT chrom, pos, ref, alt, CASE new_gt WHEN '1/1' THEN 'homozygous' WHEN '0/1' THEN 'heterozygous' ELSE 'no_variance' END AS label FROM transitions)""")
+    FROM (SELECT chrom, pos, ref, alt, CASE new_gt WHEN '1/1' THEN 'homozygous' WHEN '0/1' THEN 'heterozygous' ELSE 'no_variance' END AS label FROM transitions)""", once=("calls",))
 def stratified_split(spark, sf_dir):
     return learning.split(learning.training_sets(_changes(spark, sf_dir)))
 
@@ -543,7 +618,7 @@ _GUESSED = """SELECT CASE new_gt WHEN '1/1' THEN 'homozygous' WHEN '0/1' THEN 'h
     CASE WHEN orig_gt = '1/1' THEN 'homozygous' WHEN depth % 7 = 0 THEN 'no_variance' ELSE 'heterozygous' END AS predicted FROM transitions"""
 
 
-@_query(f"SELECT label, predicted, count(*) AS n FROM ({_GUESSED}) GROUP BY ALL")
+@_query(f"SELECT label, predicted, count(*) AS n FROM ({_GUESSED}) GROUP BY ALL", once=("calls",))
 def confusion(spark, sf_dir):
     return reports.confusion(_guessed(spark, sf_dir))
 
@@ -553,7 +628,7 @@ def _f1(where: str) -> str:
         FROM ({_GUESSED}), (SELECT unnest(['heterozygous', 'homozygous', 'no_variance']) AS c) {where} GROUP BY c)"""
 
 
-@_query(f"SELECT class, coalesce(hit / nullif(guessed, 0), 0)::DOUBLE AS precision, coalesce(hit / nullif(support, 0), 0)::DOUBLE AS recall, coalesce(2 * hit / nullif(guessed + support, 0), 0)::DOUBLE AS f1, support FROM {_f1('')}")
+@_query(f"SELECT class, coalesce(hit / nullif(guessed, 0), 0)::DOUBLE AS precision, coalesce(hit / nullif(support, 0), 0)::DOUBLE AS recall, coalesce(2 * hit / nullif(guessed + support, 0), 0)::DOUBLE AS f1, support FROM {_f1('')}", once=("calls",))
 def class_report(spark, sf_dir):
     return reports.class_report(reports.confusion(_guessed(spark, sf_dir)))
 
@@ -561,12 +636,12 @@ def class_report(spark, sf_dir):
 _VARIANT_LABELS = "WHERE label IN ('heterozygous', 'homozygous')"
 
 
-@_query(f"SELECT avg(coalesce(2 * hit / nullif(guessed + support, 0), 0)) AS variant_f1 FROM {_f1(_VARIANT_LABELS)} WHERE class <> 'no_variance'")
+@_query(f"SELECT avg(coalesce(2 * hit / nullif(guessed + support, 0), 0)) AS variant_f1 FROM {_f1(_VARIANT_LABELS)} WHERE class <> 'no_variance'", once=("calls",))
 def variant_f1(spark, sf_dir):
     return reports.variant_f1(_guessed(spark, sf_dir))
 
 
-@_query(None)
+@_query(None, once=("calls",))
 def classifier_scores(spark, sf_dir):
     """Fit on four fifths of the labelled variants, classes and probabilities of the rest."""
     calls = learning.filled_with_zero(learning.features(views.calls(spark, sf_dir)))
@@ -586,18 +661,18 @@ def _tested(spark: SparkSession, sf_dir: str, kind: str, **settings) -> DataFram
     return learning.classified(learning.load(path, kind), rows.filter("is_test")).select("chrom", "pos", "ref", "alt", "label", "predicted", "p_het", "p_hom", "p_novar")
 
 
-@_query(None)
+@_query(None, once=("calls",))
 def boosted_scores(spark, sf_dir):
     """Boosted trees on all features; tests compare them with a plain version."""
     return _tested(spark, sf_dir, "boosted", rounds=10)
 
 
-@_query(None)
+@_query(None, once=("calls",))
 def boosted_variant_f1(spark, sf_dir):
     return reports.variant_f1(boosted_scores(spark, sf_dir))
 
 
-@_query(None)
+@_query(None, once=("calls",))
 def kernel_scores(spark, sf_dir):
     """A Gaussian kernel with calibrated probabilities; tests compare it with a plain version."""
     return _tested(spark, sf_dir, "kernel")

@@ -22,6 +22,8 @@ Model = PipelineModel | CrossValidatorModel | boosting.Boosted | kernel.KernelMo
 #: The estimators that are written here, and the settings that a search tries.
 OWN = {"boosted": (boosting.fit, boosting.Boosted, [{"rate": r, "depth": d} for r in (0.1, 0.3) for d in (3, 5)]), "kernel": (kernel.fit, kernel.KernelModel, [{"cost": c, "gamma": g} for c in (0.1, 1.0, 10.0) for g in (None, 0.1)])}
 
+_HASH_BITS = 14  # ranges of the hash by which a sample is drawn
+
 CLASSES = ("heterozygous", "homozygous", "no_variance")
 #: Filled from INFO, and from the sample; the others are in the vector but always 0.
 INFO_FEATURES = ("DP", "VDB", "RPB", "MQB", "BQB", "SGB")
@@ -92,11 +94,29 @@ def quotas(sizes: dict[str, int], most: int) -> dict[str, int]:
 
 
 def sampled(rows: DataFrame, most: int, seed: int = 42) -> DataFrame:
-    """A training sample of bounded size, the same in every run: the lowest hashes of each class."""
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    order = F.xxhash64(F.lit(seed), "chrom", "pos", "ref", "alt")
-    parts = [rows.filter(F.col("label") == c).orderBy(order, "chrom", "pos", "ref", "alt").limit(n) for c, n in quotas(sizes, most).items()]
-    return reduce(DataFrame.unionByName, parts) if parts else rows.limit(0)
+    """A training sample of bounded size, the same in every run: the lowest hashes of each class.
+
+    One aggregation counts the rows of each class in 2 ** _HASH_BITS ranges of the hash; those counts, which any tables' can be added
+    to, say in which range a class's last row is. All rows of the ranges before it are taken as they are, and only those of that
+    one range are put in order: no class is sorted.
+    """
+    keyed = stored(rows.withColumn("__h", F.xxhash64(F.lit(seed), "chrom", "pos", "ref", "alt")), "sample")
+    at = F.shiftright("__h", 64 - _HASH_BITS)
+    counts: dict[str, dict[int, int]] = {}
+    for r in keyed.groupBy("label", at.alias("at")).agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r["label"], {})[r["at"]] = r["n"]
+    whole, edges = F.lit(False), []
+    for label, n in quotas({c: sum(x.values()) for c, x in counts.items()}, most).items():
+        own = F.col("label") == label
+        for place in sorted(counts.get(label, {})):
+            if n < counts[label][place]:
+                edges.append(keyed.filter(own & (at == place)).orderBy("__h", "chrom", "pos", "ref", "alt").limit(n))
+                whole = whole | (own & (at < place))
+                break
+            n -= counts[label][place]
+        else:
+            whole = whole | own
+    return reduce(DataFrame.unionByName, edges, keyed.filter(whole)).drop("__h")
 
 
 def split(rows: DataFrame, test_share: float = 0.2) -> DataFrame:

@@ -51,6 +51,39 @@ def thresholds(rows: DataFrame, hom_baf: float = HOM_BAF_THRESHOLD) -> DataFrame
     return found.withColumn("baf_thr", F.when(F.col("orig_gt") == "0/1", F.col("baf_median")).otherwise(F.lit(hom_baf))).drop("baf_median")
 
 
+_VALUES = ("baf", "depth")
+
+
+def value_counts(rows: DataFrame) -> DataFrame:
+    """What :func:`thresholds` needs of these transitions, in a form that adds up: (ref, alt, orig_gt, what, value, n), how many of the
+    lost variants of a key have each allele share and each depth. Its size follows the different values, not the variants."""
+    lost = rows.filter((F.col("new_gt") == "0/0") & F.col("orig_gt").isin("0/1", "1/1"))
+    both = F.explode(F.array(*[F.struct(F.lit(v).alias("what"), F.col(v).cast("double").alias("value")) for v in _VALUES]))
+    return lost.select("ref", "alt", "orig_gt", both.alias("v")).groupBy("ref", "alt", "orig_gt", "v.what", "v.value").agg(F.count("*").alias("n"))
+
+
+def added(*counts: DataFrame) -> DataFrame:
+    """The value counts of all sections together; the order of the sections does not matter."""
+    every = counts[0]
+    for c in counts[1:]:
+        every = every.unionByName(c)
+    return every.groupBy("ref", "alt", "orig_gt", "what", "value").agg(F.sum("n").alias("n"))
+
+
+def thresholds_of(counts: DataFrame, hom_baf: float = HOM_BAF_THRESHOLD) -> DataFrame:
+    """The thresholds from added value counts, without the variants: a median is where the running sum of counts passes the half.
+    Equal to :func:`thresholds` of all transitions. Missing values count for n only."""
+    key = Window.partitionBy("ref", "alt", "orig_gt", "what")
+    known = counts.filter("value IS NOT NULL").withColumns({"upto": F.sum("n").over(key.orderBy("value")), "total": F.sum("n").over(key)})
+    # The two values in the middle, counted from 0; the same one if their number is odd.
+    middle = lambda place: F.min(F.when(F.col("upto") > place, F.col("value")))
+    half = lambda: (middle(F.floor((F.col("total") - 1) / 2)) + middle(F.floor(F.col("total") / 2))) / 2
+    medians = known.groupBy("ref", "alt", "orig_gt", "what").agg(half().alias("median")).groupBy("ref", "alt", "orig_gt").pivot("what", list(_VALUES)).agg(F.first("median"))
+    sizes = counts.filter(F.col("what") == _VALUES[0]).groupBy("ref", "alt", "orig_gt").agg(F.sum("n").alias("n"))
+    rows = sizes.join(medians, ["ref", "alt", "orig_gt"], "left")
+    return rows.select("ref", "alt", "orig_gt", F.col("depth").alias("depth_thr"), "n", F.when(F.col("orig_gt") == "0/1", F.col("baf")).otherwise(F.lit(hom_baf)).alias("baf_thr"))
+
+
 def error_status(calls: DataFrame, learned: DataFrame) -> DataFrame:
     """status: ``hom_ref`` (dropped by both outputs), ``missing`` (kept as no error, counted apart), ``error`` (share and
     depth at or below both thresholds) or ``no_error``. The thresholds are a row for each of at most 24 keys."""

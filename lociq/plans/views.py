@@ -6,15 +6,52 @@ a target. Spots lie on slides of SLIDE spots side by side, so that a spot has as
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociq.operators import genotype
+from lociq.scratch import stored
 
 RADIUS2, SLIDE = 0.06, 500
 CALL_LIMITS = {"min_depth": 0, "min_gq": 8, "min_qual": 0.0}
 
 
+View = Callable[[SparkSession, str], DataFrame]
+_ONCE: ContextVar[tuple[frozenset[str], dict[str, DataFrame]]] = ContextVar("once", default=(frozenset(), {}))
+
+
+@contextmanager
+def once(*names: str) -> Iterator[None]:
+    """Inside, each of the named views is written when it is first asked for, and read wherever it is asked for again: for a query
+    that uses it in several places."""
+    token = _ONCE.set((frozenset(names), {}))
+    try:
+        yield
+    finally:
+        _ONCE.reset(token)
+
+
+def shared(view: View) -> View:
+    """A view that :func:`once` knows by its name."""
+
+    @wraps(view)
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        name = view.__name__.lstrip("_")
+        names, held = _ONCE.get()
+        if name not in names:
+            return view(spark, sf_dir)
+        if name not in held:
+            held[name] = stored(view(spark, sf_dir), name)
+        return held[name]
+
+    return get
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,6 +72,7 @@ def _site_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@shared
 def site_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items with their barcode: customers over the whole range of spots, whose number is one row."""
     n_spots = table(spark, sf_dir, "embeddings").agg((F.max("vec_id") + 1).alias("n_spots"))
@@ -52,6 +90,7 @@ def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.select("chrom", "pos", F.lit(".").alias("id"), "ref", "alt", (F.col("ad") * 7.5).cast("string").alias("qual"), F.lit(".").alias("filter"), info.alias("info"), F.lit("PL").alias("format"), sample.alias("sample"))
 
 
+@shared
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genotype.called(variants(spark, sf_dir), **CALL_LIMITS)
 
@@ -67,12 +106,14 @@ def phased(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls(spark, sf_dir).withColumn("gt", new).withColumn("ord", F.concat("ref", "alt"))
 
 
+@shared
 def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     at = lambda i: F.get("embedding", F.lit(i)).cast("double")
     return rows.select(F.concat(F.lit("s"), F.col("vec_id").cast("string")).alias("barcode"), F.when(F.col("vec_id") % 50 == 49, 0).otherwise(1).alias("in_tissue"), (at(0) + 4.0 * F.floor(F.col("vec_id") / SLIDE)).alias("x"), at(1).alias("y"))
 
 
+@shared
 def spot_snvs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (barcode, chrom, pos) of reads whose site is called; bare chromosomes."""
     found = site_reads(spark, sf_dir).join(calls(spark, sf_dir).select("chrom", "pos", "ref", "alt"), ["chrom", "pos", "ref", "alt"], "left_semi")
@@ -87,6 +128,7 @@ def interval_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("read_id", "barcode", F.lit("chr1").alias("chrom"), start.alias("start0"), end.alias("end0"), (F.col("read_id") % 37 == 0).alias("unmapped"))
 
 
+@shared
 def target_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants at all positions, several at some; ``ord`` is the order of the lines."""
     rows = _site_items(spark, sf_dir).select(F.lit("1").alias("chrom"), "pos", "ref", "alt").distinct()

@@ -23,8 +23,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete what this process has stored so far, once the results that are read from it are no longer needed; how many folders it was."""
+    context = spark.sparkContext
+    deleted = 0
+    while _WRITTEN:
+        path = context._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        deleted += path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return deleted
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -44,6 +44,16 @@ def chromosome(variants: DataFrame, chrom: str) -> DataFrame:
     return variants.filter(F.regexp_replace("chrom", "chr", "") == chrom.replace("chr", ""))
 
 
+def ordered(spark: SparkSession, path: str, first: int = 0, last: int | None = None) -> DataFrame:
+    """Rows that sinks.write_ordered wrote, with their ``place`` (from 0) in the order: those at places first to last. Only the ranges
+    that hold such places are opened; the index has a row for each range."""
+    index = spark.read.parquet(f"{path}/index").filter(F.col("first") + F.col("n") > first)
+    index = index if last is None else index.filter(F.col("first") <= last)
+    wanted = [r["range"] for r in index.collect()]
+    rows = spark.read.parquet(f"{path}/rows").filter(F.col("range").isin(wanted) & (F.col("place") >= first))
+    return (rows if last is None else rows.filter(F.col("place") <= last)).drop("range")
+
+
 def positions(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
     """Spot positions. Files differ in having a header; the columns' places are the same."""
     return spark.read.csv(path, schema=POSITION_SCHEMA, header=header)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lociq.functions import fields
 from lociq.operators import learning
+from lociq.operators.ordering import numbered
 from lociq.sources.readers import VCF_COLUMNS
 
 HEADER = "##fileformat=VCFv4.2"
@@ -39,6 +40,17 @@ def write_vcf(variants: DataFrame, path: str, header: list[str] | None = None) -
     variants.sparkSession.createDataFrame([(x,) for x in (*(header or [HEADER]), columns)], "line string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}_header")
 
 
+def write_ordered(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """Rows in one total order, by ``keys`` as they compare (text as text), over many files: a folder for each range of the order, and beside
+    it an index of the ranges with their first place and number of rows. No task holds more than a range; rows of equal keys keep an order
+    of their own. :func:`readers.ordered` reads it back."""
+    ranged = numbered(rows, keys).drop("among")
+    ranged = ranged.repartitionByRange("place").withColumn("range", F.spark_partition_id()).sortWithinPartitions("place")
+    ranged.write.mode("overwrite").partitionBy("range").parquet(f"{path}/rows")
+    written = rows.sparkSession.read.parquet(f"{path}/rows")
+    written.groupBy("range").agg(F.min("place").alias("first"), F.count("*").alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/index")
+
+
 def write_split(rows: DataFrame, path: str, by: str) -> None:
     """One folder for each value of ``by``: origin (panel or not), status (error or not), class, or barcode."""
     rows.write.mode("overwrite").partitionBy(by).parquet(path)
@@ -59,8 +71,8 @@ def with_race(found: DataFrame) -> DataFrame:
 
 
 def with_frequency(summary: DataFrame) -> DataFrame:
-    """Summary records: COUNT and FREQ (four decimals) appended to the info of the first barcode."""
-    info = fields.with_tag(F.col("info"), "COUNT", F.col("n_barcodes").cast("string"))
+    """Summary records: COUNT and FREQ (four decimals) appended to the info of the first barcode, or in place of a dot."""
+    info = fields.with_tag(F.nullif(F.col("info"), F.lit(".")), "COUNT", F.col("n_barcodes").cast("string"))
     return summary.withColumn("info", fields.with_tag(info, "FREQ", F.format_string("%.4f", "freq")))
 
 
