@@ -22,6 +22,7 @@ RATE = 4  # one piece (or stretch of a long one) in so many is in the sample
 BEST = 2_000  # phrases returned for each language
 _CHUNK_BYTES = 10 << 20  # text counted together in a task; a longer text is cut at pieces
 _PER_PHRASE, _MOST_BITS = 16, 1 << 29  # bits of a filter for each phrase, and at most (64 MB)
+_MOST_LANGS = 10_000  # languages whose totals are broadcast
 _BREAK = b"\xff"  # stands in no UTF-8 text
 _FOLD = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else 32 if b == 9 else b for b in range(256))
 _SPAN = re.compile(rb"[^\xff]{1,100}[^ \xff]*")  # a piece, or so much of a long one
@@ -142,21 +143,22 @@ def _phrases(lang: str, words: list[bytes], codes: np.ndarray, lengths: range, k
 
 
 def _counter(lengths: range, known: Filter | None, fresh: Filter | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts phrases in chunks of text; rows (lang, words, phrase, n). A row of 0 words has the number of words."""
+    """Counts phrases in chunks of text; rows (key, n) whose key is language, tab, phrase (words have no tab). That of an empty
+    phrase has the number of words."""
 
     def flush(held: dict[str, tuple[_Codes, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
         for lang, (known_words, parts) in held.items():
             words, codes = list(known_words), np.concatenate(parts)
             names = pa.array(words[1:], pa.binary()).cast(pa.string())
             names = pa.concat_arrays([pa.array([""]), names])
+            parts.clear()
+            head = pa.scalar(f"{lang}\t")
             if 1 in lengths:
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([int((codes > 0).sum())], pa.int64())], names=["lang", "words", "phrase", "n"])
-            for length, columns, often in _phrases(lang, words, codes, lengths, known, fresh):
+                yield pa.RecordBatch.from_arrays([pa.array([f"{lang}\t"]), pa.array([int((codes > 0).sum())], pa.int64())], names=["key", "n"])
+            for _, columns, often in _phrases(lang, words, codes, lengths, known, fresh):
                 for a in range(0, len(often), 100_000):
-                    own = [names.take(pa.array(c[a : a + 100_000])) for c in columns]
-                    phrase = own[0] if length == 1 else pc.binary_join_element_wise(*own, " ")
-                    n = len(phrase)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array(np.full(n, length, np.int32)), phrase, pa.array(often[a : a + 100_000].astype(np.int64))], names=["lang", "words", "phrase", "n"])
+                    phrase = pc.binary_join_element_wise(*[names.take(pa.array(c[a : a + 100_000])) for c in columns], " ")
+                    yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(head, phrase, ""), pa.array(often[a : a + 100_000].astype(np.int64))], names=["key", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[_Codes, list[np.ndarray]]] = {}
@@ -177,12 +179,14 @@ def _counter(lengths: range, known: Filter | None, fresh: Filter | None) -> Call
     return count
 
 
-_COUNTED = "lang string, words int, phrase string, n long"
-
-
 def _counted(texts: DataFrame, lengths: range, known: Filter | None = None, fresh: Filter | None = None) -> DataFrame:
-    rows = texts.select("lang", "text").mapInArrow(_counter(lengths, known, fresh), _COUNTED)
-    return rows.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+    """(lang, words, phrase, n) of what is counted in all ``texts``; 0 words: the number of words."""
+    rows = texts.select("lang", "text").mapInArrow(_counter(lengths, known, fresh), "key string, n long")
+    counts = rows.groupBy("key").agg(F.sum("n").alias("n"))  # one short column is sent, not three
+    phrase = F.substring_index("key", "\t", -1)
+    lang = F.left("key", F.length("key") - F.length(phrase) - 1)
+    words = F.when(phrase == "", 0).otherwise(F.regexp_count(phrase, F.lit(" ")) + 1)
+    return counts.select(lang.alias("lang"), words.alias("words"), phrase.alias("phrase"), "n")
 
 
 def _sample(texts: DataFrame, rate: int) -> DataFrame:
@@ -262,7 +266,9 @@ def mined(docs: DataFrame, least: int = LEAST, best: int = BEST, most_words: int
     """
     counts = frequent(docs, least, most_words, rate)
     candidates = counts.filter("words >= 2").select("lang", "words", F.col("phrase"), F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
-    total = counts.filter("words = 0").select("lang", F.col("n"))
+    total = counts.filter("words = 0").select("lang", "n")
+    if total.limit(_MOST_LANGS + 1).count() <= _MOST_LANGS:
+        total = F.broadcast(total)  # else joined
     part = lambda first, n: F.concat_ws(" ", F.slice("w", first, n))
     inside = candidates.filter("words > 2").select("lang", "a", F.explode(F.array(part(F.lit(1), F.col("words") - 1), part(F.lit(2), F.col("words") - 1))).alias("phrase"))
     over = inside.groupBy("lang", "phrase").agg(F.max("a").alias("above"))
