@@ -90,7 +90,7 @@ def line_fails(line: Column) -> Column:
     characters, or a tenth of them are exclamation or question marks), navigation (three or more of its words are lone separators, and
     more than one in five) or boilerplate (one of the listed phrases)."""
     chars = F.length(line) - _count(line, _SPACES)
-    bars = F.regexp_count(line, F.lit(rf"(?:^|[ \t])[{_BARS}](?=[ \t]|$)"))
+    bars = F.regexp_count(line, F.lit(rf"(?:^|[ \t])[{_BARS}](?=[ \t]|\z)"))
     navigation = _let(bars, lambda n: (n >= 3) & (5 * n > F.regexp_count(line, F.lit(WORD))))
     return (10 * _count(line, SYMBOLS) > chars) | (10 * _count(line, "!?") > chars) | navigation | _has_phrase(line)
 
@@ -98,7 +98,7 @@ def line_fails(line: Column) -> Column:
 def may_fail(text: Column) -> Column:
     """False only if no line of the text can fail: it has no symbol, no exclamation or question mark, no lone
     separator and no listed phrase."""
-    return text.rlike(rf"[{SYMBOLS}!?]|(?:^|[ \t\n])[{_BARS}](?:[ \t\n]|$)") | _has_phrase(text)
+    return text.rlike(rf"[{SYMBOLS}!?]|(?:^|[ \t\n])[{_BARS}](?:[ \t\n]|\z)") | _has_phrase(text)
 
 
 def scored(docs: DataFrame) -> DataFrame:
