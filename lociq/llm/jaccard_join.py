@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lociq.components import components
 from lociq.llm.common import Words, column_of, pieces, texts_of
+from lociq.operators.ordering import numbered
 from lociq.scratch import stored
 
 WORDS = 5
@@ -198,18 +199,18 @@ def _candidates(texts: DataFrame, similarity: float) -> DataFrame:
 def _work(slim: DataFrame, texts: DataFrame, clusters: DataFrame) -> DataFrame:
     """Rows (piece, node, block, text): each cluster dealt into blocks bounded by texts and by bytes, every two blocks
     a piece."""
-    placed = clusters.join(texts.select("node", "text_md5", "n_bytes"), "node").withColumn("long", F.col("n_bytes") > BLOCK_BYTES // 4)
+    placed = clusters.join(texts.select("node", "doc_id", "text_md5", "n_bytes"), "node").withColumn("long", F.col("n_bytes") > BLOCK_BYTES // 4)
     short = ~F.col("long")
     sizes = placed.groupBy("component").agg(F.count_if(short).alias("n"), F.coalesce(F.sum(F.when(short, F.col("n_bytes"))), F.lit(0)).alias("bytes"), F.count_if("long").alias("n_long"))
     sizes = sizes.withColumn("n_short", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("bytes") / BLOCK_BYTES)))
     own = placed.filter("long").select("node", F.row_number().over(Window.partitionBy("component").orderBy("node")).alias("own"))
     placed = placed.join(sizes.select("component", "n_short", (F.col("n_short") + F.col("n_long")).alias("blocks")), "component").join(own, "node", "left")
     placed = placed.withColumn("block", F.when(F.col("long"), F.col("n_short") + F.col("own") - 1).otherwise(F.expr("pmod(xxhash64(node), greatest(n_short, 1))")))
-    placed = placed.select(F.col("node").alias("doc_id"), "text_md5", "component", "block", "blocks")
+    placed = placed.select("doc_id", "text_md5", "node", "component", "block", "blocks")
     with_text = slim.withColumn("text_md5", F.unhex(F.md5("text"))).join(placed, ["doc_id", "text_md5"])
     once = with_text.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     piece = F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"))
-    return once.select(piece.alias("piece"), F.col("doc_id").alias("node"), "block", F.col("text").cast("binary").alias("text"))
+    return once.select(piece.alias("piece"), "node", "block", F.col("text").cast("binary").alias("text"))
 
 
 def _verified(members: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
@@ -254,17 +255,32 @@ def _verified(members: DataFrame, words: int, numerator: int, denominator: int)
     return members.repartition("piece").sortWithinPartitions("piece").mapInArrow(verify, "a long, b long, links long")
 
 
+def _with_nodes(texts: DataFrame) -> DataFrame:
+    """Adds ``node``, a number of its own for each text: its doc_id, the least of its copies; of texts that share that, the
+    first by text_md5 keeps it and the others are numbered from above all doc_ids."""
+    sharing = stored(texts.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("text_md5").alias("first")).filter("n > 1").select("doc_id", "first"), "shared-ids")
+    if not sharing.take(1):
+        return texts.withColumn("node", F.col("doc_id"))
+    others = texts.select("text_md5", "doc_id").join(sharing, "doc_id").filter("text_md5 <> first").select("doc_id", "text_md5")
+    # One row: the largest doc_id.
+    top = texts.agg(F.max("doc_id").alias("top"))
+    own = numbered(others, ["doc_id", "text_md5"]).join(F.broadcast(top)).select("text_md5", (F.col("top") + 1 + F.col("place")).alias("own"))
+    return stored(texts.join(own, "text_md5", "left").withColumn("node", F.coalesce("own", "doc_id")).drop("own"), "texts")
+
+
 def joined(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = (4, 5), with_md5: bool = False) -> DataFrame:
     """One row for each row of ``docs``: doc_id, text_id (the least doc_id with the very same text), class_id (the
-    least doc_id of all that links and copies connect) and n_links (different texts that share at least
+    same for all texts that links and copies connect: their least doc_id) and n_links (different texts that share at least
     ``similarity`` of their word shingles with this one).
 
     Shingles are runs of five words, as sets; a text of fewer words is one shingle. Null texts are empty; texts
     without words share one shingle. Copies are collapsed first, so however many there are they cost
-    one text. Rows without doc_id take no part: class_id and text_id are null, n_links is 0. Rows that share a doc_id but
-    not the text are linked under that doc_id. Extra columns are ignored; an empty table gives no rows.
+    one text. Rows without doc_id take no part: class_id and text_id are null, n_links is 0. Links are between texts:
+    rows that share a doc_id but not the text have classes and links of their own. A text whose doc_id is already that of another
+    (:func:`_with_nodes`) is known by a number above all doc_ids, so a class of such texts alone has that as class_id.
+    Extra columns are ignored; an empty table gives no rows.
 
-    ``with_md5`` adds text_md5 (binary; null without doc_id).
+    ``with_md5`` adds text_md5 (binary; null without doc_id) and is_first: the text by which its class is known, one in each.
 
     Candidates meet in one of 16 sorted tries of MinHash labels, by a prefix that is shortened from 6 labels to as few as
     3 until the recall expected of the pairs found reaches TARGET.
@@ -274,12 +290,13 @@ def joined(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = (4
     share = similarity[0] / similarity[1]
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     signed = stored(_signed(slim, words), "signatures")
-    texts = stored(signed.filter("doc_id IS NOT NULL").groupBy("text_md5").agg(F.min("doc_id").alias("node"), F.first("tries").alias("tries"), F.first("signature").alias("signature"), F.first("n_bytes").alias("n_bytes")), "texts")
+    texts = stored(signed.filter("doc_id IS NOT NULL").groupBy("text_md5").agg(F.min("doc_id").alias("doc_id"), F.first("tries").alias("tries"), F.first("signature").alias("signature"), F.first("n_bytes").alias("n_bytes")), "texts")
+    texts = _with_nodes(texts)
     clusters = stored(components(_candidates(texts, share)), "clusters")
     found = stored(_verified(_work(slim, texts, clusters), words, *similarity), "links")
     classes = components(found.filter("b IS NOT NULL").select("a", "b"))
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
-    known = texts.select("text_md5", "node").join(classes, "node", "left").join(counts, "node", "left")
-    known = known.select("text_md5", F.col("node").alias("text_id"), F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = texts.select("text_md5", "doc_id", "node").join(classes, "node", "left").join(counts, "node", "left")
+    known = known.select("text_md5", F.col("doc_id").alias("text_id"), F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.coalesce("component", "node") == F.col("node")).alias("is_first"))
     rows = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("text_md5")).alias("text_md5")).join(known, "text_md5", "left")
-    return rows.select("doc_id", "text_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), *["text_md5"] * with_md5)
+    return rows.select("doc_id", "text_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), *["text_md5", "is_first"] * with_md5)

@@ -113,6 +113,18 @@ def test_quality_rules_by_line(spark):
     assert got[1]["cleaned"] == good and got[3]["cleaned"] == good and got[0]["cleaned"] == good
 
 
+def test_carriage_returns_are_white_space_in_both_engines(spark):
+    import duckdb
+
+    prose = " ".join(f"word{i}" for i in range(25))
+    rows = [(i, f"{prose}\r\n{line}\r\n{prose} more") for i, line in enumerate(["a \u2022 b \u2022 c \u2022", "| | |", "a | b | c |x", "- a - b -", "a / b / c /\u2028", "a / b / c /\u0085", "x"])]
+    rows += [(20, "a \u2022 b \u2022 c \u2022\r"), (21, f"{prose}\r\r\n- - - \r"), (22, f"{prose}\n- - -"), (23, f"{prose}\n- - -\n")]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")  # noqa: F841
+    connection = duckdb.connect()
+    connection.register("documents", documents.toPandas())
+    assert rows_of(quality_rules.scored(documents).select(*quality_rules.COLUMNS).toPandas()) == rows_of(connection.execute(quality_rules.ORACLE).df())
+
+
 def test_quality_rules_keep_clean_documents(spark, sf_dir):
     labels = common.labels(spark, sf_dir).filter("quality = 1")
     rows = queries.op2_quality_rules(spark, sf_dir).join(labels, "doc_id").filter("n_words >= 20")
@@ -160,6 +172,15 @@ def test_mix_is_the_same_again_and_bears_odd_tables(spark, odd, clashing, nothin
 # 4
 
 
+def test_runs_are_even_for_strided_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN_ROWS", 1_000)
+    for doc_id in ("id * 6", "7", "CAST(NULL AS LONG)"):
+        rows = spark.range(6_000).select(F.expr(doc_id).cast("long").alias("doc_id"), F.lit("s").alias("source"), (F.col("id") % 50).alias("size"), F.md5(F.col("id").cast("string")).alias("tie"))
+        sizes = [r["count"] for r in rows.groupBy(mixing._run_of(rows, 6)).count().collect()]
+        assert len(sizes) == 6 and max(sizes) < 2_000
+        assert abs(mixing.mixed(rows).agg(F.sum(F.col("copies") * F.col("size"))).first()[0] / (1.5 * 6_000 * 24.5) - 1) < 0.02
+
+
 @pytest.fixture(scope="module")
 def encoder():
     return bpe_replay.Encoder(vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -506,6 +527,33 @@ def test_join_bears_odd_tables(spark, odd, clashing, nothing):
     assert jaccard_join.joined(clashing).count() == 10 and jaccard_join.joined(nothing).count() == 0
 
 
+def test_texts_that_share_a_doc_id_have_links_of_their_own(spark):
+    rng = random.Random(11)
+    make = lambda: [f"w{rng.randrange(900)}" for _ in range(60)]
+    near = lambda words, i: " ".join([*words[:-1], f"end{i}"])
+    bases = [make() for _ in range(12)]
+    rows = [(rng.choice([1, 2, 3, 3, 3, 50, None]), near(bases[rng.randrange(12)], rng.randrange(6))) for _ in range(120)]
+    rows += [(3, "a z"), (5, "a"), (5, "b"), (9, None), (9, "")]
+    texts = {t or "": k for k, t in rows if k is not None}
+    brute = brute_links({i: t for i, t in enumerate(texts)})  # by number of the text
+    numbers = {t: i for i, t in enumerate(texts)}
+    got = jaccard_join.joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), with_md5=True).collect()
+    assert len(got) == len(rows)
+    by_md5 = {hashlib.md5(t.encode()).digest(): i for t, i in numbers.items()}
+    classes, firsts = collections.defaultdict(set), collections.defaultdict(set)
+    for r in got:
+        if r["doc_id"] is None:
+            assert r["class_id"] is None and r["n_links"] == 0
+            continue
+        i = by_md5[bytes(r["text_md5"])]
+        assert r["n_links"] == brute[i][2] and r["text_id"] == min(k for k, t in rows if k is not None and numbers[t or ""] == i)
+        classes[r["class_id"]].add(brute[i][1])
+        if r["is_first"]:
+            firsts[r["class_id"]].add(i)
+    assert all(len(c) == 1 for c in classes.values()) and len(classes) == len({c for _, c, _ in brute.values()})
+    assert all(len(firsts[c]) == 1 for c in classes)
+
+
 def test_prefixes_are_shortened_to_the_recall():
     at = jaccard_join.prefix_length
     assert at({64: 10}, 0.8) == jaccard_join.DEPTH and at({}, 0.8) == at({52: 1000}, 0.8) == 3
@@ -642,7 +690,7 @@ def test_pipeline_equals_a_plain_version(spark):
     single = {k for k, (_, c, _) in brute_links(clean).items() if c == k}
     sources = {r["doc_id"]: r["source"] for r in docs}
     table = spark.createDataFrame([(k, clean[k], sources[k]) for k in single], "doc_id long, text string, source string")
-    sized = table.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    sized = table.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), F.md5("text").alias("tie"))
     copies = {r["doc_id"]: r["copies"] for r in mixing.mixed(sized).collect()}
     reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe_replay.Ranks(vocabulary("byte_bpe_50k.tiktoken")).ids, special_tokens={})
     expected = sorted((k, tuple(reference.encode_ordinary(clean[k]))) for k, n in copies.items() for _ in range(n))
@@ -657,6 +705,22 @@ def test_one_row_of_each_class_stays(spark):
     assert sorted(map(tuple, got)) == [(1, a), (5, b), (8, c)]
 
 
+def test_no_text_is_lost_for_a_shared_doc_id(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(3, base + " z"), (5, base), (5, "b")]
+    got = corpus_pipeline.deduplicate(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, got)) == [(3, base + " z"), (5, "b")]
+
+
+def test_stages_bear_odd_tables(spark, odd, clashing):
+    for docs in (odd, clashing):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, docs, "/root/testdata/sf0.001")
+            assert name == corpus_pipeline.STAGES[-1][0] or got.columns == docs.columns
+            assert got.count() >= (0 if name == "quality rules" else 1)
+            assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
 def test_stages_keep_the_columns(spark, odd):
     docs = odd.withColumn("n_chars", F.length("text"))
     for _, stage in corpus_pipeline.STAGES[:1]:
