@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociq.functions import fields
-from lociq.operators import callers, genotype, learning, left_align, matrix, panel, reads, reports, spatial, transitions
+from lociq.operators import callers, genotype, learning, left_align, matrix, panel, pileup, reads, reports, spatial, transitions
 from lociq.plans import views
 from lociq.scratch import new_path, stored
 from lociq.sources import readers, sinks
@@ -209,6 +209,27 @@ def left_aligned_variants(spark, sf_dir):
     return left_align.left_aligned(_indels(spark, sf_dir), left_align.tiles(_reference(spark, sf_dir)))
 
 
+_CIGARS = ("20M", "3S10M2I5M", "5M3D10M300N5M", "8M2D12M")
+
+
+def _alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A read of 20 bases for each line item."""
+    cigar = F.element_at(F.array(*map(F.lit, _CIGARS)), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    bases = F.substring(F.lit("ACGTTGCACCATGGAATTCCACGT"), (F.col("l_suppkey") % 4 + 1).cast("int"), F.lit(20))
+    return views.table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("read_id"), F.concat(F.lit("chr"), (F.col("l_partkey") % 22 + 1).cast("string")).alias("chrom"), (F.col("l_partkey") * 3).cast("int").alias("start0"), cigar.alias("cigar"),
+        bases.alias("bases"), F.repeat(F.char(33 + F.col("l_quantity").cast("int") % 41), F.lit(20)).alias("quals"), (F.col("l_orderkey") % 60).cast("int").alias("mapq"), (F.col("l_returnflag") == "R").alias("reverse"), (F.col("l_suppkey") % 7 == 0).alias("unmapped"),
+    )
+
+
+@_query("""SELECT chrom, pos, base, reverse, count(*) AS n, sum(q)::BIGINT AS sum_q, sum(q * q)::BIGINT AS sum2_q, sum(mapq)::BIGINT AS sum_mapq, sum(mapq * mapq)::BIGINT AS sum2_mapq, sum(tail)::BIGINT AS sum_tail, sum(tail * tail)::BIGINT AS sum2_tail FROM (
+    SELECT 'chr' || (l_partkey % 22 + 1) AS chrom, (l_partkey * 3 + 1 + ref + i)::INTEGER AS pos, substr('ACGTTGCACCATGGAATTCCACGT', (l_suppkey % 4 + 1 + read + i)::INTEGER, 1) AS base, l_returnflag = 'R' AS reverse, l_quantity::INTEGER % 41 AS q, l_orderkey % 60 AS mapq, least(read + i, 19 - read - i) AS tail
+    FROM lineitem JOIN (VALUES (0, 0, 0, 20), (1, 0, 3, 10), (1, 10, 15, 5), (2, 0, 0, 5), (2, 8, 5, 10), (2, 318, 15, 5), (3, 0, 0, 8), (3, 10, 8, 12)) b(kind, ref, read, len) ON kind = l_linenumber % 4, (SELECT unnest(range(20)) AS i)
+    WHERE i < len AND l_suppkey % 7 <> 0 AND l_orderkey % 60 >= 20 AND l_quantity::INTEGER % 41 >= 13) GROUP BY ALL""")
+def pileup_columns(spark, sf_dir):
+    return pileup.columns(_alignments(spark, sf_dir), min_mapq=20, min_baseq=13)
+
+
 _CALLERS = ["alt", "long", "panel"]
 
 
