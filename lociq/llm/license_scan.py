@@ -49,6 +49,34 @@ TEMPLATES = {
     "the above copyright notice and this permission notice <<optional>>including the next paragraph<<end>> shall be included in all copies or substantial portions of the software "
     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
     "in no event shall <<any:1-6>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "boost-text": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software "
+    "to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following "
+    "the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software "
+    "unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor "
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose title and non infringement "
+    "in no event shall the copyright holders or anyone distributing the software be liable for any damages or other liability whether in contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "unlicense-text": "this is free and unencumbered software released into the public domain "
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means "
+    "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain "
+    "we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors "
+    "we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law "
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+    "in no event shall the authors be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "zlib-text": "this software is provided as is without any express or implied warranty in no event will the <<any:1-6>> be held liable for any damages arising from the use of this software "
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+    "<<optional>>1<<end>> the origin of this software must not be misrepresented you must not claim that you wrote the original software "
+    "if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required "
+    "<<optional>>2<<end>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software "
+    "<<optional>>3<<end>> this notice may not be removed or altered from any source distribution",
+    # Whole notices of licenses that are too long to stand in a file.
+    "apache-header": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <<any:1-12>> "
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+    "see the license for the specific language governing permissions and limitations under the license",
+    "gpl-header": "is free software you can redistribute it and or modify it under the terms of the gnu <<optional>>lesser<<end>> <<optional>>affero<<end>> general public license as published by the free software foundation "
+    "either version <<any:1-2>> of the license or <<optional>>at your option<<end>> any later version <<any:1-4>> is distributed in the hope that it will be useful but without any warranty "
+    "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu <<optional>>lesser<<end>> <<optional>>affero<<end>> general public license for more details "
+    "you should have received a copy of the gnu <<optional>>lesser<<end>> <<optional>>affero<<end>> general public license along with <<any:1-4>> if not",
+    "mpl-header": "source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
 }
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -58,6 +86,19 @@ _ANY = b"*"
 _MARKUP = re.compile(r"<<optional>>|<<end>>|<<any:(\d+)-(\d+)>>|[^<\s]+")
 
 
+def mandatory(template: str) -> int:
+    """Words that a match has at least: those outside optional parts."""
+    depth = n = 0
+    for token in _MARKUP.finditer(template):
+        if token[0] == "<<optional>>":
+            depth += 1
+        elif token[0] == "<<end>>":
+            depth -= 1
+        elif depth == 0:
+            n += int(token[1]) if token[1] else 1
+    return n
+
+
 @dataclass
 class Automaton:
     """States 0 (start) to n; ``steps[s]`` maps a word, or _ANY, to the next states. No silent steps are left."""
@@ -144,6 +185,7 @@ class Scanner:
     def __init__(self, base: dict[str, str], templates: dict[str, str]) -> None:
         self.base = [(tuple(phrase.encode().split()), label) for phrase, label in base.items()]
         self.automata = [compile_template(label, text) for label, text in templates.items()]
+        self.weights = {label: mandatory(text) for label, text in templates.items()}
         starts = {p[0] for p, _ in self.base} | {w for a in self.automata for w in a.first}
         #: Only texts with one of these words need the automata.
         self.starts = re.compile(rb"(?<![^ ])(?:" + b"|".join(map(re.escape, sorted(starts))) + rb")(?![^ ])")
@@ -167,13 +209,19 @@ class Scanner:
                         found.add(automaton.label)
         labels = base | found
         ends = (places[0], places[-1]) if places else (None, None)
-        return len(words), n_base, *ends, ",".join(sorted(base)), ",".join(sorted(labels)), len(labels) / (len(labels) + 1)
+        return len(words), n_base, *ends, ",".join(sorted(base)), ",".join(sorted(labels)), self.share(base, found, len(words))
+
+    def share(self, base: set[str], found: set[str], n_words: int) -> float:
+        """Words of the phrases and the mandatory wording found, each once, of all words; at most 1."""
+        wording = sum(len(p) for p, label in self.base if label in base) + sum(self.weights[label] for label in found)
+        return min(1.0, wording / n_words) if n_words else 0.0
 
 
 def scanned(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base (places of base phrases), first_word and last_word (the first and last such place;
     null if there is none), base_labels, labels (with the templates'; both distinct, sorted, joined by commas)
-    and score (n / (n + 1) for n labels).
+    and score: how much of the text is license wording, the words of the base phrases and the mandatory words of the templates
+    found, each counted once, over all words, 1 at most.
 
     Null texts are empty: no words, no labels. One row for each row of ``docs``; extra columns are ignored.
     """
@@ -205,6 +253,8 @@ def _as_regex(template: str) -> str:
 
 
 def oracle_sql() -> str:
+    weights = [(label, mandatory(t)) for label, t in TEMPLATES.items()]
+    wording = " + ".join(f"CASE WHEN list_contains({side}, '{label}') THEN {n} ELSE 0 END" for side, label, n in (*[("b", label, len(p.split())) for p, label in BASE.items()], *[("f", label, n) for label, n in weights]))
     found = [f"CASE WHEN regexp_matches(t, '{_as_regex(template)}') THEN '{label}' END" for label, template in TEMPLATES.items()]
     places = " UNION ALL ".join(
         f"SELECT r, i - 1 AS pos, '{label}' AS label FROM words WHERE list_slice(w, i, i + {len(phrase.split()) - 1}) = {phrase.split()!r}" for phrase, label in BASE.items()
@@ -218,5 +268,5 @@ base AS (SELECT r, count(*)::BIGINT AS n_base, min(pos)::BIGINT AS first_word, m
 joined AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(b, []) AS b,
     list_filter([{", ".join(found)}], lambda x: x IS NOT NULL) AS f FROM texts LEFT JOIN base USING (r)),
 labelled AS (SELECT *, list_sort(list_distinct(list_concat(b, f))) AS l FROM joined)
-SELECT doc_id, n_words, n_base, first_word, last_word, array_to_string(b, ',') AS base_labels, array_to_string(l, ',') AS labels, len(l)::DOUBLE / (len(l) + 1) AS score FROM labelled
+SELECT doc_id, n_words, n_base, first_word, last_word, array_to_string(b, ',') AS base_labels, array_to_string(l, ',') AS labels, CASE WHEN n_words > 0 THEN least(1.0::DOUBLE, ({wording})::DOUBLE / n_words) ELSE 0.0::DOUBLE END AS score FROM labelled
 """

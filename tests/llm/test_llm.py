@@ -613,7 +613,7 @@ def test_templates():
 
 def test_whole_licenses():
     scanner = license_scan.Scanner(license_scan.BASE, license_scan.TEMPLATES)
-    for label in ("bsd-text", "isc-text", "mit-text"):
+    for label in ("bsd-text", "isc-text", "mit-text", "boost-text", "unlicense-text", "zlib-text", "apache-header", "gpl-header", "mpl-header"):
         template = license_scan.TEMPLATES[label]
         full = re.sub(r"<<any:\d+-\d+>>", "Some, Body", re.sub(r"<<(optional|end)>>", " ", template))
         least = template
@@ -627,6 +627,16 @@ def test_whole_licenses():
             assert label not in scanner.scan(" ".join(words[:-1]).encode())[5].split(",")
 
 
+def test_score_is_the_share_of_license_wording():
+    scanner = license_scan.Scanner(license_scan.BASE, license_scan.TEMPLATES)
+    zlib_text = re.sub(r"<<any:\d+-\d+>>", "authors", re.sub(r"<<(optional|end)>>", " ", license_scan.TEMPLATES["zlib-text"]))
+    score = lambda t: scanner.scan(t.encode())[6]
+    whole, half = score(zlib_text), score(zlib_text + " word" * len(zlib_text.split()))
+    assert 0.9 < whole <= 1 and abs(half - whole / 2) < 0.01
+    assert score(zlib_text.replace("misrepresented", "presented")) == 0 == score("")
+    assert score("cc by") == 1 and score("cc by and ten other words that are not of any license") == 2 / 12
+
+
 def test_license_scan_of_odd_tables_with_phrases(spark):
     notice = "released under the MIT License"
     rows = [(1, None), (1, ""), (2, "CC BY"), (2, "CC BY"), (3, "cc\n\n by, cc-by; CC"), (4, notice + " x" * 300_000 + " all rights reserved"), (None, "General Public License"), (5, "cc bye accby"), (6, "cc\u00a0by")]
