@@ -18,7 +18,7 @@ from lociq.scratch import stored
 
 MOST_WORDS = 5
 LEAST = 100  # occurrences of a candidate
-RATE = 4  # one piece (or stretch of a long one) in so many is in the sample
+RATE = 8  # one piece (or stretch of a long one) in so many is in the sample
 BEST = 2_000  # phrases returned for each language
 _CHUNK_BYTES = 10 << 20  # text counted together in a task; a longer text is cut at pieces
 _PER_PHRASE, _MOST_BITS = 16, 1 << 29  # bits of a filter for each phrase, and at most (64 MB)
@@ -206,11 +206,11 @@ def _sample(texts: DataFrame, rate: int) -> DataFrame:
 
 
 def proposed(texts: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, rate: int = RATE) -> tuple[DataFrame, int]:
-    """(lang, words, phrase), and how many: what is frequent in a sample of one piece in ``rate``, at a threshold one and a half standard deviations below
+    """(lang, words, phrase), and how many: what is frequent in a sample of one piece in ``rate``, at a threshold one standard deviation below
     the expected one: in a large corpus some frequent phrase is always missed, and those few cost the second pass little, while every
     phrase proposed for nothing has a border in the first. Level by level: a phrase is counted if what it begins and ends with is proposed."""
     share = least / rate
-    threshold = max(1, int(share - 1.5 * share**0.5))
+    threshold = max(1, int(share - share**0.5))
     sample = stored(_sample(texts, rate), "phrase-sample")
     found: DataFrame | None = None
     size = 0
