@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from lociq.llm.common import pieces
 
 _CHUNK_BYTES = 12 << 20  # text whose words are merged together
+_SPAN_IDS = 1 << 18  # ids of a chunk's texts that are laid out at a time
 _NONE = 1 << 30
 
 
@@ -182,24 +183,42 @@ class Encoded:
     """Ids of texts by way of their words: the words' ids, and each text's words as codes."""
 
     def __init__(self, ranks: Ranks, matches: list[str], match_ends: np.ndarray, codes: np.ndarray, ends: np.ndarray) -> None:
-        """matches: those of all distinct words, which end at match_ends; codes: words of all texts, which end at ends."""
+        """matches: those of all distinct words, which end at match_ends (the list is emptied); codes: words of all texts, which end at ends."""
         self.ranks, self.codes, self.ends = ranks, pa.array(codes), ends
         coded = pa.array(matches, pa.string()).dictionary_encode()
-        ids, upto = replay([m.encode() for m in coded.dictionary.to_pylist()], ranks)
+        matches.clear()
+        ids, upto = replay(coded.dictionary.cast(pa.binary()).to_pylist(), ranks)
         self.ids, upto = _gathered(ids, upto, coded.indices.to_numpy())
         self.upto = _offsets(upto)[match_ends]
         self.text_ends = _offsets(np.cumsum(np.diff(_offsets(self.upto))[codes]))[ends]
 
-    def flat(self) -> np.ndarray:
-        """The ids of all texts."""
-        return _gathered(self.ids, self.upto, self.codes.to_numpy())[0]
-
-    def digests(self) -> tuple[list[str], list[str]]:
-        """sha256 of each text's ids in decimal and of the bytes that they stand for."""
-        out = []
-        for values, cut in ((self.ranks.decimals, 1), (self.ranks.names, 0)):
-            joined = _together(values, self.ids, self.upto).take(self.codes)
-            bounds = np.frombuffer(joined.buffers()[1], np.int32, len(joined) + 1)[_offsets(self.ends)].tolist()
+    def spans(self) -> Iterator[tuple[int, int]]:
+        """Ranges of texts of about _SPAN_IDS ids each (a longer text stands alone)."""
+        bounds, start = _offsets(self.text_ends), 0
+        while start < len(self.ends):
+            stop = max(start + 1, int(np.searchsorted(bounds, bounds[start] + _SPAN_IDS, side="right")) - 1)
+            yield start, min(stop, len(self.ends))
+            start = stop
+
+    def _codes(self, start: int, stop: int | None) -> pa.Array:
+        bounds = _offsets(self.ends)[start : None if stop is None else stop + 1]
+        return self.codes.slice(int(bounds[0]), int(bounds[-1] - bounds[0]))
+
+    def flat(self, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """The ids of all texts, or of a range of them."""
+        return _gathered(self.ids, self.upto, self._codes(start, stop).to_numpy())[0]
+
+    def joined(self) -> tuple[pa.Array, pa.Array]:
+        """Of each word its ids in decimal, and the bytes that they stand for."""
+        return _together(self.ranks.decimals, self.ids, self.upto), _together(self.ranks.names, self.ids, self.upto)
+
+    def digests(self, words: tuple[pa.Array, pa.Array], start: int = 0, stop: int | None = None) -> tuple[list[str], list[str]]:
+        """sha256 of each text's ids in decimal and of the bytes that they stand for; ``words`` is what :meth:`joined` gives."""
+        out, codes = [], self._codes(start, stop)
+        ends = _offsets(self.ends)[start : None if stop is None else stop + 1]
+        for values, cut in zip(words, (1, 0), strict=True):
+            joined = values.take(codes)
+            bounds = np.frombuffer(joined.buffers()[1], np.int32, len(joined) + 1)[ends - ends[0]].tolist()
             whole = memoryview(joined.buffers()[2] or b"")
             out.append([hashlib.sha256(whole[a : max(a, b - cut)]).hexdigest() for a, b in zip(bounds, bounds[1:], strict=False)])
         return out[0], out[1]
@@ -220,6 +239,7 @@ class Encoder:
         coded = split.flatten().dictionary_encode()
         ends = np.cumsum(pc.list_value_length(split).to_numpy(), dtype=np.int64)
         words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
+        del split, coded
         first = ends - np.diff(_offsets(ends))  # a text's first word has no space before it
         which, new = np.unique(codes[first], return_inverse=True)
         codes[first] = len(words) + new
@@ -229,7 +249,9 @@ class Encoder:
         match_ends = np.searchsorted(np.cumsum(np.fromiter(map(len, matches), np.int64, len(matches))), lengths) + 1
         heads = [self.match(words[i]) for i in which.tolist()]
         match_ends = np.concatenate([match_ends, len(matches) + np.cumsum([len(h) for h in heads], dtype=np.int64)])
-        return Encoded(self.ranks, matches + [m for h in heads for m in h], match_ends, codes, ends)
+        matches += [m for h in heads for m in h]
+        del words, heads
+        return Encoded(self.ranks, matches, match_ends, codes, ends)
 
     def _of_matches(self, texts: list[str]) -> Encoded:
         split = [self.match(t) for t in texts]
@@ -238,11 +260,11 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> list[tuple[np.ndarray, Encoded]]:
         """Places of texts and their ids; every text is in one of the parts."""
-        plain = np.array([self.spaced and not self.wide(t) for t in texts.to_pylist()], bool)
+        plain = np.fromiter((self.spaced and not self.wide(t.as_py()) for t in texts), bool, len(texts))
         parts = []
         for some, encode in ((np.flatnonzero(plain), self._of), (np.flatnonzero(~plain), lambda t: self._of_matches(t.to_pylist()))):
             if len(some):
-                parts.append((some, encode(texts.take(pa.array(some)))))
+                parts.append((some, encode(texts if len(some) == len(texts) else texts.take(pa.array(some)))))
         return parts
 
 
@@ -257,9 +279,10 @@ def encoder(data: bytes, pattern: str, spaced: bool) -> Encoder:
     return _encoders[key]
 
 
-def encoded(docs: DataFrame, vocabulary: bytes, pattern: str, with_ids: bool = True, spaced: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, vocabulary: bytes, pattern: str, with_ids: bool = True, spaced: bool = True, chunk_bytes: int = _CHUNK_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one space) and decoded_sha256 (of the bytes
-    that the ids give back), and with_ids the ids themselves. For ``spaced`` see :class:`Encoder`.
+    that the ids give back), and with_ids the ids themselves. For ``spaced`` see :class:`Encoder`; words of ``chunk_bytes`` of
+    text are merged together: more takes less time and more memory.
 
     Null texts are empty: no ids. Every row of ``docs`` gives one row, repeated ids and texts too; extra
     columns are ignored; an empty table gives no rows. Texts are encoded whole, whatever their length.
@@ -267,17 +290,25 @@ def encoded(docs: DataFrame, vocabulary: bytes, pattern: str, with_ids: bool = T
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
+    def rows(keys: pa.Array, part: Encoded) -> Iterator[pa.RecordBatch]:
+        words = part.joined()
+        for a, b in part.spans():
+            in_ids, in_bytes = part.digests(words, a, b)
+            bounds = _offsets(part.text_ends)[a : b + 1]
+            columns = [keys.slice(a, b - a), pa.array(np.diff(bounds)), pa.array(in_ids), pa.array(in_bytes)]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array((bounds - bounds[0]).astype(np.int32)), pa.array(part.flat(a, b))))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value, pattern, spaced)
         for batch in batches:
             texts = pc.fill_null(batch.column(1), "")
             sizes = pc.binary_length(texts).to_pylist()
-            for a, b in pieces(batch, sizes, _CHUNK_BYTES):
+            for a, b in pieces(batch, sizes, chunk_bytes):
                 for some, part in own.encode(texts.slice(a, b - a)):
-                    in_ids, in_bytes = part.digests()
-                    columns = [batch.column(0).slice(a, b - a).take(pa.array(some)), pa.array(np.diff(_offsets(part.text_ends))), pa.array(in_ids), pa.array(in_bytes)]
-                    if with_ids:
-                        columns.append(pa.ListArray.from_arrays(pa.array(_offsets(part.text_ends).astype(np.int32)), pa.array(part.flat())))
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+                    yield from rows(batch.column(0).slice(a, b - a).take(pa.array(some)), part)
+                    del part
+                pa.default_memory_pool().release_unused()  # a worker keeps what one chunk took, beside the JVM's heap
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(encode, schema)

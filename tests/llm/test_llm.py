@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -225,6 +226,26 @@ def test_replay_equals_the_library(encoder, reference):
     assert ids_of(bpe_replay.Encoder(vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, spaced=False), texts) == expected
 
 
+def test_texts_are_laid_out_a_span_at_a_time(encoder, reference, monkeypatch):
+    """What a chunk's ids take beside its words does not grow with the chunk."""
+    monkeypatch.setattr(bpe_replay, "_SPAN_IDS", 2_000)
+    texts = ["", "long " * 5_000, "", *(f"text {i} of the same few words" for i in range(20_000)), "", "x"]
+    ((_, part),) = encoder.encode(pa.array(texts, pa.string()))
+    words, seen = part.joined(), 0
+    tracemalloc.start()
+    for a, b in part.spans():
+        assert a == seen and (b == a + 1 or int(part.text_ends[b - 1] - (part.text_ends[a - 1] if a else 0)) <= 2_000)
+        ids, (in_ids, in_bytes), seen = part.flat(a, b), part.digests(words, a, b), b
+        if a < 3_000 or b == len(texts):
+            wanted = [reference.encode_ordinary(t) for t in texts[a:b]]
+            assert ids.tolist() == [i for x in wanted for i in x]
+            assert in_ids == [hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in wanted]
+            assert in_bytes == [hashlib.sha256(t.encode()).hexdigest() for t in texts[a:b]]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == len(texts) and peak < 8 * part.text_ends[-1]  # a span's own few arrays, of 160,000 ids in all
+
+
 def test_bpe_query_and_odd_tables(spark, sf_dir, reference, odd, clashing, nothing, odd_texts):
     def digest(x):
         return hashlib.sha256(x).hexdigest()
