@@ -20,8 +20,10 @@ MOST_WORDS = 5
 LEAST = 100  # occurrences of a candidate
 RATE = 8  # one piece (or stretch of a long one) in so many is in the sample
 BEST = 2_000  # phrases returned for each language
-_CHUNK_BYTES = 10 << 20  # text counted together in a task; a longer text is cut at pieces
+_CHUNK_BYTES = 6 << 20  # text counted together in a task; a longer text is cut at pieces
 _PER_PHRASE, _MOST_BITS = 16, 1 << 29  # bits of a filter for each phrase, and at most (64 MB)
+_BYTES_PER_BUCKET = 16  # of text; there are at most _MOST_BITS buckets
+_PIECE = 1 << 16  # buckets that are summed up together
 _MOST_LANGS = 10_000  # languages whose totals are broadcast
 _BREAK = b"\xff"  # stands in no UTF-8 text
 _FOLD = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else 32 if b == 9 else b for b in range(256))
@@ -72,6 +74,63 @@ class Filter:
         return out
 
 
+class Buckets:
+    """Occurrences of phrases summed by hash (Park, Chen and Yu): a phrase that stands ``least`` times is in a bucket with as many.
+    A bitmap has these buckets; phrases in others need no count of their own."""
+
+    def __init__(self, text_bytes: int, least: int) -> None:
+        self.log, self.least = 16, least
+        while 1 << self.log < min(_MOST_BITS, text_bytes // _BYTES_PER_BUCKET):
+            self.log += 1
+        self.bytes = np.zeros((1 << self.log) // 8, np.uint8)
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.log)).astype(np.int64)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = self.places(hashes)
+        return ((self.bytes[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+    def tally(self, hashes: np.ndarray, often: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows (piece, at, n): of each piece, the places in it (two bytes each) and their occurrences (four), ``least`` at most."""
+        if not len(hashes):
+            return
+        places = self.places(hashes)
+        order = np.argsort(places)
+        places = places[order]
+        first = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
+        often, places = np.minimum(np.add.reduceat(often[order], first), min(self.least, (1 << 32) - 1)), places[first]
+        pieces = places // _PIECE
+        cuts = np.flatnonzero(np.append(True, pieces[1:] != pieces[:-1]))
+        ends = np.append(cuts, len(pieces)).astype(np.int32)
+        columns = [pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(ends * values.itemsize), pa.py_buffer(values)]) for values in ((places % _PIECE).astype("<u2"), often.astype("<u4"))]
+        yield pa.RecordBatch.from_arrays([pa.array(pieces[cuts], pa.int32()), *columns], names=["piece", "at", "n"])
+
+    def filled(self, texts: DataFrame, lengths: range, known: Filter) -> Buckets:
+        """Sums of all ``texts``. What tasks send is about two bytes for each phrase of a chunk; each piece of the bitmap (8 kB) is one row."""
+        least = self.least
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            piece, sums = -1, np.zeros(_PIECE, np.int64)
+
+            def done() -> Iterator[pa.RecordBatch]:
+                if (enough := sums >= least).any():
+                    yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "map": pa.array([np.packbits(enough, bitorder="little").tobytes()], pa.binary())})
+
+            for batch in batches:
+                for own, at, n in zip(*(batch.column(i) for i in range(3)), strict=True):
+                    if own.as_py() != piece:
+                        yield from done()
+                        piece, sums[:] = own.as_py(), 0
+                    sums[np.frombuffer(at.as_py(), "<u2")] += np.frombuffer(n.as_py(), "<u4")
+            yield from done()
+
+        rows = texts.select("lang", "text").mapInArrow(_counter(lengths, known, None, self, True), "piece int, at binary, n binary")
+        for row in rows.repartition("piece").sortWithinPartitions("piece").mapInArrow(merge, "piece int, map binary").collect():
+            self.bytes[row["piece"] * _PIECE // 8 : (row["piece"] + 1) * _PIECE // 8] = np.frombuffer(row["map"], np.uint8)
+        return self
+
+
 class _Codes(dict):
     """Numbers words as they come; 0 is the break between pieces."""
 
@@ -111,8 +170,8 @@ def _cut(text: bytes, most: int) -> Iterator[bytes]:
     yield text[at:]
 
 
-def _phrases(lang: str, words: list[bytes], codes: np.ndarray, lengths: range, known: Filter | None, fresh: Filter | None) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
-    """(length, codes of the first, second, ... word, occurrences) of the distinct phrases to count in ``codes``, which has 0
+def _phrases(lang: str, words: list[bytes], codes: np.ndarray, lengths: range, known: Filter | None, fresh: Filter | None) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """(length, hashes, codes of the first, second, ... word, occurrences) of the distinct phrases to count in ``codes``, which has 0
     where pieces end. Of more than one word are counted those whose words but the last, and but the first, are ``known``; with
     ``fresh`` only where one of the two is in that, or is counted itself, which then makes it known."""
     hashes = _word_hashes(lang, words)
@@ -139,12 +198,12 @@ def _phrases(lang: str, words: list[bytes], codes: np.ndarray, lengths: range, k
         if length in lengths:
             pick = np.arange(1, len(often)) if length == 1 else np.arange(len(often)) if wanted is None else np.flatnonzero(wanted)
             if len(pick):
-                yield length, [c[pick] for c in columns], often[pick]
+                yield length, firsts[pick], [c[pick] for c in columns], often[pick]
 
 
-def _counter(lengths: range, known: Filter | None, fresh: Filter | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _counter(lengths: range, known: Filter | None, fresh: Filter | None, buckets: Buckets | None = None, tally: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts phrases in chunks of text; rows (key, n) whose key is language, tab, phrase (words have no tab). That of an empty
-    phrase has the number of words."""
+    phrase has the number of words. With ``buckets`` only phrases in these; to ``tally`` gives all phrases' sums by bucket instead."""
 
     def flush(held: dict[str, tuple[_Codes, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
         for lang, (known_words, parts) in held.items():
@@ -155,33 +214,44 @@ def _counter(lengths: range, known: Filter | None, fresh: Filter | None) -> Call
             head = pa.scalar(f"{lang}\t")
             if 1 in lengths:
                 yield pa.RecordBatch.from_arrays([pa.array([f"{lang}\t"]), pa.array([int((codes > 0).sum())], pa.int64())], names=["key", "n"])
-            for _, columns, often in _phrases(lang, words, codes, lengths, known, fresh):
+            for _, hashes, columns, often in _phrases(lang, words, codes, lengths, known, fresh):
+                if buckets is not None:
+                    pick = np.flatnonzero(buckets.has(hashes))
+                    columns, often = [c[pick] for c in columns], often[pick]
                 for a in range(0, len(often), 100_000):
                     phrase = pc.binary_join_element_wise(*[names.take(pa.array(c[a : a + 100_000])) for c in columns], " ")
                     yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(head, phrase, ""), pa.array(often[a : a + 100_000].astype(np.int64))], names=["key", "n"])
 
+    def tallies(held: dict[str, tuple[_Codes, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        found = [(hashes, often) for lang, (words, parts) in held.items() for _, hashes, _, often in _phrases(lang, list(words), np.concatenate(parts), lengths, known, fresh)]
+        if found:
+            yield from buckets.tally(*map(np.concatenate, zip(*found, strict=True)))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        send = tallies if tally else flush
         held: dict[str, tuple[_Codes, list[np.ndarray]]] = {}
         size = 0
         for batch in batches:
-            for lang, text in zip(column_of(batch, "lang"), texts_of(batch), strict=True):
-                for part in _cut(text.translate(_FOLD), _CHUNK_BYTES):
+            texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary())
+            for lang, text in zip(column_of(batch, "lang"), texts, strict=True):
+                for part in _cut((text.as_py() or b"").translate(_FOLD), _CHUNK_BYTES):
                     if lang not in held:
                         held[lang] = (_Codes(), [])
                     words, parts = held[lang]
                     parts.append(words.of((part + _BREAK).replace(_BREAK, b" \xff ").split()))
                     size += len(part)
                     if size >= _CHUNK_BYTES:
-                        yield from flush(held)
+                        yield from send(held)
                         held, size = {}, 0
-        yield from flush(held)
+                        pa.default_memory_pool().release_unused()
+        yield from send(held)
 
     return count
 
 
-def _counted(texts: DataFrame, lengths: range, known: Filter | None = None, fresh: Filter | None = None) -> DataFrame:
+def _counted(texts: DataFrame, lengths: range, known: Filter | None = None, fresh: Filter | None = None, buckets: Buckets | None = None) -> DataFrame:
     """(lang, words, phrase, n) of what is counted in all ``texts``; 0 words: the number of words."""
-    rows = texts.select("lang", "text").mapInArrow(_counter(lengths, known, fresh), "key string, n long")
+    rows = texts.select("lang", "text").mapInArrow(_counter(lengths, known, fresh, buckets), "key string, n long")
     counts = rows.groupBy("key").agg(F.sum("n").alias("n"))  # one short column is sent, not three
     phrase = F.substring_index("key", "\t", -1)
     lang = F.left("key", F.length("key") - F.length(phrase) - 1)
@@ -205,8 +275,8 @@ def _sample(texts: DataFrame, rate: int) -> DataFrame:
     return texts.mapInArrow(choose, "lang string, text string")
 
 
-def proposed(texts: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, rate: int = RATE) -> tuple[DataFrame, int]:
-    """(lang, words, phrase), and how many: what is frequent in a sample of one piece in ``rate``, at a threshold one standard deviation below
+def proposed(texts: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, rate: int = RATE) -> tuple[DataFrame, int, int]:
+    """(lang, words, phrase), how many, and about how many bytes all texts have: what is frequent in a sample of one piece in ``rate``, at a threshold one standard deviation below
     the expected one: in a large corpus some frequent phrase is always missed, and those few cost the second pass little, while every
     phrase proposed for nothing has a border in the first. Level by level: a phrase is counted if what it begins and ends with is proposed."""
     share = least / rate
@@ -221,23 +291,27 @@ def proposed(texts: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS,
         if not n:
             break
         size += n
-    return found, size
+    sampled = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return found, size, rate * sampled
 
 
 def frequent(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, rate: int = RATE) -> DataFrame:
     """(lang, words, phrase, n) of every phrase of up to ``most_words`` words with at least ``least`` occurrences, exactly, and a
     row of 0 words with each language's number of words. Does not depend on what the sample proposes.
 
-    One pass over all texts counts every word, and every longer phrase whose beginning and end (without its last, its first
-    word) are proposed: those are the proposed phrases and their negative border, the least phrases that were not proposed.
+    One pass over all texts takes every word, and every longer phrase whose beginning and end (without its last, its first
+    word) are proposed: those are the proposed phrases and their negative border, the least phrases that were not proposed. It
+    only sums them by hash, as most of the border is rare; the next pass counts those in buckets with ``least`` occurrences.
     If one of the border is frequent, what begins or ends with it is still uncounted: another pass counts that, and what begins or ends
     with what it counts, up to ``most_words``. The beginning and the end of a frequent phrase are frequent, so that closes it: a frequent
     phrase that the first pass did not count has a failed one within it, and all between the two are counted in the second.
     """
     texts = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    known, size = proposed(texts, least, most_words, rate)
+    known, size, text_bytes = proposed(texts, least, most_words, rate)
     enough = (F.col("words") == 0) | (F.col("n") >= least)
-    counts = stored(_counted(texts, range(1, most_words + 1), Filter.of(known, size)).filter(enough), "phrase-counts")
+    lengths, begun = range(1, most_words + 1), Filter.of(known, size)
+    often = Buckets(text_bytes, least).filled(texts, lengths, begun)
+    counts = stored(_counted(texts, lengths, begun, buckets=often).filter(enough), "phrase-counts")
     failed = stored(counts.filter(F.col("words").between(1, most_words - 1)).select("lang", "words", "phrase").join(known, ["lang", "words", "phrase"], "left_anti"), "phrase-border")
     n = failed.count()
     if not n:

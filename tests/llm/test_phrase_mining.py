@@ -73,6 +73,20 @@ def test_filter_has_its_phrases(spark):
     assert sum(has("de", p) for _, p in phrases) < 150
 
 
+def test_rare_phrases_of_the_border_are_summed_by_hash_only(spark):
+    """Their words are frequent, so all pairs are in the border: what is counted by itself, and sent as text, is the frequent ones."""
+    rng = random.Random(5)
+    text = " ".join(f"w{rng.randrange(300)}" for _ in range(15_000)) + " so it goes" * 60
+    docs = spark.createDataFrame([("en", text)], "lang string, text string")
+    words = [("en", f"w{i}") for i in range(300)] + [("en", w) for w in ("so", "it", "goes")]
+    known = phrase_mining.Filter.of(spark.createDataFrame(words, "lang string, phrase string"), len(words))
+    often = phrase_mining.Buckets(1 << 24, 25).filled(docs, range(1, 3), known)
+    plain = {(r["words"], r["phrase"]): r["n"] for r in phrase_mining._counted(docs, range(1, 3), known).collect()}
+    counted = {(r["words"], r["phrase"]): r["n"] for r in phrase_mining._counted(docs, range(1, 3), known, buckets=often).collect()}
+    assert {k: n for k, n in plain.items() if n >= 25} == {k: n for k, n in counted.items() if n >= 25}
+    assert len(plain) > 10_000 and len(counted) < 400
+
+
 def test_arithmetic_past_64_bits(spark, monkeypatch):
     big = 5 * 10**12
     rows = [("en", 0, "", 3 * big), ("en", 1, "a", big), ("en", 1, "b", big - 1), ("en", 2, "a b", big - 7)]
