@@ -1,18 +1,18 @@
 """Adaptive context-mixing range coder for blocks of token ids.
 
 Each block is coded on its own from a fresh model, so blocks can be read alone. Many blocks advance in
-lockstep ("lanes"): one numpy operation serves one id of every block.
+lockstep ("lanes"): one numpy operation serves one id of every block, and each id narrows the range once.
 
-Within a block an id is numbered by the order of its first appearance. Per id the model makes up to three decisions:
+Within a block an id is numbered by the order of its first appearance. Per id the model asks:
 
-1. is it what the last two ids predict (order 2)?
-2. else, is it what the last id predicts (order 1)?
-3. else it is coded by the adaptive counts of the block so far (order 0), with an escape to "a new id", whose value
-   follows in digits of 16 bits, all equally likely (as many as the block's largest id needs).
+1. is it the guess, which is what the last two ids predict (order 2) or what the last id predicts (order 1), whichever is
+   surer? The probability mixes, in the logistic domain, what both predictions' confidence has been worth in this block
+   so far; these weights are trained as the block goes on;
+2. else which it is, by the counts of the block (order 0), which are laid out anew each time the block has grown by an
+   eighth, with an escape to the ids that are newer than this: one of them, or a new one.
 
-The probabilities of 1 and 2 mix, in the logistic domain, what the predictions' confidence counters have
-been worth in this block so far, with weights that are trained as the block goes on. All arithmetic is on
-integers, so any two machines agree.
+The values of the new ids follow at the end, in digits of 16 bits, all equally likely (as many as the block's largest id needs).
+The coder's state is held in doubles, but all its values are whole numbers below 2^53 (quotients are rounded down), so any two machines agree.
 """
 
 from __future__ import annotations
@@ -23,191 +23,210 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096  # ids in a block; also the most distinct ids, three digits of 16
-_DIGIT = 16
-_TOP, _WORD = 1 << 32, 1 << 16
+BLOCK = 4096  # ids in a block; also the most distinct ids
+_WORD = 1 << 16
+_LEAST, _TOP = 2.0**32, 2.0**48  # the range stays between them
 _SLOTS = 4096  # contexts of two ids are hashed into so many slots
-_CONFIDENCE = 8  # counters go from 0 (nothing predicted) to 7
+_SUREST = 7  # confidence goes from 0 (nothing predicted) to 7
 _HEAD = struct.Struct("<4sHHI")  # magic, ids less one, digits of a new id, crc32 of the ids as uint32
-_MAGIC = b"LCM2"
+_MAGIC = b"LCM3"
 
-#: Logistic tables: probabilities of 12 bits against stretched values of 8 fractional bits.
-_SQUASH = np.array([min(4095, max(1, int(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], dtype=np.int64)
-_STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in range(4096)], dtype=np.int64).clip(-2047, 2047)
+#: Probabilities of 16 bits by logit of 6 fractional bits, from -8 to 8.
+_SQUASH = np.array([min(65500, max(32, round(65536 / (1 + math.exp(-x / 64))))) for x in range(-512, 513)], dtype=np.int64)
+#: What a prediction is worth at first, as a logit of 14 fractional bits, by confidence and whether it is for the guess.
+_START = np.array([round((math.log(sure) - 2 if mine else -2) * (1 << 13)) if sure else -(1 << 15) for sure in range(_SUREST + 1) for mine in (0, 1)])
 
 
 class _Writer:
-    """Range encoder for all lanes; carries are added to words already written and resolved at the end."""
+    """Range encoder for all lanes; a word may have 17 bits until carries are resolved at the end."""
 
     def __init__(self, lanes: int, room: int) -> None:
-        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, _TOP - 1, np.int64)
-        self.out, self.at = np.zeros((lanes, room), np.int32), np.zeros(lanes, np.int64)
-
-    def narrow(self, lanes: np.ndarray, part: np.ndarray, below: np.ndarray, width: np.ndarray) -> None:
-        low, span = self.low[lanes] + part * below, part * width
-        carry = low >= _TOP
-        if carry.any():
-            over = lanes[carry]
-            self.out[over, self.at[over] - 1] += 1
-            low[carry] -= _TOP
-        full = span < _WORD
-        if full.any():
-            ready = lanes[full]
-            self.out[ready, self.at[ready]] = low[full] >> 16
-            self.at[ready] += 1
-            low[full] = (low[full] & (_WORD - 1)) << 16
-            span[full] <<= 16
-        self.low[lanes], self.range[lanes] = low, span
+        self.low, self.range = np.zeros(lanes), np.full(lanes, _TOP)
+        self.out, self.at = np.zeros((lanes, room), np.int32), np.arange(lanes) * room
+
+    def narrow(self, lanes: slice | np.ndarray, below: np.ndarray, span: np.ndarray) -> None:
+        low, at, out = self.low[lanes] + below, self.at[lanes], self.out.reshape(-1)
+        short = span < _LEAST
+        word = np.floor(low / _LEAST)
+        out[at] = word  # with its carry; the next one takes its place if the lane does not move on
+        self.low[lanes] = np.where(short, (low - word * _LEAST) * _WORD, low)
+        self.range[lanes] = span * np.where(short, float(_WORD), 1.0)
+        self.at[lanes] = at + short
+
+    def sizes(self) -> np.ndarray:
+        return self.at - np.arange(len(self.at)) * self.out.shape[1]
 
     def grow(self, more: int) -> None:
-        if self.at.max() + more > self.out.shape[1]:
+        if self.sizes().max() + more > self.out.shape[1]:
+            sizes = self.sizes()
             self.out = np.pad(self.out, ((0, 0), (0, self.out.shape[1])))
+            self.at = np.arange(len(sizes)) * self.out.shape[1] + sizes
 
     def words(self) -> list[bytes]:
-        lanes = np.arange(len(self.low))
-        for shift in (16, 0):
-            self.out[lanes, self.at] = (self.low >> shift) & (_WORD - 1)
-            self.at += 1
-        for j in range(self.out.shape[1] - 1, 0, -1):
-            over = self.out[:, j] >> 16
-            if over.any():
-                self.out[:, j - 1] += over
-                self.out[:, j] &= _WORD - 1
-        return [self.out[i, : self.at[i]].astype("<u2").tobytes() for i in lanes]
+        self.grow(3)
+        lanes, sizes, low = np.arange(len(self.low)), self.sizes(), self.low.astype(np.int64)
+        for word in (low >> 32, (low >> 16) & (_WORD - 1), low & (_WORD - 1)):
+            self.out[lanes, sizes] = word
+            sizes += 1
+        over = self.out >> 16
+        while over.any():
+            self.out &= _WORD - 1
+            self.out[:, :-1] += over[:, 1:]
+            over = self.out >> 16
+        return [row[:n].astype("<u2").tobytes() for row, n in zip(self.out, sizes, strict=True)]
 
 
 class _Reader:
     def __init__(self, coded: list[bytes]) -> None:
-        room = max(len(x) // 2 for x in coded) + 2
-        self.words, self.at = np.zeros((len(coded), room), np.int32), np.full(len(coded), 2, np.int64)
-        for row, x in zip(self.words, coded, strict=True):
+        lanes, room = len(coded), max(len(x) // 2 for x in coded) + 4
+        words = np.zeros((lanes, room), np.uint16)
+        for row, x in zip(words, coded, strict=True):
             row[: len(x) // 2] = np.frombuffer(x, "<u2")
-        self.code, self.range = (self.words[:, 0].astype(np.int64) << 16) | self.words[:, 1], np.full(len(coded), _TOP - 1, np.int64)
-
-    def narrow(self, lanes: np.ndarray, part: np.ndarray, below: np.ndarray, width: np.ndarray) -> None:
-        code, span = self.code[lanes] - part * below, part * width
-        short = span < _WORD
-        if short.any():
-            ready = lanes[short]
-            code[short] = (code[short] << 16) | self.words[ready, self.at[ready]]
-            self.at[ready] += 1
-            span[short] <<= 16
-        self.code[lanes], self.range[lanes] = code, span
+        self.code, self.range = words[:, :3] @ np.array([_LEAST, _WORD, 1]), np.full(lanes, _TOP)
+        self.words, self.at = words.reshape(-1), np.arange(lanes) * room + 3
 
+    def narrow(self, lanes: slice | np.ndarray, below: np.ndarray, span: np.ndarray) -> None:
+        at, short = self.at[lanes], span < _LEAST
+        times = np.where(short, float(_WORD), 1.0)
+        self.code[lanes] = (self.code[lanes] - below) * times + self.words.take(at, mode="clip") * short
+        self.range[lanes] = span * times
+        self.at[lanes] = at + short
 
-_AFTER = (np.arange(_DIGIT) > np.arange(_DIGIT)[:, None]).astype(np.int16)  # by digit: the digits after it
+    def value(self, lanes: slice | np.ndarray, part: np.ndarray, kinds: np.ndarray | int) -> np.ndarray:
+        return np.minimum(np.floor(self.code[lanes] / part), kinds - 1)
 
 
 class _Model:
     """What each lane has learned, in flat tables with a stretch for each lane.
 
-    A prediction is the id's number and three bits of confidence. The counts of order 0 are kept, for each of
-    three digits, as rows of 16 sums over the smaller digits.
+    A prediction is the id's number and three bits of confidence. ``ids`` holds the numbers of the block's ids, by place and lane.
     """
 
-    def __init__(self, lanes: int, coder: _Writer | _Reader) -> None:
-        self.coder, self.reading = coder, isinstance(coder, _Reader)
-        self.lane = np.arange(lanes)
-        self.one, self.two = np.zeros(lanes * (BLOCK + 1), np.int32), np.zeros(lanes * _SLOTS, np.int32)
-        self.hits = np.full(4 * lanes * 2 * _CONFIDENCE, 2048, np.int32)  # P(hit) by confidence: of both orders, for both decisions
-        self.weights = np.full((4, lanes), 1 << 15, np.int64)  # 16 fractional bits
-        self.sums = [np.zeros((lanes * _DIGIT**i, _DIGIT), np.int16) for i in range(3)]
-        self.counts = np.zeros(lanes * BLOCK, np.int16)
-        self.seen, self.total = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.last, self.before = np.full(lanes, BLOCK, np.int64), np.full(lanes, BLOCK, np.int64)
-        #: the block's distinct ids by number, and how many digits each takes
-        self.names, self.digits = np.zeros((lanes, BLOCK), np.uint32), np.ones(lanes, np.int64)
-
-    def flag(self, which: int, lanes: np.ndarray, states: tuple[np.ndarray, np.ndarray], hit: np.ndarray | None) -> np.ndarray:
-        """Code one yes-or-no decision; both states index what their confidence has been worth."""
-        at = [((2 * which + i) * len(self.lane) + lanes) * (2 * _CONFIDENCE) + s for i, s in enumerate(states)]
-        odds = [self.hits[a] for a in at]
-        inputs = [_STRETCH[p] for p in odds]
-        weights = [self.weights[2 * which + i][lanes] for i in range(2)]
-        p = _SQUASH[((inputs[0] * weights[0] + inputs[1] * weights[1]) >> 16).clip(-2047, 2047) + 2047]
-        part = self.coder.range[lanes] >> 12
+    def __init__(self, coder: _Writer | _Reader, ids: np.ndarray) -> None:
+        lanes = ids.shape[1]
+        self.coder, self.reading, self.ids = coder, isinstance(coder, _Reader), ids
+        self.table = np.zeros(lanes * (BLOCK + 1 + _SLOTS), np.uint16)  # predictions of order 1, then of order 2
+        self.base = np.array([[0], [lanes * (BLOCK + 1)]]) + np.arange(lanes) * np.array([[BLOCK + 1], [_SLOTS]])
+        #: what each order's state is worth, as logits of 14 fractional bits
+        self.worth = np.tile(_START, 2 * lanes)
+        self.state_base = np.arange(2 * lanes).reshape(2, lanes) * len(_START)
+        self.counts, self.seen = np.zeros((lanes, BLOCK), np.int16), np.ones(lanes, np.int64)
+        self.counts[:, 0] = 1  # a block's first id is number 0
+        self.last, self.before = np.full(lanes, BLOCK), np.full(lanes, BLOCK)
+        self.until = 0  # so many ids are in the counts
+
+    def lay_out(self, n: int, t: int) -> None:
+        """Lay out the first ``n`` lanes' counts of their first ``t`` ids: the number each slot stands for, and each number's first slot."""
+        lane, width = np.arange(n), int(self.seen[:n].max())
+        if t:
+            new = np.bincount((self.ids[self.until : t, :n] + lane * width).reshape(-1), minlength=n * width)
+            self.counts[:n, :width] += new.reshape(n, width).astype(np.int16)
+        counts = self.counts[:n, :width]
+        self.until, self.escape, self.known = t, width, self.seen[:n].copy()
         if self.reading:
-            hit = self.coder.code[lanes] < part * p
-        self.coder.narrow(lanes, part, np.where(hit, 0, p), np.where(hit, p, 4096 - p))
-        aim = np.where(hit, 4095, 0)
-        miss = aim - p
-        for i in range(2):
-            self.hits[at[i]] = odds[i] + ((aim - odds[i]) >> 5)
-            self.weights[2 * which + i][lanes] = weights[i] + ((inputs[i] * miss) >> 10)
-        return hit
-
-    def plain(self, lanes: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-        """Order 0: the block's counts so far; a new id takes the place after the known ones."""
-        total, seen = self.total[lanes], self.seen[lanes]
-        escape = seen + 1
-        part = self.coder.range[lanes] // (total + escape)
+            self.slots = np.repeat(np.tile(np.arange(width, dtype=np.uint16), n), counts.reshape(-1))
+        self.slot_base = lane * (t + 1)
+        self.size = 2.0 + t + (counts == 1).sum(axis=1)
+        begins = np.zeros((n, width + 2), np.int16)
+        np.cumsum(counts, axis=1, out=begins[:, 1:-1])
+        begins[:, -1] = self.size
+        self.begins, self.begins_base = begins.reshape(-1), lane * (width + 2)
+        self.most = _WORD - 2 * self.size
+
+    def trim(self, n: int) -> None:
+        """Go on with the first ``n`` lanes."""
+        for name in ("known", "slot_base", "size", "begins_base", "most", "last", "before"):
+            setattr(self, name, getattr(self, name)[:n])
+
+    def run(self, active: list[int]) -> None:
+        """All steps; ``active``: how many of the lanes have an id at each of them."""
+        due = 0
+        for t, n in enumerate(active):
+            if n < len(self.last):
+                self.trim(n)
+            if t == due:
+                self.lay_out(n, t)
+                due = t + max(8, t >> 3)
+            if not self.reading and t % 64 == 0:
+                self.coder.grow(2 * 64 + 1)  # two words an id, and one that does not stay
+            self.step(t, n)
+
+    def step(self, t: int, n: int) -> None:
+        """One id of each of the first ``n`` lanes."""
+        lanes, coder = slice(n), self.coder
+        at = self.base[:, :n].copy()
+        at[0] += self.last
+        at[1] += (self.before * 0x9E5 + self.last * 0x6D) & (_SLOTS - 1)
+        old = self.table.take(at)
+        guesses, sure = old >> 3, old & _SUREST
+        guess = np.where(sure[1] >= sure[0], guesses[1], guesses[0])
+        states = self.state_base[:, :n] + (2 * sure + (guesses == guess))
+        worth = self.worth.take(states)
+        p = _SQUASH.take((worth[0] + worth[1] >> 8) + 512, mode="clip")
+        span = coder.range[lanes]
+        hits = np.floor(span / _WORD) * np.minimum(p, self.most)
+        unit = np.floor((span - hits) / self.size)
         if self.reading:
-            target = np.minimum(self.coder.code[lanes] // part, total + escape - 1)
-            fresh = target >= total
-            rest, row, below = np.where(fresh, 0, target).astype(np.int16), lanes, np.zeros(len(lanes), np.int64)
-            for sums in self.sums:
-                found = sums[row]
-                digit = (found <= rest[:, None]).sum(axis=1) - 1
-                under = found.reshape(-1)[np.arange(0, found.size, _DIGIT) + digit]
-                rest, below, row = rest - under, below + under, row * _DIGIT + digit
-            ids = np.where(fresh, seen, row & (BLOCK - 1))
+            slot = (coder.code[lanes] - hits) / unit
+            hit, escaped = slot < 0, slot >= self.until + 1
+            slot = np.minimum(np.maximum(slot, 0), self.until).astype(np.int64)
+            slot = self.slots.take(self.slot_base + slot)
+            symbol = np.where(escaped, self.escape, slot)
         else:
-            fresh = ids >= seen
-            below = sum(sums.reshape(-1)[(lanes << 4 * (i + 1)) + (ids >> 4 * (2 - i))].astype(np.int64) for i, sums in enumerate(self.sums))
-        at = lanes * BLOCK + ids
-        known = self.counts[at]
-        self.coder.narrow(lanes, part, np.where(fresh, total, below), np.where(fresh, escape, known))
-        self.name(lanes[fresh], ids[fresh])
-        self.counts[at] = known + 1
-        for i, sums in enumerate(self.sums):
-            row = (lanes << 4 * i) + (ids >> 4 * (3 - i))
-            sums[row] += _AFTER[(ids >> 4 * (2 - i)) & (_DIGIT - 1)]
-        self.total[lanes] = total + 1
-        self.seen[lanes] = seen + fresh
-        return ids
-
-    def name(self, lanes: np.ndarray, ids: np.ndarray) -> None:
-        """Code the values of new ids, the highest digit first."""
-        for digit in (1, 0):
-            here = self.digits[lanes] > digit
-            some, number = lanes[here], ids[here]
-            if not len(some):
-                continue
-            part = self.coder.range[some] >> 16
-            if self.reading:
-                value = np.minimum(self.coder.code[some] // part, _WORD - 1)
-                self.names[some, number] |= (value << 16 * digit).astype(np.uint32)
-            else:
-                value = (self.names[some, number].astype(np.int64) >> 16 * digit) & (_WORD - 1)
-            self.coder.narrow(some, part, value, np.ones(len(some), np.int64))
-
-    def step(self, n: int, ids: np.ndarray | None) -> np.ndarray:
-        """One id of each of the first ``n`` lanes."""
-        last, before, lane = self.last[:n], self.before[:n], self.lane[:n]
-        at_one, at_two = lane * (BLOCK + 1) + last, lane * _SLOTS + (before * 0x9E5 + last * 0x6D) % _SLOTS
-        one, two = self.one[at_one], self.two[at_two]
-        guess1, sure1, guess2, sure2 = one >> 3, one & 7, two >> 3, two & 7
-        agree = guess1 == guess2
-        out = np.full(n, -1, np.int64) if self.reading else ids
-        state = (2 * sure2 + agree, 2 * sure1 + agree)
-        done = np.zeros(n, bool)
-        for which, (guess, asked) in enumerate(((guess2, sure2 > 0), (guess1, (sure1 > 0) & ~(agree & (sure2 > 0))))):
-            ask = np.flatnonzero(asked & ~done)
-            if len(ask):
-                hit = self.flag(which, ask, (state[0][ask], state[1][ask]), None if self.reading else ids[ask] == guess[ask])
-                right = ask[hit]
-                done[right] = True
+            out = self.ids[t, :n]
+            hit, escaped = out == guess, out >= self.known
+            symbol = np.where(escaped, self.escape, out)
+        begin = self.begins_base + symbol
+        first, end = self.begins.take(begin), self.begins.take(begin + 1)
+        coder.narrow(lanes, np.where(hit, 0, hits + unit * first), np.where(hit, hits, unit * (end - first)))
+        if self.reading:
+            out = np.where(hit, guess, symbol)
+        newer = np.flatnonzero(escaped & ~hit)
+        if len(newer):
+            self.newer(newer, out)
+        if self.reading:
+            self.ids[t, :n] = out
+        self.worth[states] = worth + ((np.where(hit, _WORD, 0) - p) >> 4)
+        self.table[at] = np.where(guesses == out, old + (sure < _SUREST), out * 8 + 1)
+        self.before, self.last = self.last, out.astype(np.int64)
+
+    def newer(self, lanes: np.ndarray, out: np.ndarray) -> None:
+        """Code which of the numbers that are not in the counts yet, or the next one."""
+        known, seen, coder = self.known[lanes], self.seen[lanes], self.coder
+        kinds = seen - known + 1
+        part = np.floor(coder.range[lanes] / kinds)
+        if self.reading:
+            out[lanes] = known + coder.value(lanes, part, kinds)
+        ids = out[lanes]
+        coder.narrow(lanes, part * (ids - known), part)
+        self.seen[lanes] = seen + (ids == seen)
+
+    def name(self, names: np.ndarray, digits: np.ndarray) -> None:
+        """Code the values of all numbers, each lane's in their order, the highest digit first."""
+        coder = self.coder
+        for number in range(int(self.seen.max())):
+            for digit in (1, 0):
+                lanes = np.flatnonzero((self.seen > number) & (digits > digit))
+                if not len(lanes):
+                    continue
+                part = np.floor(coder.range[lanes] / _WORD)
                 if self.reading:
-                    out[right] = guess[right]
-        left = np.flatnonzero(~done)
-        if len(left):
-            out[left] = self.plain(left, None if self.reading else ids[left])
-        for table, at, guess, sure in ((self.one, at_one, guess1, sure1), (self.two, at_two, guess2, sure2)):
-            right, weaker = (guess == out) & (sure > 0), sure >> 1
-            replaced = ~right & (weaker == 0)
-            table[at] = np.where(replaced, out * 8 + 1, guess * 8 + np.where(right, np.minimum(sure + 1, _CONFIDENCE - 1), weaker))
-        self.before[:n], self.last[:n] = last, out
-        return out
+                    value = coder.value(lanes, part, _WORD)
+                    names[lanes, number] |= value.astype(np.uint32) << 16 * digit
+                else:
+                    coder.grow(3)
+                    value = (names[lanes, number] >> 16 * digit) & (_WORD - 1)
+                coder.narrow(lanes, part * value, part)
+
+
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in the order of their first appearance, and the number of each id among them."""
+    dense = ids if ids.max() < 1 << 20 else np.unique(ids, return_inverse=True)[1]
+    place, first = np.arange(len(ids)), np.empty(int(dense.max()) + 1, np.int64)
+    first[dense[::-1]] = place[::-1]
+    at = first[dense]
+    is_first = at == place
+    return ids[is_first], (np.cumsum(is_first) - 1)[at]
 
 
 def _order(lengths: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -222,25 +241,18 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     if not blocks:
         return []
     order, active = _order(np.array([len(b) for b in blocks]))
-    local = np.zeros((len(blocks), len(active)), np.int64)
-    heads, named = [], []
-    for row, i in enumerate(order):
+    local, names, digits = np.zeros((len(blocks), len(active)), np.uint16), np.zeros((len(blocks), len(active)), np.uint32), np.ones(len(blocks), np.int64)
+    heads = []
+    for lane, i in enumerate(order):
         ids = np.asarray(blocks[i], np.uint32)
-        names, first, inverse = np.unique(ids, return_index=True, return_inverse=True)
-        by_place = np.argsort(first, kind="stable")
-        rank = np.empty(len(names), np.int64)
-        rank[by_place] = np.arange(len(names))
-        local[row, : len(ids)] = rank[inverse]
-        named.append(names[by_place])
-        heads.append(_HEAD.pack(_MAGIC, len(ids) - 1, 1 + int(names[-1] >= _WORD), zlib.crc32(ids.astype("<u4").tobytes())))
+        own, local[lane, : len(ids)] = _numbered(ids)
+        names[lane, : len(own)] = own
+        digits[lane] = 1 + int(own.max() >= _WORD)
+        heads.append(_HEAD.pack(_MAGIC, len(ids) - 1, digits[lane], zlib.crc32(ids.astype("<u4").tobytes())))
     writer = _Writer(len(blocks), len(active) + 8)
-    model = _Model(len(blocks), writer)
-    for lane, names in enumerate(named):
-        model.names[lane, : len(names)] = names
-        model.digits[lane] = 1 + int(names.max() >= _WORD)
-    for t, n in enumerate(active):
-        writer.grow(7)  # at most five words an id, and two at the end
-        model.step(n, local[:n, t].copy())
+    model = _Model(writer, np.ascontiguousarray(local.T))
+    model.run(active)
+    model.name(names, digits)
     out: list[bytes] = [b""] * len(blocks)
     for i, head, words in zip(order, heads, writer.words(), strict=True):
         out[i] = head + words
@@ -255,15 +267,14 @@ def decode(coded: list[bytes]) -> list[np.ndarray]:
     if any(h[0] != _MAGIC for h in heads):
         raise ValueError("not a block of token ids")
     order, active = _order(np.array([h[1] + 1 for h in heads]))
-    reader = _Reader([coded[i][_HEAD.size :] for i in order])
-    model = _Model(len(coded), reader)
-    model.digits[:] = [heads[i][2] for i in order]
-    local = np.zeros((len(coded), len(active)), np.int64)
-    for t, n in enumerate(active):
-        local[:n, t] = model.step(n, None)
+    model = _Model(_Reader([coded[i][_HEAD.size :] for i in order]), np.zeros((len(active), len(coded)), np.uint16))
+    model.run(active)
+    names = np.zeros((len(coded), len(active)), np.uint32)
+    model.name(names, np.array([heads[i][2] for i in order]))
+    local = np.ascontiguousarray(model.ids.T)
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(coded)
-    for row, i in enumerate(order):
-        out[i] = model.names[row, local[row, : heads[i][1] + 1]]
+    for lane, i in enumerate(order):
+        out[i] = names[lane, local[lane, : heads[i][1] + 1]]
         if zlib.crc32(out[i].astype("<u4").tobytes()) != heads[i][3]:
             raise ValueError("a block of token ids is damaged")
     return out

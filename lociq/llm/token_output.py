@@ -7,7 +7,9 @@ segments, so files go to any store and a lost task leaves nothing behind.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,18 +31,33 @@ _GROUP_BYTES = 16 << 20  # text tokenised, and coded in lockstep, at a time
 _WORDS_AT_ONCE = 20_000  # distinct words that the tokenizer gets in one text
 _FOLD = bytes(32 if b in SPACE.encode() else b for b in range(256))
 
+#: A tokenizer that normalises and splits like this gives words of visible ASCII characters the pieces of _PIECE, lower-cased.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_PIECE = re.compile(" |'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+")
+_VISIBLE = "^[!-~]+$"
+
 _tokenizers: dict[int, tuple] = {}
 
 
 def _tokenizer(spec: bytes) -> tuple:
-    """The tokenizer and its added tokens, which it finds anywhere in a text: string to id."""
+    """The tokenizer, its added tokens, which it finds anywhere in a text (string to id), and its model alone if words
+    of visible ASCII characters can be split without it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     key = zlib.crc32(spec)
     if key not in _tokenizers:
         made = Tokenizer.from_str(spec.decode())
-        _tokenizers[key] = (made, {t.content: i for i, t in made.get_added_tokens_decoder().items()})
+        parts = json.loads(spec)
+        known = parts["normalizer"] == _NORMALIZER and parts["pre_tokenizer"] == _PRE_TOKENIZER
+        _tokenizers[key] = (made, {t.content: i for i, t in made.get_added_tokens_decoder().items()}, made.model if known else None)
     return _tokenizers[key]
 
 
@@ -65,10 +82,40 @@ def _ids_of_words(words: list[str], tokenizer, added: dict[str, int]) -> tuple[n
     return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *ends])
 
 
+def _spread(values: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of each code's stretch, one stretch after the other, and where each ends."""
+    sizes = np.diff(ends, prepend=0)[codes]
+    upto = np.cumsum(sizes)
+    return values[np.repeat(ends[codes] - upto, sizes) + np.arange(int(upto[-1]) if len(upto) else 0)], upto
+
+
+def _ids_of_visible(words: pa.Array, model) -> tuple[np.ndarray, np.ndarray]:
+    """As _ids_of_words, for words of visible ASCII characters: the model gets each distinct piece of them once."""
+    joined = pc.binary_join(pa.LargeListArray.from_arrays([0, len(words)], words), pa.scalar(b" ", words.type))[0].as_py() + b" "
+    pieces = pa.array(_PIECE.findall(joined.decode().lower())).dictionary_encode()
+    codes, distinct = pieces.indices.to_numpy(), pieces.dictionary.to_pylist()
+    found = [[] if p == " " else [t.id for t in model.tokenize(p)] for p in distinct]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    ids, upto = _spread(np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())), np.cumsum(sizes), codes)
+    return ids, upto[codes == distinct.index(" ")]
+
+
+def _ids_of_distinct(words: pa.Array, tokenizer, added: dict[str, int], model) -> tuple[np.ndarray, np.ndarray]:
+    """As _ids_of_words, for an array of words."""
+    plain = pc.match_substring_regex(words, _VISIBLE) if model and len(words) else pa.array([False] * len(words), pa.bool_())
+    ids, ends = _ids_of_words([w.decode() for w in words.filter(pc.invert(plain)).to_pylist()], tokenizer, added)
+    if not pc.any(plain).as_py():
+        return ids, ends
+    more, more_ends = _ids_of_visible(words.filter(plain), model)
+    mask = plain.to_numpy(zero_copy_only=False)
+    place = np.where(mask, len(ends) + np.cumsum(mask), np.cumsum(~mask)) - 1
+    return _spread(np.concatenate([ids, more]), np.concatenate([ends, len(ids) + more_ends]), place)
+
+
 def tokenise(texts: list[bytes], spec: bytes) -> list[np.ndarray]:
     """Ids of each text, as the tokenizer gives them. It drops white space and never joins what that separates, so each
     distinct word between ASCII white space is encoded once; texts that hold an added token are encoded whole."""
-    tokenizer, added = _tokenizer(spec)
+    tokenizer, added, model = _tokenizer(spec)
     strings = [a.encode() for a in added]
     whole = [any(a in t for a in strings) for t in texts]
     split = pc.split_pattern(pa.array([b"" if w else t.translate(_FOLD) for w, t in zip(whole, texts, strict=True)], pa.large_binary()), b" ")
@@ -76,11 +123,8 @@ def tokenise(texts: list[bytes], spec: bytes) -> list[np.ndarray]:
     filled = pc.greater(pc.binary_length(words), 0)
     text_ends = np.concatenate([[0], np.cumsum(filled.to_numpy(zero_copy_only=False))])[np.cumsum(pc.list_value_length(split).to_numpy())]
     coded = words.filter(filled).dictionary_encode()
-    codes = coded.indices.to_numpy()
-    ids, ends = _ids_of_words([w.decode() for w in coded.dictionary.to_pylist()], tokenizer, added)
-    sizes = np.diff(np.concatenate([[0], ends]))[codes]
-    upto = np.cumsum(sizes)
-    flat = ids[np.repeat(ends[codes] - upto, sizes) + np.arange(int(upto[-1]) if len(upto) else 0)].astype("<u4")
+    ids, ends = _ids_of_distinct(coded.dictionary, tokenizer, added, model)
+    flat, upto = _spread(ids.astype("<u4"), ends, coded.indices.to_numpy())
     out = np.split(flat, np.concatenate([[0], upto])[text_ends][:-1]) if texts else []
     for i in np.flatnonzero(whole):
         out[i] = np.array(tokenizer.encode_batch_fast([texts[i].decode()], add_special_tokens=False)[0].ids, dtype="<u4")
