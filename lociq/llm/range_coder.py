@@ -112,11 +112,12 @@ class _Model:
         self.state_base = np.arange(2 * lanes).reshape(2, lanes) * len(_START)
         self.counts, self.seen = np.zeros((lanes, BLOCK), np.int16), np.ones(lanes, np.int64)
         self.counts[:, 0] = 1  # a block's first id is number 0
-        self.last, self.before = np.full(lanes, BLOCK), np.full(lanes, BLOCK)
+        self.context = np.full((2, lanes), [[BLOCK], [0]])  # the last id, and the slot of the last two
         self.until = 0  # so many ids are in the counts
 
-    def lay_out(self, n: int, t: int) -> None:
-        """Lay out the first ``n`` lanes' counts of their first ``t`` ids: the number each slot stands for, and each number's first slot."""
+    def lay_out(self, n: int, t: int, due: int) -> None:
+        """Lay out the first ``n`` lanes' counts of their first ``t`` ids, until ``due`` are coded: the number each slot stands for,
+        and each number's first slot. The escape has as many as numbers were seen once, and at least half as many as can be new."""
         lane, width = np.arange(n), int(self.seen[:n].max())
         if t:
             new = np.bincount((self.ids[self.until : t, :n] + lane * width).reshape(-1), minlength=n * width)
@@ -126,7 +127,8 @@ class _Model:
         if self.reading:
             self.slots = np.repeat(np.tile(np.arange(width, dtype=np.uint16), n), counts.reshape(-1))
         self.slot_base = lane * (t + 1)
-        self.size = 2.0 + t + (counts == 1).sum(axis=1)
+        self.spare = 2 + np.maximum((counts == 1).sum(axis=1), (due - t) // 2)
+        self.size = 1.0 + t + self.spare
         begins = np.zeros((n, width + 2), np.int16)
         np.cumsum(counts, axis=1, out=begins[:, 1:-1])
         begins[:, -1] = self.size
@@ -135,28 +137,26 @@ class _Model:
 
     def trim(self, n: int) -> None:
         """Go on with the first ``n`` lanes."""
-        for name in ("known", "slot_base", "size", "begins_base", "most", "last", "before"):
+        for name in ("known", "slot_base", "spare", "size", "begins_base", "most"):
             setattr(self, name, getattr(self, name)[:n])
 
     def run(self, active: list[int]) -> None:
         """All steps; ``active``: how many of the lanes have an id at each of them."""
         due = 0
         for t, n in enumerate(active):
-            if n < len(self.last):
-                self.trim(n)
             if t == due:
-                self.lay_out(n, t)
                 due = t + max(8, t >> 3)
+                self.lay_out(n, t, due)
+            elif n < len(self.size):
+                self.trim(n)
             if not self.reading and t % 64 == 0:
-                self.coder.grow(2 * 64 + 1)  # two words an id, and one that does not stay
+                self.coder.grow(64 + 1)  # a word an id, and one that does not stay
             self.step(t, n)
 
     def step(self, t: int, n: int) -> None:
         """One id of each of the first ``n`` lanes."""
         lanes, coder = slice(n), self.coder
-        at = self.base[:, :n].copy()
-        at[0] += self.last
-        at[1] += (self.before * 0x9E5 + self.last * 0x6D) & (_SLOTS - 1)
+        at = self.base[:, :n] + self.context[:, :n]
         old = self.table.take(at)
         guesses, sure = old >> 3, old & _SUREST
         guess = np.where(sure[1] >= sure[0], guesses[1], guesses[0])
@@ -168,38 +168,35 @@ class _Model:
         unit = np.floor((span - hits) / self.size)
         if self.reading:
             slot = (coder.code[lanes] - hits) / unit
-            hit, escaped = slot < 0, slot >= self.until + 1
-            slot = np.minimum(np.maximum(slot, 0), self.until).astype(np.int64)
-            slot = self.slots.take(self.slot_base + slot)
-            symbol = np.where(escaped, self.escape, slot)
+            hit, newer = slot < 0, np.flatnonzero(slot >= self.until + 1)
+            symbol = self.slots.take(self.slot_base + np.minimum(np.maximum(slot, 0), self.until).astype(np.int64))
         else:
             out = self.ids[t, :n]
-            hit, escaped = out == guess, out >= self.known
-            symbol = np.where(escaped, self.escape, out)
+            hit = out == guess
+            newer = np.flatnonzero((out >= self.known) & ~hit)
+            symbol = np.minimum(out, self.escape)
         begin = self.begins_base + symbol
-        first, end = self.begins.take(begin), self.begins.take(begin + 1)
-        coder.narrow(lanes, np.where(hit, 0, hits + unit * first), np.where(hit, hits, unit * (end - first)))
+        first = self.begins.take(begin)
+        below, width = hits + unit * first, unit * (self.begins.take(begin + 1) - first)
         if self.reading:
             out = np.where(hit, guess, symbol)
-        newer = np.flatnonzero(escaped & ~hit)
         if len(newer):
-            self.newer(newer, out)
+            # The escape's part is dealt among the numbers that are not in the counts yet and the next one.
+            known, seen, rest = self.known[newer], self.seen[newer], hits[newer] + unit[newer] * (self.until + 1)
+            kinds = seen - known + 1
+            part = np.floor(unit[newer] * self.spare[newer] / kinds)
+            if self.reading:
+                out[newer] = known + np.minimum(np.floor((coder.code[newer] - rest) / part), kinds - 1)
+            ids = out[newer]
+            below[newer], width[newer] = rest + part * (ids - known), part
+            self.seen[newer] = seen + (ids == seen)
+        coder.narrow(lanes, np.where(hit, 0, below), np.where(hit, hits, width))
         if self.reading:
             self.ids[t, :n] = out
         self.worth[states] = worth + ((np.where(hit, _WORD, 0) - p) >> 4)
         self.table[at] = np.where(guesses == out, old + (sure < _SUREST), out * 8 + 1)
-        self.before, self.last = self.last, out.astype(np.int64)
-
-    def newer(self, lanes: np.ndarray, out: np.ndarray) -> None:
-        """Code which of the numbers that are not in the counts yet, or the next one."""
-        known, seen, coder = self.known[lanes], self.seen[lanes], self.coder
-        kinds = seen - known + 1
-        part = np.floor(coder.range[lanes] / kinds)
-        if self.reading:
-            out[lanes] = known + coder.value(lanes, part, kinds)
-        ids = out[lanes]
-        coder.narrow(lanes, part * (ids - known), part)
-        self.seen[lanes] = seen + (ids == seen)
+        self.context[1, :n] = (self.context[0, :n] * 0x9E5 + out * 0x6D) & (_SLOTS - 1)
+        self.context[0, :n] = out
 
     def name(self, names: np.ndarray, digits: np.ndarray) -> None:
         """Code the values of all numbers, each lane's in their order, the highest digit first."""

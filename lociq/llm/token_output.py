@@ -12,6 +12,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ _PRE_TOKENIZER = {
 }
 _PIECE = re.compile(" |'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ a-z0-9]+")
 _VISIBLE = "^[!-~]+$"
+#: UTF-8 of all that may be white space to the tokenizer, and of controls.
+_SPACED = r"[\x00-\x20\x7f]|\xc2[\x80-\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81[\x9f-\xaf]|\xe3\x80\x80|\xef\xbb\xbf"
 
 _tokenizers: dict[int, tuple] = {}
 
@@ -89,27 +92,50 @@ def _spread(values: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> tuple[np
     return values[np.repeat(ends[codes] - upto, sizes) + np.arange(int(upto[-1]) if len(upto) else 0)], upto
 
 
-def _ids_of_visible(words: pa.Array, model) -> tuple[np.ndarray, np.ndarray]:
-    """As _ids_of_words, for words of visible ASCII characters: the model gets each distinct piece of them once."""
-    joined = pc.binary_join(pa.LargeListArray.from_arrays([0, len(words)], words), pa.scalar(b" ", words.type))[0].as_py() + b" "
-    pieces = pa.array(_PIECE.findall(joined.decode().lower())).dictionary_encode()
-    codes, distinct = pieces.indices.to_numpy(), pieces.dictionary.to_pylist()
+def _joined(words: pa.Array) -> str:
+    """The words, a space behind each."""
+    return pc.binary_join(pa.LargeListArray.from_arrays([0, len(words)], words), pa.scalar(b" ", words.type))[0].as_py().decode() + " "
+
+
+def _ids_of_pieces(pieces: list[str], model) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the words that the pieces make up, a space behind each, and where each word's end. The model gets each
+    distinct piece once."""
+    coded = pa.array(pieces, pa.string()).dictionary_encode()
+    codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
     found = [[] if p == " " else [t.id for t in model.tokenize(p)] for p in distinct]
     sizes = np.fromiter(map(len, found), np.int64, len(found))
-    ids, upto = _spread(np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())), np.cumsum(sizes), codes)
+    ids, upto = _spread(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), np.cumsum(sizes), codes)
     return ids, upto[codes == distinct.index(" ")]
 
 
+def _pieces_of_others(words: pa.Array, tokenizer) -> list[str]:
+    """Pieces of words without white space, a space behind each, from the tokenizer's own parts."""
+    text = tokenizer.normalizer.normalize_str(_joined(words))
+    out, before = [], 0
+    for piece, (start, end) in tokenizer.pre_tokenizer.pre_tokenize_str(text):
+        out += [" "] * (start - before)  # only spaces lie between pieces
+        out.append(piece)
+        before = end
+    return out + [" "] * (len(text) - before)
+
+
 def _ids_of_distinct(words: pa.Array, tokenizer, added: dict[str, int], model) -> tuple[np.ndarray, np.ndarray]:
     """As _ids_of_words, for an array of words."""
-    plain = pc.match_substring_regex(words, _VISIBLE) if model and len(words) else pa.array([False] * len(words), pa.bool_())
-    ids, ends = _ids_of_words([w.decode() for w in words.filter(pc.invert(plain)).to_pylist()], tokenizer, added)
-    if not pc.any(plain).as_py():
-        return ids, ends
-    more, more_ends = _ids_of_visible(words.filter(plain), model)
-    mask = plain.to_numpy(zero_copy_only=False)
-    place = np.where(mask, len(ends) + np.cumsum(mask), np.cumsum(~mask)) - 1
-    return _spread(np.concatenate([ids, more]), np.concatenate([ends, len(ids) + more_ends]), place)
+    if not model or not len(words):
+        return _ids_of_words([w.decode() for w in words.to_pylist()], tokenizer, added)
+    visible = pc.match_substring_regex(words, _VISIBLE)
+    spaced = pc.match_substring_regex(words, _SPACED)
+    kinds = [visible, spaced, pc.invert(pc.or_(visible, spaced))]
+    some = [words.filter(kind) for kind in kinds]
+    parts = [
+        _ids_of_pieces(_PIECE.findall(_joined(some[0]).lower()), model),
+        _ids_of_words([w.decode() for w in some[1].to_pylist()], tokenizer, added),
+        _ids_of_pieces(_pieces_of_others(some[2], tokenizer), model),
+    ]
+    places = np.empty(len(words), np.int64)
+    places[np.concatenate([np.flatnonzero(kind.to_numpy(zero_copy_only=False)) for kind in kinds])] = np.arange(len(words))
+    before = np.cumsum([0] + [len(ids) for ids, _ in parts])
+    return _spread(np.concatenate([ids for ids, _ in parts]), np.concatenate([b + ends for b, (_, ends) in zip(before, parts, strict=False)]), places)
 
 
 def tokenise(texts: list[bytes], spec: bytes) -> list[np.ndarray]:
